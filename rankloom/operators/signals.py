@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from rankloom import schemas as S
 from rankloom.functions import variant as V
 from rankloom.functions.text import canonical_url, stable_id
-from rankloom.operators.curate import BODY, META, _context, _shape, _url_hash, _version, open_bodies, record_url
+from rankloom.operators.curate import _context, _shape, _url_hash, _version, open_bodies, record_url
 from rankloom.operators.drift import (
     backlinks_usable,
     legacy_backlinks,
@@ -35,10 +35,10 @@ def backlink_responses(raw: DataFrame) -> DataFrame:
         "target_keyword",
         "response_id",
         "timestamp",
-        backlink_variant(F.col("endpoint"), META).alias("variant"),
-        record_url(BODY, META).alias("url"),
-        F.when(successful_empty(BODY), F.parse_json(F.lit('{"backlinks":0,"referring_domains":0}')))
-        .otherwise(single_result(BODY))
+        backlink_variant(F.col("endpoint"), F.col("meta")).alias("variant"),
+        record_url(F.col("body"), F.col("meta")).alias("url"),
+        F.when(successful_empty(F.col("body")), F.parse_json(F.lit('{"backlinks":0,"referring_domains":0}')))
+        .otherwise(single_result(F.col("body")))
         .alias("result"),
         "body",
     ).where("url is not null")
@@ -163,8 +163,8 @@ def onpage_signals(raw: DataFrame) -> DataFrame:
     """Latest usable on-page response per (keyword, canonical URL)."""
     usable = (
         open_bodies(raw, "onpage_instant_pages")
-        .where(onpage_usable(BODY))
-        .select("run_id", "target_keyword", "response_id", "timestamp", record_url(BODY, META).alias("url"), "response_body_bytes")
+        .where(onpage_usable(F.col("body")))
+        .select("run_id", "target_keyword", "response_id", "timestamp", record_url(F.col("body"), F.col("meta")).alias("url"), "response_body_bytes")
         .where("url is not null")
         .withColumn("__key", canonical_url("url"))
     )

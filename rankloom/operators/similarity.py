@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pyspark.sql.types import DoubleType, StructField, StructType
+
 from rankloom import schemas as S
 from rankloom.functions import variant as V
 from rankloom.functions.text import (
@@ -151,7 +153,7 @@ def score_with_model(
     Only the two text columns cross into Python with a row; the rest comes along
     untouched in the same batch.
     """
-    schema = frame.schema.add(out, "double")
+    schema = StructType([*frame.schema.fields, StructField(out, DoubleType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = load_model()
