@@ -49,45 +49,51 @@ def oversized_groups(frame: DataFrame, keys: Sequence[str], limit: int = GROUP_R
     return frame.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows")).where(F.col("__rows") > limit)
 
 
-def group_running_sum(
+def group_running(
     frame: DataFrame,
     keys: Sequence[str],
     order: Sequence[Column],
     value: Column,
     out: str,
     limit: int | None = GROUP_ROWS_PER_TASK,
+    kind: str = "sum",
 ) -> DataFrame:
-    """Exact running sum of ``value`` within ``keys``, whatever the size of a group.
+    """Exact running sum or minimum of ``value`` within ``keys``, whatever the group size.
 
     Ordinary groups use a window.  Rows of oversized groups are range-partitioned
-    by (keys, order), so a group spreads over many tasks; each running sum is the
-    one within its slice plus the totals of the earlier slices.  ``order`` must be
-    total for a reproducible result.  ``limit=None`` states that groups are bounded.
+    by (keys, order), so a group spreads over many tasks; each running value is the
+    one within its slice combined with the totals of the earlier slices.  ``order``
+    must be total for a reproducible result.  ``limit=None`` states that groups are
+    bounded.
     """
-    upto = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    total = {"sum": F.sum, "min": F.min}[kind]
+
+    def running(*partition: str) -> Column:
+        window = Window.partitionBy(*partition).orderBy(*order)
+        return total(value).over(window.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+
     if limit is None:
-        return frame.withColumn(out, F.sum(value).over(upto))
+        return frame.withColumn(out, running(*keys))
     hot = oversized_groups(frame, keys, limit).select(*keys)
     if hot.isEmpty():
-        return frame.withColumn(out, F.sum(value).over(upto))
+        return frame.withColumn(out, running(*keys))
     hot = cut_lineage(hot)
-    ordinary = join_null_safe(frame, hot, keys, "left_anti").withColumn(out, F.sum(value).over(upto))
+    ordinary = join_null_safe(frame, hot, keys, "left_anti").withColumn(out, running(*keys))
 
     spread = join_null_safe(frame, hot, keys, "left_semi").repartitionByRange(*[F.col(k) for k in keys], *order)
     # The slice number is part of the written rows: recomputing a lost partition
     # with other range bounds cannot change it.
     sliced = cut_lineage(spread.withColumn("__slice", F.spark_partition_id()))
-    totals = sliced.groupBy(*keys, "__slice").agg(F.sum(value).alias("__total"))
+    totals = sliced.groupBy(*keys, "__slice").agg(total(value).alias("__total"))
     earlier = Window.partitionBy(*keys).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.withColumn("__before", F.coalesce(F.sum("__total").over(earlier), F.lit(0))).drop("__total")
-    within = (
-        Window.partitionBy(*keys, "__slice")
-        .orderBy(*order)
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    summed = join_null_safe(
-        sliced.withColumn("__local", F.sum(value).over(within)), offsets, [*keys, "__slice"], "left"
-    ).withColumn(out, F.col("__local") + F.col("__before"))
+    offsets = totals.withColumn("__before", total("__total").over(earlier)).drop("__total")
+    local = sliced.withColumn("__local", running(*keys, "__slice"))
+    joined = join_null_safe(local, offsets, [*keys, "__slice"], "left")
+    if kind == "sum":
+        combined = F.col("__local") + F.coalesce(F.col("__before"), F.lit(0))
+    else:
+        combined = F.least("__local", "__before")  # skips nulls
+    summed = joined.withColumn(out, combined)
     return ordinary.select(*frame.columns, out).unionByName(summed.select(*frame.columns, out))
 
 
@@ -99,7 +105,7 @@ def group_row_number(
     limit: int | None = GROUP_ROWS_PER_TASK,
 ) -> DataFrame:
     """Exact ``row_number()`` within ``keys``, safe for oversized groups."""
-    return group_running_sum(frame, keys, order, F.lit(1).cast("bigint"), out, limit)
+    return group_running(frame, keys, order, F.lit(1).cast("bigint"), out, limit)
 
 
 def first_per_key(frame: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
@@ -126,7 +132,7 @@ def sorted_positions(
 ) -> DataFrame:
     """``(keys, value, n, first, last)``: zero-based positions of each distinct value."""
     counts = frame.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__c"))
-    running = group_running_sum(counts, keys, [F.col(value).asc()], F.col("__c"), "__upto", limit)
+    running = group_running(counts, keys, [F.col(value).asc()], F.col("__c"), "__upto", limit)
     with_n = attach_group_stats(running, keys, [F.sum("__c").alias("n")])
     return with_n.select(
         *keys, value, "n", (F.col("__upto") - F.col("__c")).alias("first"), (F.col("__upto") - 1).alias("last")

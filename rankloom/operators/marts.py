@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,8 +11,9 @@ from rankloom import schemas as S
 from rankloom.functions.numeric import all_present, any_present, finite, row_mean, zscore
 from rankloom.functions.text import hostname, stable_id
 from rankloom.operators.filters import with_null_columns
-from rankloom.operators.groups import GROUP_ROWS_PER_TASK, attach_group_stats, group_medians
+from rankloom.operators.groups import GROUP_ROWS_PER_TASK, attach_group_stats, group_medians, oversized_groups
 from rankloom.operators.ranks import _moments, ordinal_ranks
+from rankloom.session import cut_lineage
 
 PAGE_KEY = ["run_id", "target_keyword_id", "canonical_url_hash"]
 KEYWORD_KEY = ["run_id", "target_keyword_id", "target_keyword"]
@@ -126,6 +127,9 @@ def two_level(
     limit: int | None = GROUP_ROWS_PER_TASK,
 ) -> DataFrame:
     """Median (numbers) or mean (flags) per page, then the same over the pages of a group."""
+    # A group holds at least the rows of its pages: no oversized group, no oversized page.
+    if limit is not None and oversized_groups(frame, group, limit).isEmpty():
+        limit = None
     per_page = group_medians(frame, [*group, unit], medians, rates, limit)
     return group_medians(per_page, group, medians, rates, limit)
 
@@ -144,18 +148,38 @@ def _standardised(frame: DataFrame, columns: dict[str, Column], keys: Sequence[s
     )
 
 
-def site_scale(
+def domain_scores(
     frame: DataFrame,
-    columns: Sequence[str] = SIZE_COLUMNS,
+    sizes: Sequence[str] = (),
+    continuous: Sequence[str] = (),
+    inverted: Sequence[str] = (),
+    flags: Sequence[str] = (),
     run: Sequence[str] = ("run_id",),
     domain: str = "domain",
     page: str = "canonical_url_hash",
 ) -> DataFrame:
+    """``site_scale`` and ``authority_proxy`` of every domain from one pair of aggregates.
+
+    Components that are not columns of the frame count as unknown.
+    """
+    columns = set(frame.columns)
+    numbers = [c for c in dict.fromkeys((*sizes, *continuous)) if c in columns]
+    rates = [c for c in (*inverted, *flags) if c in columns]
+    levels = two_level(frame, numbers, rates, [*run, domain], page)
+    signals = {f"a_{c}": F.asinh(F.col(c)) for c in continuous if c in columns} | {f"a_{c}": F.col(c) for c in rates}
+    logs = {f"s_{c}": F.log1p(F.col(c)) for c in sizes if c in columns}
+    z = _standardised(levels, logs | signals, run)
+    known = all_present([F.col(c) for c in sizes]) if sizes and set(sizes) <= columns else F.lit(False)
+    scale = F.when(known, row_mean([F.col(f"__z_{n}") for n in logs])) if logs else F.lit(None).cast("double")
+    turned = {f"a_{c}" for c in inverted}
+    aligned = [-F.col(f"__z_{n}") if n in turned else F.col(f"__z_{n}") for n in signals]
+    authority = F.when(any_present(aligned), -row_mean(aligned)) if aligned else F.lit(None).cast("double")
+    return z.select(*run, domain, scale.alias("site_scale"), authority.alias("authority_proxy"))
+
+
+def site_scale(frame: DataFrame, columns: Sequence[str] = SIZE_COLUMNS, **names) -> DataFrame:
     """Mean z-score of the log sizes of a domain; null unless every size is known."""
-    levels = two_level(frame, columns, group=[*run, domain], unit=page)
-    z = _standardised(levels, {c: F.log1p(F.col(c)) for c in columns}, run)
-    score = F.when(all_present([F.col(c) for c in columns]), row_mean([F.col(f"__z_{c}") for c in columns]))
-    return z.select(*run, domain, score.alias("site_scale"))
+    return domain_scores(frame, sizes=columns, **names).drop("authority_proxy")
 
 
 def authority_proxy(
@@ -163,18 +187,10 @@ def authority_proxy(
     continuous: Sequence[str] = AUTHORITY_CONTINUOUS,
     inverted: Sequence[str] = AUTHORITY_INVERTED,
     flags: Sequence[str] = AUTHORITY_FLAGS,
-    run: Sequence[str] = ("run_id",),
-    domain: str = "domain",
-    page: str = "canonical_url_hash",
+    **names,
 ) -> DataFrame:
     """Negated mean z-score of negative signals; higher means fewer of them."""
-    frame = with_null_columns(frame, {c: "double" for c in (*continuous, *inverted, *flags)})
-    levels = two_level(frame, continuous, (*inverted, *flags), group=[*run, domain], unit=page)
-    transformed = {c: F.asinh(F.col(c)) for c in continuous} | {c: F.col(c) for c in (*inverted, *flags)}
-    z = _standardised(levels, transformed, run)
-    aligned = [-F.col(f"__z_{c}") if c in inverted else F.col(f"__z_{c}") for c in transformed]
-    score = F.when(any_present(aligned), -row_mean(aligned))
-    return z.select(*run, domain, score.alias("authority_proxy"))
+    return domain_scores(frame, (), continuous, inverted, flags, **names).drop("site_scale")
 
 
 def domain_rollup(serp_items: DataFrame) -> DataFrame:
@@ -192,23 +208,19 @@ def domain_rollup(serp_items: DataFrame) -> DataFrame:
 def domain_features(serp_items: DataFrame, onpage: DataFrame) -> DataFrame:
     """Domain rollup with both domain scores.
 
-    The on-page join feeds both scores, so it is written once; its rows are the
-    ranked pages, one per (keyword, URL).
+    Both scores come from one pass over the ranked pages and their signals.
     """
-    wanted = [c for c in (*SIZE_COLUMNS, *AUTHORITY_CONTINUOUS, *AUTHORITY_INVERTED, *AUTHORITY_FLAGS)]
-    present = [c for c in dict.fromkeys(wanted) if c in onpage.columns]
-    types = {c: "double" for c in wanted}
-    measured = (
-        serp_items.select(*PAGE_KEY, hostname("url").alias("domain"))
-        .join(onpage.select(*PAGE_KEY, *present), PAGE_KEY, "left")
+    wanted = dict.fromkeys((*SIZE_COLUMNS, *AUTHORITY_CONTINUOUS, *AUTHORITY_INVERTED, *AUTHORITY_FLAGS))
+    present = [c for c in wanted if c in onpage.columns]
+    measured = serp_items.select(*PAGE_KEY, hostname("url").alias("domain")).join(
+        onpage.select(*PAGE_KEY, *present), PAGE_KEY, "left"
     )
-    measured = with_null_columns(measured, types)
+    scores = domain_scores(measured, SIZE_COLUMNS, AUTHORITY_CONTINUOUS, AUTHORITY_INVERTED, AUTHORITY_FLAGS)
     rollup = domain_rollup(serp_items).withColumn(
         "domain_feature_id", stable_id("run_id", "target_keyword_id", "domain")
     )
     return (
-        rollup.join(site_scale(measured), ["run_id", "domain"], "left")
-        .join(authority_proxy(measured), ["run_id", "domain"], "left")
+        rollup.join(scores, ["run_id", "domain"], "left")
         .select(
             *KEYWORD_KEY,
             "domain_feature_id",
@@ -377,13 +389,19 @@ def entity_signals(entities: DataFrame, metrics: DataFrame, serp_items: DataFram
     )
 
 
-def feature_marts(curated: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """All marts of a run from its curated tables."""
+def feature_marts(
+    curated: dict[str, DataFrame], materialise: Callable[[DataFrame], DataFrame] = cut_lineage
+) -> dict[str, DataFrame]:
+    """All marts of a run from its curated tables.
+
+    Domain features and the analysis mart feed several others, so they are written
+    once; pass a function that writes a table to keep them.
+    """
     onpage = curated["onpage_signals"]
     pages_scored = page_features(curated["pages"], curated["similarity_scores"])
-    domains = domain_features(curated["serp_items"], onpage)
+    domains = materialise(domain_features(curated["serp_items"], onpage))
     serp = panel_rows(keyword_serp(curated["keywords"], curated["serp_items"]), pages_scored, domains)
-    analysis = analysis_mart(serp, pages_scored, onpage, domains)
+    analysis = materialise(analysis_mart(serp, pages_scored, onpage, domains))
     return {
         "keyword_serp": serp,
         "page_features": pages_scored,

@@ -12,7 +12,7 @@ from rankloom.operators.groups import (
     GROUP_ROWS_PER_TASK,
     attach_group_stats,
     group_row_number,
-    group_running_sum,
+    group_running,
     join_null_safe,
 )
 
@@ -78,7 +78,7 @@ def average_rank_table(
     x = F.col(score)
     counts = frame.where(x.isNotNull()).groupBy(*keys, score).agg(F.count(F.lit(1)).alias("tied"))
     order = x.desc() if descending else x.asc()
-    running = group_running_sum(counts, keys, [order], F.col("tied"), "__upto", group_limit)
+    running = group_running(counts, keys, [order], F.col("tied"), "__upto", group_limit)
     return running.withColumn("avg_rank", F.col("__upto") - (F.col("tied") - 1) / 2.0).drop("__upto")
 
 

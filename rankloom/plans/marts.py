@@ -8,6 +8,7 @@ from rankloom.functions.text import hostname
 from rankloom.operators import marts as M
 from rankloom.plans import standins as st
 from rankloom.plans.standins import table
+from rankloom.session import cut_lineage
 
 PAGE = ["target_keyword_id", "canonical_url_hash"]
 
@@ -153,7 +154,8 @@ FROM r LEFT JOIN ds USING (run_id, domain)"""
 def _marts(spark, d):
     c = st.curated(spark, d)
     pages = M.page_features(c["pages"], c["similarity_scores"])
-    domains = M.domain_features(c["serp_items"], c["onpage_signals"])
+    # A mart of its own that two later steps read, so it is written once.
+    domains = cut_lineage(M.domain_features(c["serp_items"], c["onpage_signals"]))
     serp = M.panel_rows(M.keyword_serp(c["keywords"], c["serp_items"]), pages, domains)
     return c, pages, domains, serp
 
@@ -307,7 +309,7 @@ def entity_signals(spark, d):
 
 
 ENTITY_SIGNALS = f"""WITH {_ENTITY}, c AS (SELECT DISTINCT k, entity_id FROM m), p AS (SELECT k, u, CAST(min(p_size % 20 + 1) AS BIGINT) AS serp_rank FROM r GROUP BY 1, 2),
-o AS (SELECT k, u, entity_id, count(*) AS n, avg(confidence) AS f, count(DISTINCT matched_text) AS t, max((p_size > 25)::INT) AS l FROM m GROUP BY 1, 2, 3)
+o AS (SELECT k, u, entity_id, count(*) AS n, avg(confidence) AS f, count(DISTINCT matched_text) AS t, CASE WHEN bool_or(p_size > 25) AND NOT bool_or(matched_text = 'LARGE') THEN 1 ELSE 0 END AS l FROM m GROUP BY 1, 2, 3)
 SELECT c.k AS target_keyword_id, 'u' || p.u AS url, serp_rank, c.entity_id, CAST(n IS NOT NULL AS BIGINT) AS entity_present, coalesce(n, 0) AS entity_mention_count,
   round(f, 6) AS confidence, coalesce(t, 0) AS texts, coalesce(t + l, 0) AS types
 FROM c JOIN p USING (k) LEFT JOIN o ON o.k = c.k AND o.u = p.u AND o.entity_id = c.entity_id"""
