@@ -77,12 +77,12 @@ def _whole(spark, d):
     rows = table(spark, d, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey")).join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
     return rows.selectExpr(
         "s_nationkey AS run_id", "l_suppkey AS domain", "l_partkey AS canonical_url_hash", "CAST(p_size AS DOUBLE) AS a",
-        "p_retailprice AS b", "l_quantity AS c", "l_tax - 0.04 AS e", "p_size % 2 = 0 AS good", "p_type = 'SMALL' AS bad",
+        "p_retailprice AS b", "l_quantity AS c", "l_tax AS e", "p_size % 2 = 0 AS good", "p_type = 'SMALL' AS bad",
     )
 
 
 _WHOLE = """w AS (SELECT s_nationkey AS run_id, l_suppkey AS domain, l_partkey AS page, p_size::DOUBLE AS a, p_retailprice AS b, l_quantity AS c,
-  l_tax - 0.04 AS e, p_size % 2 = 0 AS good, p_type = 'SMALL' AS bad
+  l_tax AS e, p_size % 2 = 0 AS good, p_type = 'SMALL' AS bad
   FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey)"""
 
 
@@ -176,7 +176,7 @@ def analysis_mart(spark, d):
     out = M.analysis_mart(serp, pages, c["onpage_signals"], domains)
     return out.select(
         "target_keyword_id", "serp_item_id", "serp_rank", "page_id", "page_text_length", "bge_rank",
-        F.round(F.col("bge_pct") + 0.0, 6).alias("bge_pct"), F.round(F.col("bge_z") + 0.0, 6).alias("bge_z"), "gemini_semantic_similarity_rank",
+        F.round(F.col("bge_pct") + 0.0, 9).alias("bge_pct"), F.round(F.col("bge_z") + 0.0, 6).alias("bge_z"), "gemini_semantic_similarity_rank",
         "deprecated_html_tags", F.round("meta_keywords_to_content_consistency", 6).alias("consistency"), "time_to_first_byte_ms",
         F.round(F.col("site_scale") + 0.0, 6).alias("site_scale"), F.round(F.col("authority_proxy") + 0.0, 6).alias("authority_proxy"),
     )
@@ -190,7 +190,7 @@ ANALYSIS_MART = f"""WITH {_PANEL_ROWS}, a AS (
   LEFT JOIN ds ON ds.domain = regexp_extract(pr.url, '^https?://([^/]+)', 1))
 SELECT target_keyword_id, serp_item_id, serp_rank, page_id, page_text_length,
   row_number() OVER (k ORDER BY bge DESC, serp_rank, canonical_url_hash) AS bge_rank,
-  round(CASE WHEN count(bge) OVER k = 1 THEN 0 ELSE (row_number() OVER (k ORDER BY bge DESC, serp_rank, canonical_url_hash) - 1) / (count(bge) OVER k - 1) END + 0.0, 6) AS bge_pct,
+  round(CASE WHEN count(bge) OVER k = 1 THEN 0 ELSE (row_number() OVER (k ORDER BY bge DESC, serp_rank, canonical_url_hash) - 1) / (count(bge) OVER k - 1) END + 0.0, 9) AS bge_pct,
   round((bge - avg(bge) OVER k) / nullif(stddev_samp(bge) OVER k, 0) + 0.0, 6) AS bge_z,
   row_number() OVER (k ORDER BY sem DESC, serp_rank, canonical_url_hash) AS gemini_semantic_similarity_rank,
   deprecated_html_tags, round(mk, 6) AS consistency, time_to_first_byte_ms, round(site_scale + 0.0, 6) AS site_scale, round(authority_proxy + 0.0, 6) AS authority_proxy

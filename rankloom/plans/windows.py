@@ -14,7 +14,8 @@ _ID = ["keyword_id", "url_id", "l_orderkey", "l_linenumber"]
 
 
 def _rounded(frame, columns):
-    return frame.withColumns({c: F.round(F.col(c) + 0.0, 6) for c in columns})
+    """Quotients of counts get nine digits: they can end exactly on a half at six."""
+    return frame.withColumns({c: F.round(F.col(c) + 0.0, 9 if c.endswith("_pct") else 6) for c in columns})
 
 
 def ordinal_ranks(spark, d):
@@ -26,7 +27,7 @@ def _ordinal(name, score):
     n = f"count({score}) OVER k"
     rank = f"row_number() OVER (PARTITION BY keyword_id ORDER BY {score} DESC NULLS LAST, l_orderkey, l_linenumber, url_id)"
     return f"""CASE WHEN {score} IS NOT NULL THEN {rank} END AS {name}_rank,
-      CASE WHEN {n} = 1 THEN 0.0 WHEN {score} IS NOT NULL THEN round(({rank} - 1) / ({n} - 1) + 0.0, 6) END AS {name}_pct,
+      CASE WHEN {n} = 1 THEN 0.0 WHEN {score} IS NOT NULL THEN round(({rank} - 1) / ({n} - 1) + 0.0, 9) END AS {name}_pct,
       round(({score} - avg({score}) OVER k) / nullif(stddev_samp({score}) OVER k, 0) + 0.0, 6) AS {name}_z"""
 
 
@@ -46,7 +47,7 @@ def _average(name, score):
     rank = f"(rank() OVER (PARTITION BY keyword_id ORDER BY {score} DESC NULLS LAST) + (count(*) OVER (PARTITION BY keyword_id, {score}) - 1) / 2.0)"
     n = f"count({score}) OVER k"
     return f"""CASE WHEN {score} IS NOT NULL THEN round({rank} + 0.0, 6) END AS {name}_rank,
-      CASE WHEN {score} IS NOT NULL AND {n} > 1 THEN round(({rank} - 1) / ({n} - 1) + 0.0, 6) END AS {name}_pct,
+      CASE WHEN {score} IS NOT NULL AND {n} > 1 THEN round(({rank} - 1) / ({n} - 1) + 0.0, 9) END AS {name}_pct,
       round(({score} - avg({score}) OVER k) / nullif(stddev_samp({score}) OVER k, 0) + 0.0, 6) AS {name}_z"""
 
 
@@ -94,12 +95,13 @@ GLOBAL_ZSCORE = """SELECT doc_id, round((ln(n_chars + 1) - avg(ln(n_chars + 1))
 
 
 def demeaned(spark, d):
-    out = ranks.demean(st.lines(spark, d), ["score_a", "l_quantity"], ["keyword_id"])
-    return _rounded(out, ["l_quantity_within"]).select(*_ID, "l_quantity_within", F.round(F.col("score_a_within") + 0.0, 3).alias("score_a_within"))
+    rows = st.lines(spark, d).withColumns({"score_a": F.ln("score_a"), "l_quantity": F.sqrt("l_quantity")})
+    out = ranks.demean(rows, ["score_a", "l_quantity"], ["keyword_id"])
+    return _rounded(out, ["l_quantity_within", "score_a_within"]).select(*_ID, "l_quantity_within", "score_a_within")
 
 
 DEMEANED = f"""WITH {st.LINES} SELECT keyword_id, url_id, l_orderkey, l_linenumber,
-  round(l_quantity - avg(l_quantity) OVER k + 0.0, 6) AS l_quantity_within, round(score_a - avg(score_a) OVER k + 0.0, 3) AS score_a_within
+  round(sqrt(l_quantity) - avg(sqrt(l_quantity)) OVER k + 0.0, 6) AS l_quantity_within, round(ln(score_a) - avg(ln(score_a)) OVER k + 0.0, 6) AS score_a_within
 FROM lines WINDOW k AS (PARTITION BY keyword_id)"""
 
 
