@@ -32,11 +32,12 @@ def type_of(v: Column) -> Column:
 
 
 def is_object(v: Column) -> Column:
-    return F.coalesce(type_of(v).startswith("OBJECT"), F.lit(False))
+    """Container tests are casts: describing the type would walk the whole subtree."""
+    return F.try_variant_get(v, "$", "map<string,variant>").isNotNull()
 
 
 def is_array(v: Column) -> Column:
-    return F.coalesce(type_of(v).startswith("ARRAY"), F.lit(False))
+    return F.try_variant_get(v, "$", "array<variant>").isNotNull()
 
 
 def is_string(v: Column) -> Column:
@@ -89,8 +90,7 @@ def strict_integer(v: Column, path: str) -> Column:
 
 def elements(v: Column, path: str = "$") -> Column:
     """Array elements as Variants; an empty list unless the value is an array."""
-    x = at(v, path)
-    return F.when(is_array(x), F.try_variant_get(v, path, "array<variant>")).otherwise(no_variants())
+    return F.coalesce(F.try_variant_get(v, path, "array<variant>"), no_variants())
 
 
 def no_variants() -> Column:
@@ -103,14 +103,14 @@ def objects(v: Column, path: str = "$") -> Column:
 
 
 def array_length(v: Column, path: str) -> Column:
-    x = at(v, path)
-    return F.when(is_array(x), F.size(F.try_variant_get(v, path, "array<variant>")).cast("bigint"))
+    """Length of an array, null for anything else."""
+    a = F.try_variant_get(v, path, "array<variant>")
+    return F.when(a.isNotNull(), F.size(a).cast("bigint"))
 
 
 def keys(v: Column, path: str) -> Column:
     """Key names of an object, null for anything else."""
-    x = at(v, path)
-    return F.when(is_object(x), F.map_keys(F.try_variant_get(v, path, "map<string,variant>")))
+    return F.map_keys(F.try_variant_get(v, path, "map<string,variant>"))
 
 
 def has_key(v: Column, path: str) -> Column:
@@ -129,13 +129,16 @@ def sorted_json(v: Column, path: str) -> Column:
 
 
 def task_results(body: Column) -> Column:
-    """All object results of all object tasks, in document order."""
-    return F.flatten(F.transform(objects(body, "$.tasks"), lambda task: objects(task, "$.result")))
+    """All results of all tasks, in document order.
+
+    Elements that are no objects stay in: every getter gives null on them.
+    """
+    return F.flatten(F.transform(elements(body, "$.tasks"), lambda task: elements(task, "$.result")))
 
 
 def task_items(body: Column) -> Column:
-    """All object items of all results, in document order."""
-    return F.flatten(F.transform(task_results(body), lambda result: objects(result, "$.items")))
+    """All items of all results, in document order."""
+    return F.flatten(F.transform(task_results(body), lambda result: elements(result, "$.items")))
 
 
 def first_text(candidates: Iterable[Column]) -> Column:

@@ -24,8 +24,11 @@ def _moments(scores: Sequence[str]) -> list[Column]:
         out += [
             F.count(x).alias(f"__n_{s}"),
             F.avg(x).alias(f"__mean_{s}"),
-            # A constant group has deviation 0 exactly; summation error must not hide it.
-            F.when(F.min(x) == F.max(x), F.when(F.count(x) > 1, F.lit(0.0)))
+            # A constant group has deviation 0; rounding in the last digits must not hide it.
+            F.when(
+                F.max(x) - F.min(x) <= 1e-13 * F.greatest(F.abs(F.max(x)), F.abs(F.min(x))),
+                F.when(F.count(x) > 1, F.lit(0.0)),
+            )
             .otherwise(F.stddev_samp(x))
             .alias(f"__sd_{s}"),
         ]

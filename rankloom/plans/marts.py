@@ -72,17 +72,20 @@ SELECT domain, round(median(size), 6) AS size, round(median(weight), 6) AS weigh
 
 
 def _whole(spark, d):
-    """All line items with the part's measures: supplier nation as run, supplier as domain."""
+    """All line items with the part's measures: supplier nation as run, supplier as domain.
+
+    Whole numbers, so that medians are exact and equal domains really compare equal.
+    """
     part, supplier = table(spark, d, "part"), table(spark, d, "supplier")
     rows = table(spark, d, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey")).join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
     return rows.selectExpr(
         "s_nationkey AS run_id", "l_suppkey AS domain", "l_partkey AS canonical_url_hash", "CAST(p_size AS DOUBLE) AS a",
-        "p_retailprice AS b", "l_quantity AS c", "l_tax AS e", "p_size % 2 = 0 AS good", "p_type = 'SMALL' AS bad",
+        "CAST(p_partkey % 1000 AS DOUBLE) AS b", "l_quantity AS c", "CAST(l_linenumber AS DOUBLE) AS e", "p_size % 2 = 0 AS good", "p_type = 'SMALL' AS bad",
     )
 
 
-_WHOLE = """w AS (SELECT s_nationkey AS run_id, l_suppkey AS domain, l_partkey AS page, p_size::DOUBLE AS a, p_retailprice AS b, l_quantity AS c,
-  l_tax AS e, p_size % 2 = 0 AS good, p_type = 'SMALL' AS bad
+_WHOLE = """w AS (SELECT s_nationkey AS run_id, l_suppkey AS domain, l_partkey AS page, p_size::DOUBLE AS a, (p_partkey % 1000)::DOUBLE AS b, l_quantity AS c,
+  l_linenumber::DOUBLE AS e, p_size % 2 = 0 AS good, p_type = 'SMALL' AS bad
   FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey)"""
 
 

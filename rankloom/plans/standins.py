@@ -22,6 +22,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(frame: DataFrame) -> DataFrame:
+    """Use all cores for JSON work on a file that is too small to be split.
+
+    A table with at least as many splits as the cluster has cores passes unchanged.
+    """
+    cores = frame.sparkSession.sparkContext.defaultParallelism
+    return frame if frame.rdd.getNumPartitions() >= cores else frame.repartition(cores)
+
+
 # --- panels -----------------------------------------------------------------
 
 
@@ -223,7 +232,7 @@ def serp_lake(spark: SparkSession, sf_dir: str) -> DataFrame:
       {item}, '4,"url":5,"title":"n"}},',
       {item}, l_linenumber + 3, ',"url":"https://last.example.org/', l_partkey, '","title":"last"}}',
       ']}}]}}]}}')"""
-    rows = table(spark, sf_dir, "lineitem").selectExpr(
+    rows = spread(table(spark, sf_dir, "lineitem")).selectExpr(
         "concat('Supplier ', l_suppkey) AS target_keyword",
         f"{_ISO.format('l_shipdate')} AS timestamp",
         f"{body} AS body_json",
@@ -246,7 +255,7 @@ def onpage_lake(spark: SparkSession, sf_dir: str) -> DataFrame:
       '"cache_control":{"cachable":true,"ttl":', p_size, '},"resource_errors":{"errors":null,"warnings":[1,2]},',
       '"broken_links":false,"encoded_size":', p_partkey, ',"total_dom_size":null}]}]}]}')"""
     rows = (
-        table(spark, sf_dir, "part")
+        spread(table(spark, sf_dir, "part"))
         .withColumn("v", F.explode(F.array(F.lit(0), F.lit(1))))
         .selectExpr(
             "p_brand AS target_keyword",
@@ -264,7 +273,7 @@ def backlinks_lake(spark: SparkSession, sf_dir: str) -> DataFrame:
     Orders ending in 3 have the old count-only shape, those ending in 4 an empty
     success, those ending in 5 a text metric; dofollow exists for status F.
     """
-    orders = table(spark, sf_dir, "orders")
+    orders = spread(table(spark, sf_dir, "orders"))
     head = """'{"url":"https://www.shop', o_custkey, '.example.com/o/', o_orderkey, '","tasks":[{"id":"b', o_orderkey, '",'"""
     summary = f"""concat({head}, CASE o_orderkey % 10
       WHEN 3 THEN concat('"result":[{{"total_count":', o_custkey, ',"items_count":2}}]')
@@ -294,7 +303,7 @@ def expansion_lake(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One keyword list per customer: segment, the segment in lower case, a number, name, nation."""
     body = """concat('{"tasks":[{"result":[{"keyword":" ', c_mktsegment, '"},{"keyword":"', lower(c_mktsegment),
       '"},{"keyword":5},{"keyword":"', c_name, '"},{"keyword":"nation ', c_nationkey, '"}]}]}')"""
-    rows = table(spark, sf_dir, "customer").selectExpr(
+    rows = spread(table(spark, sf_dir, "customer")).selectExpr(
         "concat('seed ', c_custkey) AS target_keyword", "'2024-01-01T00:00:00' AS timestamp", f"{body} AS body_json", "'{}' AS metadata_json"
     )
     return build_records(rows, RUN, "keyword_expansion", "search")
@@ -313,7 +322,7 @@ def text_lake(spark: SparkSession, sf_dir: str) -> DataFrame:
         'primary_content', transform(split(text, '\\n'), l -> named_struct('text', l)))))))))))))"""
     marked = f"""to_json(named_struct('tasks', array(named_struct('result', array(named_struct('items', array(named_struct(
       'url', {url}, 'page_as_markdown', text))))))))"""
-    rows = table(spark, sf_dir, "documents").selectExpr(
+    rows = spread(table(spark, sf_dir, "documents")).selectExpr(
         "concat('lang ', lang) AS target_keyword",
         "'2024-01-01T00:00:00' AS timestamp",
         f"CASE doc_id % 3 WHEN 0 THEN {direct} WHEN 1 THEN {nested} ELSE {marked} END AS body_json",
@@ -333,7 +342,7 @@ def html_lake(spark: SparkSession, sf_dir: str) -> DataFrame:
       WHEN 4 THEN '{"status_code":20000,"tasks":[{"status_code":20000,"result":[{"items":[]}]}]}'
       WHEN 5 THEN '{"tasks":[{"status_code":40400,"result":null}]}'
       WHEN 6 THEN '{"tasks":[{"result":[{"crawl_status":" Timeout "}]}]}' END"""
-    rows = table(spark, sf_dir, "pages").selectExpr(
+    rows = spread(table(spark, sf_dir, "pages")).selectExpr(
         "'web' AS target_keyword",
         "concat('2024-01-01T00:00:00.', lpad(page_id, 12, '0')) AS timestamp",
         f"coalesce({failed}, {ok}) AS body_json",
@@ -358,7 +367,7 @@ def entity_lake(spark: SparkSession, sf_dir: str) -> DataFrame:
         'topics', if(doc_id % 4 = 0, array(), array(named_struct('score', n_chars / 100000D))),
         'words', transform(split(text, ' '), t -> {token}),
         'relations', if(doc_id % 2 = 0, null, array(named_struct('id', 1))))))"""
-    rows = table(spark, sf_dir, "documents").selectExpr(
+    rows = spread(table(spark, sf_dir, "documents")).selectExpr(
         "concat('lang ', lang) AS target_keyword", "'2024-01-01T00:00:00' AS timestamp", f"{body} AS body_json", "'{}' AS metadata_json"
     )
     return build_records(rows, RUN, "entities", "text")
@@ -369,7 +378,7 @@ MODEL, DIMENSIONS = "embedder", 64
 
 def embedding_lake(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored page and query vectors: every vector stands for a page, label 0-9 for a keyword."""
-    vectors = table(spark, sf_dir, "embeddings")
+    vectors = spread(table(spark, sf_dir, "embeddings"))
     body = "to_json(named_struct('embeddings', array(named_struct('values', transform(embedding, x -> cast(x AS double))))))"
     meta = """to_json(named_struct('role', {role!r}, 'url', {url}, 'input_sha256', sha2({content}, 256),
       'model', '%s', 'output_dimensionality', %d))""" % (MODEL, DIMENSIONS)

@@ -150,7 +150,7 @@ _INFERENCE = _fields(
 )
 
 
-def sandwich_inference(fits: DataFrame, meat: DataFrame, model: Sequence[str], width: int, parameters: Column | None = None) -> DataFrame:
+def sandwich_inference(fits: DataFrame, meat: DataFrame, model: Sequence[str], width: int) -> DataFrame:
     """Robust standard errors from ``meat`` = (model, meat, clusters, kind).
 
     ``kind`` is ``cluster`` (small-sample factor, clusters - 1 degrees of freedom
@@ -160,30 +160,39 @@ def sandwich_inference(fits: DataFrame, meat: DataFrame, model: Sequence[str], w
     schema = StructType([*fits.schema.fields, *_INFERENCE])
     names = fits.columns
 
-    def one(r) -> tuple:
+    def spread(r) -> tuple | None:
+        """Standard errors and degrees of freedom of one model."""
         if r.status != "computed" or r.meat is None:
-            return (None,) * len(_INFERENCE)
+            return None
         inverse = np.reshape(r.inverse, (width, width))
         v = inverse @ square(r.meat, width) @ inverse
         n, k, g = int(r.n), width + int(r.groups), int(r.clusters)
-        clustered = r.kind == "cluster"
-        if clustered:
+        if r.kind == "cluster":
             if g < 2 or n <= k:
-                return (None,) * len(_INFERENCE)
+                return None
             v = v * (g / (g - 1.0)) * ((n - 1.0) / (n - k))
-        df = g - 1 if clustered else int(r.df_resid)
-        beta = np.asarray(r.beta, dtype=float)
-        se = np.sqrt(np.maximum(np.diag(v), 0.0))
-        with np.errstate(divide="ignore", invalid="ignore"):
-            p = student_t_two_sided(beta / se, np.full(width, float(df)))
-        half = float(student_t_quantile(0.975, float(df))) * se
-        return se.tolist(), p.tolist(), (beta - half).tolist(), (beta + half).tolist(), df, r.kind
+        df = g - 1 if r.kind == "cluster" else int(r.df_resid)
+        return np.sqrt(np.maximum(np.diag(v), 0.0)), df
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = pd.DataFrame(
-                [one(r) for r in batch.itertuples(index=False)], columns=[f.name for f in _INFERENCE], index=batch.index
-            )
+            found = [spread(r) for r in batch.itertuples(index=False)]
+            known = [i for i, f in enumerate(found) if f is not None]
+            cells = [(None,) * len(_INFERENCE)] * len(batch)
+            if known:
+                # Tails and quantiles of the whole batch at once.
+                se = np.array([found[i][0] for i in known])
+                df = np.array([found[i][1] for i in known], dtype=float)
+                beta = np.array([np.asarray(batch["beta"].iloc[i], dtype=float) for i in known])
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    p = student_t_two_sided(beta / se, df[:, None])
+                levels, where = np.unique(df, return_inverse=True)
+                half = student_t_quantile(0.975, levels)[where][:, None] * se
+                kinds = batch["kind"].iloc[known].tolist()
+                for row, i in enumerate(known):
+                    low, high = beta[row] - half[row], beta[row] + half[row]
+                    cells[i] = (se[row].tolist(), p[row].tolist(), low.tolist(), high.tolist(), int(df[row]), kinds[row])
+            out = pd.DataFrame(cells, columns=[f.name for f in _INFERENCE], index=batch.index)
             out["inference_df"] = out["inference_df"].astype("Int64")
             yield pd.concat([batch[names], out], axis=1)
 
