@@ -9,6 +9,7 @@ from rankloom.operators import curate, drift, signals, similarity
 from rankloom.operators.merge import with_record_key
 from rankloom.plans import standins as st
 from rankloom.plans.standins import table
+from rankloom.session import cut_lineage
 from rankloom.sources import lake
 
 _ID = "left(sha256({}), 32)"
@@ -436,7 +437,7 @@ SELECT entity_id, position, count(*) AS responses, CAST(sum(n) AS BIGINT) AS men
 
 def stored_scores(spark, d):
     """Label keywords against all their pages from stored vectors."""
-    stored = similarity.stored_embeddings(st.embedding_lake(spark, d))
+    stored = cut_lineage(similarity.stored_embeddings(st.embedding_lake(spark, d)))
     pairs = table(spark, d, "embeddings").selectExpr(
         "vec_id", "concat('label ', label) AS target_keyword", "concat('https://v.example.com/', vec_id, '#here') AS url",
         "CAST(NULL AS string) AS title", "concat('vector ', vec_id) AS text",
@@ -530,7 +531,24 @@ UNION ALL SELECT 'keyword_expansion', count(*) FROM customer UNION ALL SELECT 'p
 UNION ALL SELECT 'serp', 0 UNION ALL SELECT 'entities', 0"""
 
 
+def reusable(spark, d):
+    """How many stored responses of each kind can be used again."""
+    raw = st.onpage_lake(spark, d).unionByName(st.backlinks_lake(spark, d)).unionByName(st.html_lake(spark, d)).unionByName(st.entity_lake(spark, d))
+    out = None
+    for name, frame in lake.reusable_responses(raw).items():
+        counted = frame.agg(F.lit(name).alias("kind"), F.count("response_id").alias("row_count"))
+        out = counted if out is None else out.unionByName(counted)
+    return out
+
+
+REUSABLE = """SELECT 'onpage' AS kind, count(*) AS row_count FROM part
+UNION ALL SELECT 'text_analysis', count(*) FILTER (doc_id % 10 <> 9) FROM documents
+UNION ALL SELECT 'backlinks', count(*) FILTER (o_orderkey % 10 NOT IN (3, 5)) + count(*) FILTER (o_orderstatus = 'F') FROM orders
+UNION ALL SELECT 'page_text', count(DISTINCT regexp_replace(regexp_replace(split_part(url, '#', 1), '([?&])utm_source=[^&]*', ''), '[?&]$', '')) FILTER (page_id % 7 = 0) FROM pages"""
+
+
 QUERIES = {
+    "reusable_responses": (reusable, REUSABLE),
     "serp_items": (serp_items, SERP_ITEMS),
     "keyword_statuses": (keyword_statuses, KEYWORD_STATUSES),
     "serp_drift": (serp_drift, SERP_DRIFT),

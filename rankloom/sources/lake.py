@@ -11,8 +11,9 @@ from rankloom import schemas as S
 from rankloom.functions import variant as V
 from rankloom.functions.text import blocking_host, canonical_url, fold_case
 from rankloom.operators.curate import classified_page_text, open_bodies, parsed_pages, response_url
-from rankloom.operators.drift import serp_usable, text_analysis_usable, onpage_usable
+from rankloom.operators.drift import onpage_item, onpage_usable, serp_usable, text_analysis_usable
 from rankloom.operators.groups import first_per_key
+from rankloom.operators.signals import latest_usable_backlinks
 
 
 class MissingTable(FileNotFoundError):
@@ -146,14 +147,13 @@ def _latest(rows: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
 
 def reusable_responses(raw: DataFrame) -> dict[str, DataFrame]:
     """Latest usable stored response per (keyword, canonical URL), by kind."""
-    from rankloom.operators.signals import latest_usable_backlinks
-
     body = F.col("body")
     columns = ("target_keyword", "response_id", "timestamp", "url")
     onpage = open_bodies(raw, "onpage_instant_pages").where(onpage_usable(body))
+    item_url = V.text(onpage_item(body), "$.url")
     text = open_bodies(raw, "entities").where(text_analysis_usable(body))
     return {
-        "onpage": _latest(onpage.withColumn("url", response_url(body, V.text(F.get(V.objects(F.get(V.objects(F.get(V.objects(body, "$.tasks"), F.lit(0)), "$.result"), F.lit(0)), "$.items"), F.lit(0)), "$.url"))).select(*columns)),
+        "onpage": _latest(onpage.withColumn("url", response_url(body, item_url)).select(*columns)),
         "text_analysis": _latest(text.withColumn("url", response_url(body)).select(*columns)),
         "backlinks": latest_usable_backlinks(raw),
         "page_text": best_page_text(raw).where("usable"),

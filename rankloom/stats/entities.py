@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from rankloom.functions.numeric import rank_outcome
 from rankloom.operators.groups import first_per_key, group_percentiles, join_null_safe, top_per_key
+from rankloom.session import cut_lineage
 from rankloom.stats.regression import slope_table
 from rankloom.stats.spearman import adjust_p_values, keyword_correlations
 
@@ -33,8 +34,11 @@ def entity_associations(
     by (scope, entity, metric), so the entities are spread over the cluster.
     """
     entity = [*scope, "entity_id"]
-    pages = first_per_key(
-        signals, [*entity, "target_keyword_id", "canonical_url_hash"], [F.col("serp_rank").asc(), F.col("url").asc()]
+    # Read by every part below.
+    pages = cut_lineage(
+        first_per_key(
+            signals, [*entity, "target_keyword_id", "canonical_url_hash"], [F.col("serp_rank").asc(), F.col("url").asc()]
+        ).select(*entity, "target_keyword_id", "canonical_url_hash", "serp_rank", *METRICS)
     )
     present = pages.where("entity_present = 1")
     eligibility = present.groupBy(*entity).agg(
@@ -44,7 +48,7 @@ def entity_associations(
     metric = [*entity, "metric"]
     long = (
         pages.select(
-            *entity, "target_keyword_id", "serp_rank", "entity_present", *[F.col(m).cast("double").alias(f"v_{m}") for m in METRICS]
+            *entity, "target_keyword_id", "serp_rank", F.col("entity_present"), *[F.col(m).cast("double").alias(f"v_{m}") for m in METRICS]
         )
         .unpivot([*entity, "target_keyword_id", "serp_rank", "entity_present"], [f"v_{m}" for m in METRICS], "metric", "value")
         .withColumn("metric", F.substring("metric", 3, 100))

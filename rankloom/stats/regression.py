@@ -18,6 +18,7 @@ from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, Struc
 
 from rankloom.functions.dist import student_t_quantile, student_t_two_sided, t_two_sided
 from rankloom.operators.groups import group_percentiles
+from rankloom.session import cut_lineage
 from rankloom.stats.moments import (
     element,
     group_moments,
@@ -272,10 +273,14 @@ def row_meat(rows: DataFrame, model: Sequence[str], width: int, cluster: Sequenc
 def fit_models(
     frame: DataFrame, model: Sequence[str], group: str, columns: Sequence[str], outcome: str = "outcome"
 ) -> tuple[DataFrame, DataFrame]:
-    """``(moments, fits)`` of the pooled regressions with group effects."""
+    """``(moments, fits)`` of the pooled regressions with group effects.
+
+    Both are read several times afterwards and far smaller than the rows, so they
+    are written once.
+    """
     width = len(columns)
-    moments = group_moments(frame, model, group, [*columns, outcome])
-    return moments, solve_models(model_moments(moments, model, width + 1), model, width)
+    moments = cut_lineage(group_moments(frame, model, group, [*columns, outcome]))
+    return moments, cut_lineage(solve_models(model_moments(moments, model, width + 1), model, width))
 
 
 def regression_table(
@@ -371,7 +376,7 @@ def slope_table(frame: DataFrame, model: Sequence[str], group: str, column: str,
 
     Pure column arithmetic, for very many models (one per entity and metric).
     """
-    moments = group_moments(frame, model, group, [column, outcome])
+    moments = cut_lineage(group_moments(frame, model, group, [column, outcome]))
     cxx, cxy, cyy = (element(F.col("cross"), i) for i in range(3))
     totals = moments.groupBy(*model).agg(
         F.sum("n").alias("n"),
