@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from rankloom.functions import variant as V
@@ -9,8 +11,9 @@ from rankloom.operators import curate, drift, signals, similarity
 from rankloom.operators.merge import with_record_key
 from rankloom.plans import standins as st
 from rankloom.plans.standins import table
-from rankloom.session import cut_lineage
+from rankloom.session import cut_lineage, ensure_checkpoint_dir
 from rankloom.sources import lake
+from rankloom.streaming.ingest import ingest
 
 _ID = "left(sha256({}), 32)"
 
@@ -547,7 +550,60 @@ UNION ALL SELECT 'backlinks', count(*) FILTER (o_orderkey % 10 NOT IN (3, 5)) +
 UNION ALL SELECT 'page_text', count(DISTINCT regexp_replace(regexp_replace(split_part(url, '#', 1), '([?&])utm_source=[^&]*', ''), '[?&]$', '')) FILTER (page_id % 7 = 0) FROM pages"""
 
 
+def rule_scores(spark, d):
+    """Three scores of every document for the keyword in its language and source."""
+    docs = table(spark, d, "documents").selectExpr("doc_id", "concat(lang, ' crawling ', source) AS target_keyword", "text")
+    out = similarity.rule_scores(docs)
+    return out.select("doc_id", "bge_raw_score", "gemini_doc_retrieval_raw_score", "gemini_semantic_similarity_normalized_score")
+
+
+RULE_SCORES = """WITH t AS (SELECT doc_id, lower(text) AS t, lower(lang || ' crawling ' || source) AS k FROM documents),
+w AS (SELECT *, list_distinct(regexp_extract_all(k, '[a-z0-9]+')) AS kw, list_distinct(regexp_extract_all(t, '[a-z0-9]+')) AS tw,
+  contains(t, 'technical seo') OR contains(t, 'crawling') AS c, contains(t, 'index') OR contains(t, 'canonical') AS x FROM t)
+SELECT doc_id, CAST(CASE WHEN contains(t, k) THEN 0.98 WHEN x THEN 0.74 WHEN len(list_intersect(kw, tw)) = 0 THEN 0.12
+    ELSE round(least(0.12 + 0.78 * CAST(len(list_intersect(kw, tw)) AS DOUBLE) / len(kw), 0.97), 6) END AS DOUBLE) AS bge_raw_score,
+  CASE WHEN c THEN 1.0::DOUBLE WHEN x THEN round(1 / sqrt(2.0), 6) ELSE 0.0::DOUBLE END AS gemini_doc_retrieval_raw_score,
+  CASE WHEN c THEN 1.0::DOUBLE WHEN x THEN 0.6::DOUBLE ELSE 0.0::DOUBLE END AS gemini_semantic_similarity_normalized_score FROM w"""
+
+
+def similarity_rows(spark, d):
+    """Curated score rows of all documents; those without a label have no score."""
+    docs = table(spark, d, "documents").selectExpr(
+        "doc_id", "'run-1' AS run_id", "lang AS target_keyword_id", "lang AS target_keyword", "'r' AS response_id",
+        "concat('h', doc_id) AS canonical_url_hash", "concat('u', doc_id) AS url",
+    )
+    scores = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "lang"), "doc_id").selectExpr(
+        "lang AS target_keyword", "concat('u', doc_id) AS url",
+        *[f"CAST({c} AS double) AS {s}_{k}_score" for s in ("bge", "gemini_doc_retrieval", "gemini_semantic_similarity") for k, c in (("raw", "quality + 1"), ("normalized", "toxic"))],
+    )
+    return similarity.similarity_table(docs, scores).select("url", "score_row_id", "bge_raw_score", "gemini_semantic_similarity_normalized_score")
+
+
+SIMILARITY_ROWS = f"""SELECT 'u' || d.doc_id AS url, {_ID.format("'run-1|' || lang || '|u' || d.doc_id")} AS score_row_id,
+  CAST(quality + 1 AS DOUBLE) AS bge_raw_score, CAST(toxic AS DOUBLE) AS gemini_semantic_similarity_normalized_score
+FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id"""
+
+
+def incremental_ingest(spark, d):
+    """Files arrive twice and are upserted by the stream; the lake holds each record once."""
+    base = f"{ensure_checkpoint_dir(spark)}/ingest-{uuid.uuid4().hex}"
+    batch = st.expansion_lake(spark, d).unionByName(st.onpage_lake(spark, d))
+    for _ in range(2):
+        batch.write.mode("append").parquet(f"{base}/incoming")
+        ingest(spark, f"{base}/incoming", f"{base}/lake", f"{base}/progress").awaitTermination()
+    return lake.scan_raw(spark, f"{base}/lake").groupBy("endpoint").agg(
+        F.count(F.lit(1)).alias("row_count"), F.count_distinct("target_keyword").alias("keywords"), F.max("timestamp").alias("latest")
+    )
+
+
+INCREMENTAL_INGEST = """SELECT 'keyword_expansion' AS endpoint, count(*) AS row_count, count(*) AS keywords, '2024-01-01T00:00:00' AS latest FROM customer
+UNION ALL SELECT 'onpage_instant_pages', count(*), count(DISTINCT p_brand), '2024-01-02T00:00:00' FROM part"""
+
+
 QUERIES = {
+    "rule_scores": (rule_scores, RULE_SCORES),
+    "similarity_rows": (similarity_rows, SIMILARITY_ROWS),
+    "incremental_ingest": (incremental_ingest, INCREMENTAL_INGEST),
     "reusable_responses": (reusable, REUSABLE),
     "serp_items": (serp_items, SERP_ITEMS),
     "keyword_statuses": (keyword_statuses, KEYWORD_STATUSES),
