@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from rankloom.functions.dist import chi2_tail, f_tail, t_two_sided
 from rankloom.functions.numeric import rank_outcome
 from rankloom.operators.filters import RANK_DEPTHS, expand_depths
+from rankloom.operators.marts import best_ranks, entity_occurrences
 from rankloom.operators.marts import entity_signals as build_entity_signals
 from rankloom.plans import standins as st
 from rankloom.plans.marts import _ENTITY, _entity_inputs
@@ -328,6 +329,16 @@ SELECT entity_id, metric, CAST(pages AS BIGINT) AS present_page_count, kws AS pr
 FROM (SELECT *, varies AND n >= 3 AND rho IS NOT NULL AS ok FROM t JOIN v USING (entity_id, metric) JOIN e USING (entity_id))"""
 
 
+def mention_associations(spark, d):
+    """The same table from the mentions alone: no absence row is ever built."""
+    mentions, pages, serp = _entity_inputs(spark, d)
+    page = ["target_keyword_id", "canonical_url_hash"]
+    seen = entity_occurrences(mentions, [*page, "entity_id"])
+    ranked = pages.join(best_ranks(serp), ["run_id", *page], "inner")
+    out = entities.mention_associations(seen, ranked, min_tested=3)
+    return out.select("entity_id", "metric", "present_page_count", "present_keyword_count", "usable_page_count", "usable_keyword_count", F.round("median_spearman_rho", 5).alias("median_rho"), F.round("ols_coefficient", 5).alias("coefficient"), "ols_covariance")
+
+
 def entity_statuses(spark, d):
     signals = build_entity_signals(*_entity_inputs(spark, d))
     out = entities.entity_associations(signals, min_tested=3)
@@ -387,6 +398,7 @@ QUERIES = {
     "newton_step": (newton_step, NEWTON_STEP),
     "ranked_choice": (ranked_choice, None),
     "entity_associations": (entity_associations, ENTITY_ASSOCIATIONS),
+    "mention_associations": (mention_associations, ENTITY_ASSOCIATIONS),
     "entity_statuses": (entity_statuses, None),
     "entity_examples": (entity_examples, ENTITY_EXAMPLES),
     "depth_bundle": (depth_bundle, None),

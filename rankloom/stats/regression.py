@@ -376,7 +376,11 @@ def slope_table(frame: DataFrame, model: Sequence[str], group: str, column: str,
 
     Pure column arithmetic, for very many models (one per entity and metric).
     """
-    moments = cut_lineage(group_moments(frame, model, group, [column, outcome]))
+    return slopes_from_moments(cut_lineage(group_moments(frame, model, group, [column, outcome])), model)
+
+
+def slopes_from_moments(moments: DataFrame, model: Sequence[str]) -> DataFrame:
+    """The same from ``(model, group, n, cross)`` with cross = [xx, xy, yy]."""
     cxx, cxy, cyy = (element(F.col("cross"), i) for i in range(3))
     totals = moments.groupBy(*model).agg(
         F.sum("n").alias("n"),

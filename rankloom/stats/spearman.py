@@ -64,14 +64,20 @@ def keyword_correlations(
         .select(*keys, "n_rows", "__flat", rho.alias("rho"))
         .withColumn("rho", exact)
     )
-    df = F.col("n_rows") - 2
+    return tests.select(*keys, "n_rows", "rho", correlation_p_value("rho", "n_rows", "__flat").alias("p_value"))
+
+
+def correlation_p_value(rho: str, rows: str, flat: str) -> Column:
+    """Two-sided p of a rank correlation from t with ``rows - 2`` degrees of freedom."""
+    r, df = F.col(rho), F.col(rows) - 2
     # Perfect agreement: rounding must not turn an infinite t into a large finite one.
-    perfect = 1.0 - F.col("rho") * F.col("rho") < 1e-12
-    t = F.col("rho") * F.sqrt(df / F.nullif(1.0 - F.col("rho") * F.col("rho"), F.lit(0.0)))
-    p = F.when(F.col("__flat") | (df <= 0), F.lit(1.0)).when(perfect, F.lit(0.0)).otherwise(
-        F.coalesce(t_two_sided(t, df.cast("double")), F.lit(1.0))
+    perfect = 1.0 - r * r < 1e-12
+    t = r * F.sqrt(df / F.nullif(1.0 - r * r, F.lit(0.0)))
+    return (
+        F.when(F.col(flat) | (df <= 0), F.lit(1.0))
+        .when(perfect, F.lit(0.0))
+        .otherwise(F.coalesce(t_two_sided(t, df.cast("double")), F.lit(1.0)))
     )
-    return tests.select(*keys, "n_rows", "rho", p.alias("p_value"))
 
 
 def adjust_p_values(

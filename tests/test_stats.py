@@ -239,3 +239,23 @@ def test_domain_scores(spark):
     worse = frame.withColumn("bad", F.col("domain") == "d2")
     scores = {r["domain"]: r["authority_proxy"] for r in authority_proxy(worse, [], [], ["bad"]).collect()}
     assert scores["d2"] == min(scores.values())
+
+
+def test_mentions_give_the_same_associations(spark):
+    """With and without absence rows, on random pages with ties and full presence."""
+    rng = np.random.default_rng(5)
+    pages = [(f"k{k}", f"h{p}", f"u{p}", int(rng.integers(1, 8))) for k in range(6) for p in range(9)]
+    signals, seen = [], []
+    for e in range(4):
+        for k, h, u, r in pages:
+            n = int(rng.integers(0, 4)) if e else 1
+            mean = float(rng.integers(0, 5)) if n else None
+            signals.append((f"e{e}", k, k, h, u, r, int(n > 0), n, mean, mean))
+            if n:
+                seen.append((f"e{e}", k, h, n, mean, mean))
+    full = spark.createDataFrame(signals, "entity_id string, target_keyword_id string, target_keyword string, canonical_url_hash string, url string, serp_rank int, entity_present int, entity_mention_count int, entity_confidence_mean double, entity_relevance_mean double")
+    part = spark.createDataFrame(seen, "entity_id string, target_keyword_id string, canonical_url_hash string, entity_mention_count int, entity_confidence_mean double, entity_relevance_mean double")
+    ranked = spark.createDataFrame(pages, "target_keyword_id string, canonical_url_hash string, url string, serp_rank int")
+    a = entities.entity_associations(full, min_tested=2).toPandas().set_index(["entity_id", "metric"]).sort_index()
+    b = entities.mention_associations(part, ranked, min_tested=2).toPandas().set_index(["entity_id", "metric"]).sort_index()
+    pd.testing.assert_frame_equal(a, b, check_exact=False, rtol=1e-9, atol=1e-12)
