@@ -29,22 +29,19 @@ def backlink_variant(endpoint: Column, meta: Column) -> Column:
 
 def backlink_responses(raw: DataFrame) -> DataFrame:
     """Responses with variant, URL and the result object (zeros for a successful empty)."""
-    # A generator keeps later filters above it; pushed below, each would parse the body again.
-    entry = F.struct(
-        backlink_variant(F.col("endpoint"), F.col("meta")).alias("variant"),
-        record_url(F.col("body"), F.col("meta")).alias("url"),
-        F.when(successful_empty(F.col("body")), F.parse_json(F.lit('{"backlinks":0,"referring_domains":0}')))
-        .otherwise(single_result(F.col("body")))
-        .alias("result"),
-        F.col("body"),
-    )
+    body, meta = F.col("body"), F.col("meta")
     return open_bodies(raw, *BACKLINK_ENDPOINTS).select(
         "run_id",
         "target_keyword",
         "response_id",
         "timestamp",
-        F.inline(F.filter(F.array(entry), lambda e: e["url"].isNotNull())),
-    )
+        backlink_variant(F.col("endpoint"), meta).alias("variant"),
+        record_url(body, meta).alias("url"),
+        F.when(successful_empty(body), F.parse_json(F.lit('{"backlinks":0,"referring_domains":0}')))
+        .otherwise(single_result(body))
+        .alias("result"),
+        "body",
+    ).where("url is not null")
 
 
 def _metric_problems(result: Column, required: tuple[str, ...], optional: list[str]) -> Column:

@@ -48,14 +48,10 @@ def endpoint_rows(raw: DataFrame, endpoint: str) -> DataFrame:
     return raw.where(F.col("endpoint") == endpoint)
 
 
-BRANCHES = {
-    "keyword_expansion": ("run_id", "response_id", "target_keyword", "timestamp", "response_body_bytes"),
-    "serp": ("run_id", "response_id", "target_keyword", "timestamp", "response_body_bytes"),
-    "page_text": ("run_id", "response_id", "target_keyword", "timestamp", "request_metadata_json", "response_body_bytes"),
-    "backlinks": ("run_id", "endpoint", "response_id", "target_keyword", "timestamp", "request_metadata_json", "response_body_bytes"),
-    "onpage_instant_pages": ("run_id", "response_id", "target_keyword", "timestamp", "request_metadata_json", "response_body_bytes"),
-    "entities": ("run_id", "response_id", "target_keyword", "timestamp", "response_body_bytes"),
-}
+BRANCHES = ("keyword_expansion", "serp", "page_text", "backlinks", "onpage_instant_pages", "entities")
+BRANCH_COLUMNS = (
+    "run_id endpoint response_id target_keyword timestamp request_metadata_json response_body_bytes"
+).split()
 
 
 def branches(raw: DataFrame) -> dict[str, DataFrame]:
@@ -65,9 +61,9 @@ def branches(raw: DataFrame) -> dict[str, DataFrame]:
     together read the lake once.
     """
     out = {}
-    for name, columns in BRANCHES.items():
+    for name in BRANCHES:
         kept = F.col("endpoint").startswith("backlinks") if name == "backlinks" else F.col("endpoint") == name
-        out[name] = raw.where(kept).select(*columns)
+        out[name] = raw.where(kept).select(*BRANCH_COLUMNS)
     return out
 
 
