@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.functions import variant as V
-from rankloom.operators.curate import nested_http_failure, open_bodies
+from rankloom.operators.curate import nested_http_failure, open_bodies, organic_items
 
 # Fixed values: (level, field, allowed JSON types).  Levels: task, result, item.
 DECLARED = {
@@ -302,8 +302,6 @@ def onpage_usable(body: Column) -> Column:
 
 def serp_usable(body: Column, depth: int | None = None) -> Column:
     """All tasks succeeded and the organic rows reach the depth (at least one without)."""
-    from rankloom.operators.curate import organic_items
-
     tasks = V.elements(body, "$.tasks")
     fine = (F.size(tasks) > 0) & F.forall(
         tasks,

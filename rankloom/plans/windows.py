@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rankloom.operators import ranks
-from rankloom.operators.groups import attach_group_stats, first_per_key, group_percentiles, top_per_key
+from rankloom.operators.groups import first_per_key, group_percentiles, top_per_key
 from rankloom.plans import standins as st
 from rankloom.plans.standins import table
 

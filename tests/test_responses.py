@@ -9,6 +9,7 @@ from rankloom import schemas as S
 from rankloom.functions import variant as V
 from rankloom.operators import curate, drift, merge, quality, signals
 from rankloom.operators.merge import build_records
+from rankloom.sources import lake
 
 
 def records(spark, endpoint, bodies, meta=None):
@@ -33,7 +34,7 @@ def test_twenty_organic_rows_and_a_boolean_rank(spark):
 def test_broken_and_empty_bodies_give_no_rows(spark):
     raw = records(spark, "serp", [{"tasks": None}, {"tasks": [{"result": None}]}, {"tasks": [1, {"result": [2]}]}, {}])
     assert curate.serp_items(raw).count() == 0
-    assert [r["usable"] for r in __import__("rankloom.sources.lake", fromlist=["x"]).keyword_statuses(raw).collect()] == [False, False]
+    assert [r["usable"] for r in lake.keyword_statuses(raw).collect()] == [False, False]
 
 
 def test_typed_getters(spark):
