@@ -7,17 +7,37 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rankloom.llm import byte_bpe
+from rankloom.llm import byte_bpe, mixing, private_data, secrets, token_counts
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.scanned(documents(spark, sf_dir)))
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.counted(documents(spark, sf_dir))
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(documents(spark, sf_dir))
+
+
+def op9_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return private_data.digest(private_data.protected(documents(spark, sf_dir)))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encoded(documents(spark, sf_dir), keep="digest")
 
 
 QUERIES = {
+    "op3_secrets": (op3_secrets, None),
+    "op4_token_counts": (op4_token_counts, None),
+    "op6_mixing": (op6_mixing, mixing.SQL),
+    "op9_private_data": (op9_private_data, None),
     "op10_byte_bpe": (op10_byte_bpe, None),
 }
