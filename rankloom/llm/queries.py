@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rankloom.llm import byte_bpe, mixing, private_data, secrets, token_counts
+from rankloom.llm import byte_bpe, language, mixing, private_data, quality, secrets, token_counts
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +26,14 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(documents(spark, sf_dir))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judged(documents(spark, sf_dir))
+
+
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identified(documents(spark, sf_dir))
+
+
 def op9_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return private_data.digest(private_data.protected(documents(spark, sf_dir)))
 
@@ -38,6 +46,8 @@ QUERIES = {
     "op3_secrets": (op3_secrets, None),
     "op4_token_counts": (op4_token_counts, None),
     "op6_mixing": (op6_mixing, mixing.SQL),
+    "op7_quality": (op7_quality, None),
+    "op8_language": (op8_language, None),
     "op9_private_data": (op9_private_data, None),
     "op10_byte_bpe": (op10_byte_bpe, None),
 }
