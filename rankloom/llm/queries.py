@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rankloom.llm import byte_bpe, language, mixing, private_data, quality, secrets, token_counts
+from rankloom.llm import byte_bpe, jaccard_join, language, mixing, private_data, quality, secrets, token_counts
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +22,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.counted(documents(spark, sf_dir))
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.linked(documents(spark, sf_dir))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(documents(spark, sf_dir))
 
@@ -45,6 +49,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op3_secrets": (op3_secrets, None),
     "op4_token_counts": (op4_token_counts, None),
+    "op5_jaccard_join": (op5_jaccard_join, None),
     "op6_mixing": (op6_mixing, mixing.SQL),
     "op7_quality": (op7_quality, None),
     "op8_language": (op8_language, None),
