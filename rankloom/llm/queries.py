@@ -7,13 +7,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rankloom.llm import byte_bpe, jaccard_join, language, mixing, private_data, quality, secrets, token_counts
+from rankloom.llm import byte_bpe, jaccard_join, language, mixing, private_data, quality, secrets, substring_dedup, token_counts
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digest(documents(spark, sf_dir))
+
+
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scanned(documents(spark, sf_dir)))
 
@@ -47,6 +51,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_substring_dedup": (op1_substring_dedup, None),
     "op3_secrets": (op3_secrets, None),
     "op4_token_counts": (op4_token_counts, None),
     "op5_jaccard_join": (op5_jaccard_join, None),
