@@ -6,8 +6,9 @@ Each applies one operator, with production parameters, to the whole ``documents`
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from rankloom.llm import byte_bpe, jaccard_join, language, mixing, private_data, quality, secrets, substring_dedup, token_counts
+from rankloom.llm import byte_bpe, jaccard_join, language, mixing, private_data, quality, search, secrets, substring_dedup, token_counts
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +19,11 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(documents(spark, sf_dir))
 
 
+def op2_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return search.top_k(docs, docs.where(F.col("doc_id") % 100 == 0))
+
+
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scanned(documents(spark, sf_dir)))
 
@@ -52,6 +58,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_substring_dedup": (op1_substring_dedup, None),
+    "op2_search": (op2_search, search.SQL),
     "op3_secrets": (op3_secrets, None),
     "op4_token_counts": (op4_token_counts, None),
     "op5_jaccard_join": (op5_jaccard_join, None),
