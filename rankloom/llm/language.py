@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rankloom.llm.words import mixed as spread
 from rankloom.llm.words import slices
@@ -118,35 +119,40 @@ def _clustered(x: np.ndarray, k: int, rounds: int) -> np.ndarray:
     return c
 
 
+def _judged(rows: DataFrame, model: Model) -> DataFrame:
+    """Columns of ``rows`` (with ``text``) but the text, and ``lang_pred``, ``score``, ``rejected``."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+    rest = [f for f in rows.schema.fields if f.name != "text"]
+    names = [f.name for f in rest]
+
+    def judge(text: str | None, m: Model) -> tuple[str, float, bool]:
+        counts = gram_counts(text)
+        if counts is None or not m.languages:
+            return UNDETERMINED, 0.0, True
+        at = np.flatnonzero(counts)
+        v = np.log1p(counts[at]).astype(np.float32) * m.idf[at]
+        cosine = m.centroids[:, at] @ (v / max(float(np.linalg.norm(v)), 1e-12))
+        best = int(cosine.argmax())
+        k = int(m.owner[best])
+        return m.languages[k], min(max(float(cosine[best]), 0.0), 1.0), bool(cosine[best] < m.floor[k])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            made = [judge(t, shared.value) for t in batch.column("text").to_pylist()]
+            columns = [pa.array([x[i] for x in made], kind) for i, kind in enumerate((pa.string(), pa.float64(), pa.bool_()))]
+            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], *columns], names=[*names, "lang_pred", "score", "rejected"])
+
+    made = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())]
+    return rows.mapInArrow(run, T.StructType([*rest, *made]))
+
+
 def predicted(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id``, ``lang_pred``, ``score`` (cosine, 0 to 1), ``rejected``: a row for each row of ``docs``.
 
     Texts without a letter, and all texts if nothing was learned, are ``und`` with score 0
     and rejected.  Ties go to the language that is first by name.  Repeated rows stay.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        for batch in slices(batches):
-            names, scores, bad = [], [], []
-            for text in batch.column("text").to_pylist():
-                counts = gram_counts(text)
-                if counts is None or not m.languages:
-                    names.append(UNDETERMINED), scores.append(0.0), bad.append(True)
-                    continue
-                at = np.flatnonzero(counts)
-                v = np.log1p(counts[at]).astype(np.float32) * m.idf[at]
-                cosine = m.centroids[:, at] @ (v / max(float(np.linalg.norm(v)), 1e-12))
-                best = int(cosine.argmax())
-                k = int(m.owner[best])
-                names.append(m.languages[k]), scores.append(min(max(float(cosine[best]), 0.0), 1.0)), bad.append(bool(cosine[best] < m.floor[k]))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(bad, pa.bool_()), batch.column("row")], names=["doc_id", "lang_pred", "score", "rejected", "row"])
-
-    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row") if id_col == "" else F.lit(None).cast("string").alias("row")
-    rows = docs.select((F.col(id_col).cast("long") if id_col else F.lit(None).cast("long")).alias("doc_id"), F.col(text_col).cast("string").alias("text"), whole)
-    kind = rows.schema["row"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id long, lang_pred string, score double, rejected boolean, row {kind}")
+    return _judged(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), model)
 
 
 def held_out(id_column: Column) -> Column:
@@ -163,4 +169,5 @@ def identified(docs: DataFrame, sample: int = 1000, most_languages: int = 200, i
 def accepted(docs: DataFrame, sample: int = 1000, most_languages: int = 200, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of ``docs`` that are not rejected, with their own columns."""
     model = fitted(training_rows(docs, ~held_out(F.col(id_col)), sample, most_languages, id_col, text_col, lang_col))
-    return predicted(docs, model, "", text_col).where(~F.col("rejected")).select("row.*")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text_col).cast("string").alias("text"))
+    return _judged(rows, model).where(~F.col("rejected")).select("row.*")

@@ -140,3 +140,14 @@ def digest(result: DataFrame) -> DataFrame:
         F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"),
         joined(F.col("spans")).alias("spans"),
     )
+
+
+def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.9, support: int = 3) -> DataFrame:
+    """``docs`` with every span of the text replaced by its kind; all other columns as they are."""
+    marked = protected(docs, id_col, text_col, threshold, support).where(F.size("spans") > 0).select("key", "spans").dropDuplicates(["key"])
+    marked = stored(marked, "private-marked")
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), row_key(F.col(id_col).cast("long"), text).alias("key"))
+    both = rows.join(marked.hint("shuffle_hash"), "key", "left")
+    changed = F.when(F.col("spans").isNull(), F.col(f"row.`{text_col}`")).otherwise(redacted(F.col(f"row.`{text_col}`"), F.col("spans")))
+    return both.select(*[(changed if c == text_col else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
