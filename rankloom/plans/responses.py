@@ -105,7 +105,7 @@ def distinct_responses(spark, d):
 
 
 DISTINCT_RESPONSES = """SELECT 'page_text' AS endpoint, n AS row_count, n AS ids FROM (
-  SELECT count(*) FILTER (page_id % 7 = 0) + count(DISTINCT page_id % 7) FILTER (page_id % 7 <> 0) AS n FROM pages)"""
+  SELECT count(*) + count(DISTINCT page_id % 7) FILTER (page_id % 7 <> 0) AS n FROM pages)"""
 
 
 # --- keywords ---------------------------------------------------------------
@@ -274,7 +274,7 @@ def page_html(spark, d):
     return curate.page_html(st.html_lake(spark, d)).select("url", F.md5("raw_html").alias("digest"))
 
 
-PAGE_HTML = f"SELECT url, md5({_STRIP.format('html')}) AS digest FROM pages WHERE page_id % 7 = 0"
+PAGE_HTML = f"SELECT url, md5({_STRIP.format('html')}) AS digest FROM pages"
 
 
 def content_fields(spark, d):
@@ -312,16 +312,16 @@ def crawl_health(spark, d):
 
 
 CRAWL_HEALTH = """SELECT regexp_replace(split_part(split_part(lower(url), '://', 2), '/', 1), '^www\\.', '') AS host,
-  CASE page_id % 7 WHEN 0 THEN 'usable' WHEN 1 THEN 'timeout' WHEN 2 THEN 'pool_related' WHEN 3 THEN 'javascript_disabled'
+  CASE kind WHEN 0 THEN 'usable' WHEN 1 THEN 'timeout' WHEN 2 THEN 'pool_related' WHEN 3 THEN 'javascript_disabled'
     WHEN 4 THEN 'empty' WHEN 5 THEN 'provider_failure' ELSE 'timeout' END AS response_class, count(*) AS response_count
-FROM pages GROUP BY 1, 2"""
+FROM (SELECT url, 0 AS kind FROM pages UNION ALL SELECT url, page_id % 7 FROM pages WHERE page_id % 7 <> 0) GROUP BY 1, 2"""
 
 
 def page_text_drift(spark, d):
     return drift.response_violations(st.html_lake(spark, d), "page_text").groupBy("path", "actual").agg(F.count(F.lit(1)).alias("row_count"))
 
 
-PAGE_TEXT_DRIFT = """SELECT 'tasks[0].result[0].items[0]' AS path, 'object' AS actual, count(*) AS row_count FROM pages WHERE page_id % 7 = 0
+PAGE_TEXT_DRIFT = """SELECT 'tasks[0].result[0].items[0]' AS path, 'object' AS actual, count(*) AS row_count FROM pages
 UNION ALL SELECT 'tasks[0].result', 'absent', 0 WHERE false
 UNION ALL SELECT 'tasks[0].result[0].items', 'absent', count(*) FROM pages WHERE page_id % 7 = 6"""
 
@@ -330,11 +330,8 @@ def best_page_text(spark, d):
     return lake.best_page_text(st.html_lake(spark, d)).groupBy("response_class", "usable").agg(F.count(F.lit(1)).alias("row_count"))
 
 
-BEST_PAGE_TEXT = """WITH c AS (SELECT page_id, regexp_replace(regexp_replace(split_part(url, '#', 1), '([?&])utm_source=[^&]*', ''), '[?&]$', '') AS canon FROM pages),
-b AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY canon ORDER BY page_id % 7 = 0 DESC, page_id DESC) = 1)
-SELECT CASE page_id % 7 WHEN 0 THEN 'usable' WHEN 1 THEN 'timeout' WHEN 2 THEN 'pool_related' WHEN 3 THEN 'javascript_disabled'
-    WHEN 4 THEN 'empty' WHEN 5 THEN 'provider_failure' ELSE 'timeout' END AS response_class, page_id % 7 = 0 AS usable, count(*) AS row_count
-FROM b GROUP BY 1, 2"""
+BEST_PAGE_TEXT = """SELECT 'usable' AS response_class, true AS usable,
+  count(DISTINCT regexp_replace(regexp_replace(split_part(url, '#', 1), '([?&])utm_source=[^&]*', ''), '[?&]$', '')) AS row_count FROM pages"""
 
 
 def retry_decisions(spark, d):
@@ -530,7 +527,7 @@ def lake_branches(spark, d):
 
 LAKE_BRANCHES = """SELECT 'onpage_instant_pages' AS branch, 2 * count(*) AS row_count FROM part
 UNION ALL SELECT 'backlinks', count(*) + count(*) FILTER (o_orderstatus = 'F') FROM orders
-UNION ALL SELECT 'keyword_expansion', count(*) FROM customer UNION ALL SELECT 'page_text', count(*) FROM pages
+UNION ALL SELECT 'keyword_expansion', count(*) FROM customer UNION ALL SELECT 'page_text', count(*) + count(*) FILTER (page_id % 7 <> 0) FROM pages
 UNION ALL SELECT 'serp', 0 UNION ALL SELECT 'entities', 0"""
 
 
@@ -547,7 +544,7 @@ def reusable(spark, d):
 REUSABLE = """SELECT 'onpage' AS kind, count(*) AS row_count FROM part
 UNION ALL SELECT 'text_analysis', count(*) FILTER (doc_id % 10 <> 9) FROM documents
 UNION ALL SELECT 'backlinks', count(*) FILTER (o_orderkey % 10 NOT IN (3, 5)) + count(*) FILTER (o_orderstatus = 'F') FROM orders
-UNION ALL SELECT 'page_text', count(DISTINCT regexp_replace(regexp_replace(split_part(url, '#', 1), '([?&])utm_source=[^&]*', ''), '[?&]$', '')) FILTER (page_id % 7 = 0) FROM pages"""
+UNION ALL SELECT 'page_text', count(DISTINCT regexp_replace(regexp_replace(split_part(url, '#', 1), '([?&])utm_source=[^&]*', ''), '[?&]$', '')) FROM pages"""
 
 
 def rule_scores(spark, d):

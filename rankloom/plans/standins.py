@@ -11,11 +11,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.operators.groups import top_per_key
+from rankloom.operators.groups import group_row_number
 from rankloom.operators.merge import build_records
 
 RUN = "run-1"
 DEPTH = 20
+#: A supplier has fewer lists than this; list numbers are supplier * LISTS + n.
+LISTS = 10_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,21 +25,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(frame: DataFrame) -> DataFrame:
-    """Use all cores for JSON work on a file that is too small to be split.
-
-    A table with at least as many splits as the cluster has cores passes unchanged.
-    """
-    cores = frame.sparkSession.sparkContext.defaultParallelism
-    return frame if frame.rdd.getNumPartitions() >= cores else frame.repartition(cores)
+    """Deal rows over all cores before JSON work; the files of the given tables are few."""
+    return frame.repartition(frame.sparkSession.sparkContext.defaultParallelism)
 
 
 # --- panels -----------------------------------------------------------------
 
 
-def panel(spark: SparkSession, sf_dir: str, depth: int = DEPTH) -> DataFrame:
-    """Ranked list per supplier: the ``depth`` dearest line items."""
+def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranked lists of at most ``DEPTH`` rows over all line items.
+
+    A supplier's line items by price, dearest first, fill one list after another.
+    """
     rows = table(spark, sf_dir, "lineitem").select(
-        F.col("l_suppkey").alias("keyword_id"),
+        F.col("l_suppkey").alias("supplier"),
         F.col("l_partkey").alias("url_id"),
         "l_orderkey",
         "l_linenumber",
@@ -47,16 +48,23 @@ def panel(spark: SparkSession, sf_dir: str, depth: int = DEPTH) -> DataFrame:
         "l_tax",
     )
     order = [F.col("l_extendedprice").desc(), *[F.col(c).asc() for c in ("l_orderkey", "l_linenumber", "url_id")]]
-    return top_per_key(rows, ["keyword_id"], order, depth, "serp_rank")
+    numbered = group_row_number(rows, ["supplier"], order, "place")
+    return numbered.select(
+        (F.col("supplier") * LISTS + F.floor((F.col("place") - 1) / DEPTH)).cast("bigint").alias("keyword_id"),
+        *[c for c in rows.columns if c != "supplier"],
+        ((F.col("place") - 1) % DEPTH + 1).cast("bigint").alias("serp_rank"),
+    )
 
 
-PANEL = """panel AS (
-  SELECT * FROM (
-    SELECT l_suppkey AS keyword_id, l_partkey AS url_id, l_orderkey, l_linenumber, l_quantity,
+PANEL = f"""panel AS (
+  SELECT CAST(supplier * {LISTS} + (place - 1) // {DEPTH} AS BIGINT) AS keyword_id, url_id, l_orderkey, l_linenumber, l_quantity,
+         l_extendedprice, l_discount, l_tax, CAST((place - 1) % {DEPTH} + 1 AS BIGINT) AS serp_rank
+  FROM (
+    SELECT l_suppkey AS supplier, l_partkey AS url_id, l_orderkey, l_linenumber, l_quantity,
            l_extendedprice, l_discount, l_tax,
            row_number() OVER (PARTITION BY l_suppkey
-             ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber, l_partkey) AS serp_rank
-    FROM lineitem) WHERE serp_rank <= 20)"""
+             ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber, l_partkey) AS place
+    FROM lineitem))"""
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -332,7 +340,7 @@ def text_lake(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def html_lake(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One page-text response per web page with its HTML; some failed in several ways (by id)."""
+    """A page-text response with its HTML for every web page; six of seven pages also have an older failed one (by id)."""
     ok = """to_json(named_struct('status_code', 20000, 'tasks', array(named_struct('status_code', 20000, 'result', array(named_struct(
       'items', array(named_struct('url', url, 'nested', named_struct('html', html)))))))))"""
     failed = """CASE page_id % 7
@@ -342,12 +350,16 @@ def html_lake(spark: SparkSession, sf_dir: str) -> DataFrame:
       WHEN 4 THEN '{"status_code":20000,"tasks":[{"status_code":20000,"result":[{"items":[]}]}]}'
       WHEN 5 THEN '{"tasks":[{"status_code":40400,"result":null}]}'
       WHEN 6 THEN '{"tasks":[{"result":[{"crawl_status":" Timeout "}]}]}' END"""
-    rows = spread(table(spark, sf_dir, "pages")).selectExpr(
-        "'web' AS target_keyword",
-        "concat('2024-01-01T00:00:00.', lpad(page_id, 12, '0')) AS timestamp",
-        f"coalesce({failed}, {ok}) AS body_json",
-        "to_json(named_struct('url', url)) AS metadata_json",
-    )
+    stored = [
+        spread(table(spark, sf_dir, "pages").where(f"page_id % 7 <> 0 OR {n} = 1")).selectExpr(
+            "'web' AS target_keyword",
+            f"concat('2024-01-0{n + 1}T00:00:00.', lpad(page_id, 12, '0')) AS timestamp",
+            f"{body} AS body_json",
+            "to_json(named_struct('url', url)) AS metadata_json",
+        )
+        for n, body in enumerate((failed, ok))
+    ]
+    rows = stored[0].unionByName(stored[1])
     return build_records(rows, RUN, "page_text", "crawl")
 
 
