@@ -51,9 +51,12 @@ def repeated_words(ordered: Column) -> Column:
     return F.coalesce(F.size(F.array_distinct(F.flatten(places))), F.lit(0)).cast("long")
 
 
-def class_counts(text: Column) -> Column:
-    """Characters by class, in the order of ``CLASSES``."""
-    rest = F.regexp_replace(text, r"\p{L}+", "")
+def not_letters(text: Column) -> Column:
+    return F.regexp_replace(text, r"\p{L}+", "")
+
+
+def class_counts(text: Column, rest: Column) -> Column:
+    """Characters by class, in the order of ``CLASSES``; ``rest`` is the text without its letters."""
     letters = F.length(text) - F.length(rest)
     upper = F.length(F.regexp_replace(text, r"[^\p{Lu}]+", ""))
     counts = [F.length(F.regexp_replace(rest, c, "")) for c in ("[^0-9]+", r"[^\x20\x09-\x0D]+", r"[^.,;:!?'\"()\-]+")]
@@ -72,32 +75,33 @@ def divergence(counts: Column, reference: Column) -> Column:
 
 
 def references(rows: DataFrame, common: int) -> DataFrame:
-    """``language``, ``words`` (most frequent first, ties by code point), ``word_share`` (one more entry
-    for the rest), ``class_share``; one row per language, null being one."""
-    counts = rows.select("language", F.explode(F.transform("words", lambda w: F.lower(w))).alias("word")).groupBy("language", "word").agg(F.count("*").alias("n"))
+    """``language``, ``common`` (words, most frequent first, ties by code point), ``word_share`` (one more entry
+    for the rest), ``class_share``; one row per language, null being one.  ``rows``: ``language``, ``text``."""
+    counts = rows.select("language", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0))).alias("word")).groupBy("language", "word").agg(F.count("*").alias("n"))
+    counts = stored(counts, "quality-words")
     best = Window.partitionBy("language").orderBy(F.col("n").desc(), "word")
     top = counts.withColumn("place", F.row_number().over(best)).where(F.col("place") <= common).groupBy("language").agg(F.sort_array(F.collect_list(F.struct("place", "word", "n"))).alias("top"))
-    totals = rows.groupBy("language").agg(F.sum(F.size("words")).cast("double").alias("all_words"), *[F.sum(F.get("classes", F.lit(i))).alias(f"c{i}") for i in range(len(CLASSES))])
+    words = counts.groupBy(F.col("language").alias("in_words")).agg(F.sum("n").cast("double").alias("all_words"))
+    classes = rows.withColumn("rest", not_letters(F.col("text"))).select("language", class_counts(F.col("text"), F.col("rest")).alias("classes"))
+    totals = classes.groupBy(F.col("language").alias("in_classes")).agg(*[F.sum(F.get("classes", F.lit(i))).alias(f"c{i}") for i in range(len(CLASSES))])
     chars = sum((F.col(f"c{i}") for i in range(1, len(CLASSES))), F.col("c0"))
     shares = F.transform("top", lambda t: t["n"] / F.col("all_words"))
     rest = F.greatest(F.lit(0.0), 1 - F.aggregate(shares, F.lit(0.0), lambda a, x: a + x))
-    return top.withColumnRenamed("language", "of").join(totals, F.col("of").eqNullSafe(F.col("language"))).select(
-        F.col("of").alias("language"),
-        F.transform("top", lambda t: t["word"]).alias("common"),
-        F.concat(shares, F.array(rest)).alias("word_share"),
-        F.array(*[F.col(f"c{i}") / chars for i in range(len(CLASSES))]).alias("class_share"),
+    both = top.join(words, F.col("language").eqNullSafe(F.col("in_words"))).join(totals, F.col("language").eqNullSafe(F.col("in_classes")))
+    return both.select(
+        "language", F.transform("top", lambda t: t["word"]).alias("common"), F.concat(shares, F.array(rest)).alias("word_share"), F.array(*[F.col(f"c{i}") / chars for i in range(len(CLASSES))]).alias("class_share")
     )
 
 
-def word_line(words: Column) -> Column:
-    """All words in lower case, each between two blanks of its own."""
-    return F.concat(F.lit(" "), F.lower(F.array_join(words, "  ")), F.lit(" "))
+def common_places(words: Column, common: Column) -> Column:
+    """For every word that is a common one, its place among them."""
+    return F.filter(F.transform(words, lambda w: F.array_position(common, F.lower(w))), lambda p: p > 0)
 
 
-def common_counts(line: Column, n_words: Column, common: Column) -> Column:
-    """How often each common word stands in a column of ``word_line``, and the number of all other words."""
-    hits = F.transform(common, lambda c: (F.length(line) - F.length(F.replace(line, F.concat(F.lit(" "), c, F.lit(" ")), F.lit("")))) / (F.length(c) + 2.0))
-    return F.concat(hits, F.array(n_words - F.aggregate(hits, F.lit(0.0), lambda a, x: a + x)))
+def common_counts(places: Column, n_words: Column, common: Column) -> Column:
+    """How often each common word stands in a column of ``common_places``, and the number of all other words."""
+    hits = F.transform(common, lambda _, i: F.size(F.filter(places, lambda p: p == i + 1)).cast("double"))
+    return F.concat(hits, F.array((n_words - F.size(places)).cast("double")))
 
 
 def judged(
@@ -118,27 +122,27 @@ def judged(
     Repeated rows stay, and count as often as they stand.  Other columns are not read.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("language"), text.alias("text")).withColumn(
-        "words", F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
-    )
-    learned = stored(references(rows.select("language", "words", class_counts(F.col("text")).alias("classes")), common), "quality-references")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("language"), text.alias("text"))
+    learned = stored(references(rows.select("language", "text"), common), "quality-references")
+    rows = rows.withColumn("words", F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).withColumn("rest", not_letters(F.col("text")))
     lines = F.filter(F.split("text", "\n", -1), lambda x: x.rlike(WORD))
     counted = rows.select(
         "doc_id",
         "language",
         F.size("words").cast("long").alias("n_words"),
-        F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
-        F.length(F.regexp_replace("text", r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
+        F.length(F.regexp_replace("rest", r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
         (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
         F.when(F.size("words") >= 4, window_names(F.col("words"))).alias("windows"),
-        class_counts(F.col("text")).alias("classes"),
-        word_line(F.col("words")).alias("line"),
+        class_counts(F.col("text"), F.col("rest")).alias("classes"),
+        "words",
         F.length("text").alias("n_chars"),
     )
     counted = counted.withColumn("n_repeat_words", repeated_words(F.col("windows"))).drop("windows")
+    counted = counted.withColumn("word_chars", (F.col("n_chars") - F.get("classes", F.lit(CLASSES.index("space")))).cast("long"))
     reference = learned.withColumnRenamed("language", "of")
     both = counted.join(reference, F.col("language").eqNullSafe(F.col("of")), "left")
-    both = both.withColumn("word_counts", common_counts(F.col("line"), F.col("n_words"), F.col("common"))).drop("line")
+    both = both.withColumn("places", common_places(F.col("words"), F.col("common"))).drop("words")
+    both = both.withColumn("word_counts", common_counts(F.col("places"), F.col("n_words"), F.col("common")))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     by_class = F.when(F.col("n_chars") >= least_chars, divergence(F.col("classes"), F.col("class_share")))
     by_word = F.when(F.col("n_words") >= least_words, divergence(F.col("word_counts"), F.col("word_share")))
