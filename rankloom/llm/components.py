@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.llm.staging import stored
+from rankloom.llm.staging import discarded, stored
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -26,6 +26,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         small = large.join(lowest, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
         after = stored(small.where("a <> b").distinct(), name)
         changed = after.join(pairs, ["a", "b"], "left_anti").limit(1).count() or pairs.join(after, ["a", "b"], "left_anti").limit(1).count()
+        discarded(pairs, large)
         pairs = after
         if not changed:
             break

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import Column, DataFrame
@@ -13,13 +14,27 @@ from rankloom.session import ensure_checkpoint_dir
 def stored(frame: DataFrame, name: str) -> DataFrame:
     """Write ``frame`` as Parquet under ``spark.checkpoint.dir`` and read it back.
 
-    Cuts the lineage and outlives any executor; the folder goes with the checkpoint folder.
+    Cuts the lineage and outlives any executor.  The shuffle files of what has been written
+    are of no more use; Spark removes them once the driver's garbage is collected, which
+    happens here instead of by chance.  ``discarded`` removes the table itself.
     """
     spark = frame.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None) or ensure_checkpoint_dir(spark)
     path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     frame.write.parquet(path)
-    return spark.read.schema(frame.schema).parquet(path)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    out = spark.read.schema(frame.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def discarded(*frames: DataFrame) -> None:
+    """Delete tables written by ``stored`` that nothing reads any more."""
+    for frame in frames:
+        context = frame.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(frame.staged_at)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def row_key(doc_id: Column, text: Column) -> Column:
