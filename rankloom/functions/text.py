@@ -13,6 +13,11 @@ def _c(value: Column | str) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
+def stripped(text: Column | str) -> Column:
+    """Without white space of any kind at both ends (line breaks, tabs and no-break blanks too)."""
+    return F.regexp_replace(_c(text), r"(?U)^[\s\x1C-\x1F]+|[\s\x1C-\x1F]+$", "")
+
+
 def normalize_whitespace(text: Column | str) -> Column:
     return F.trim(F.regexp_replace(_c(text), r"(?U)[\s\x1C-\x1F]+", " "))
 
@@ -41,7 +46,7 @@ def hostname(url: Column | str) -> Column:
 
 def blocking_host(url: Column | str) -> Column:
     """Lower-case host without scheme, user info, port and ``www.``."""
-    host = F.lower(F.trim(_c(url)))
+    host = F.lower(stripped(url))
     host = F.regexp_replace(host, r"^.*?://", "")
     host = F.regexp_extract(host, r"^([^/?#]*)", 1)
     host = F.regexp_replace(host, r"^.*@", "")

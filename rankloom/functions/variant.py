@@ -12,6 +12,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from rankloom.functions.text import stripped
+
 NUMBER_TYPES = "^(TINYINT|SMALLINT|INT|BIGINT|FLOAT|DOUBLE|DECIMAL.*)$"
 # A whole number too large for a bigint is stored as a decimal without fraction.
 INTEGER_TYPES = r"^(TINYINT|SMALLINT|INT|BIGINT|DECIMAL\(\d+,\s?0\))$"
@@ -143,4 +145,4 @@ def task_items(body: Column) -> Column:
 
 def first_text(candidates: Iterable[Column]) -> Column:
     """First candidate that is not blank, trimmed."""
-    return F.coalesce(*[F.nullif(F.trim(c), F.lit("")) for c in candidates])
+    return F.coalesce(*[F.nullif(stripped(c), F.lit("")) for c in candidates])

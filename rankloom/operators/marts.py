@@ -328,12 +328,20 @@ def with_text_metrics(analysis: DataFrame, metrics: DataFrame | None) -> DataFra
 
 
 def importance_panel(base: DataFrame, *others: DataFrame) -> DataFrame:
-    """Left-join marts on the page key; the ranked item joins the key where both have it."""
+    """Left-join marts on the page key; the ranked item joins the key where both have it.
+
+    A mart must have one row per key, so that no row of ``base`` is multiplied; a second
+    row of a key stops the job with its key.
+    """
     out = base
     for other in others:
         keys = [*PAGE_KEY, *(["serp_item_id"] if "serp_item_id" in out.columns and "serp_item_id" in other.columns else [])]
         added = [c for c in other.columns if c not in out.columns]
-        out = out.join(other.select(*keys, *added), keys, "left")
+        single = other.groupBy(*keys).agg(*[F.first(c).alias(c) for c in added], F.count(F.lit(1)).alias("__rows"))
+        message = F.concat(F.lit("several mart rows for "), F.concat_ws("|", *keys))
+        # Checked in the same aggregate that the join uses; the filter keeps the check alive.
+        single = single.where(F.when(F.col("__rows") > 1, F.raise_error(message).cast("boolean")).otherwise(F.lit(True))).drop("__rows")
+        out = out.join(single, keys, "left")
     return out
 
 

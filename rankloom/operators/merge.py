@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from rankloom import schemas as S
 from rankloom.functions import variant as V
-from rankloom.functions.text import canonical_url, fold_case
+from rankloom.functions.text import canonical_url, fold_case, stripped
 from rankloom.operators.curate import record_url
 from rankloom.operators.filters import owned_rows
 from rankloom.operators.groups import first_per_key
@@ -79,7 +79,7 @@ def with_record_key(raw: DataFrame) -> DataFrame:
         .otherwise(F.col("response_id"))
     )
     return raw.withColumns(
-        {"record_key": F.trim(fold_case(F.coalesce("target_keyword", F.lit("")))), "record_scope": scope}
+        {"record_key": stripped(fold_case(F.coalesce("target_keyword", F.lit("")))), "record_scope": scope}
     )
 
 
@@ -205,12 +205,16 @@ def keyword_overlaps(combined: DataFrame, key: Sequence[str] = ("target_keyword_
 
 
 def config_mismatches(configs: DataFrame, fields: Sequence[str], run: str = "source_run") -> DataFrame:
-    """Settings that differ between runs: ``(field, run_values)``; one row per run in."""
-    cells = F.array(*[F.struct(F.lit(f).alias("field"), F.to_json(F.struct(F.col(f))).alias("value")) for f in fields])
+    """Settings that differ between runs, one row per run in.
+
+    ``field``, ``distinct_values``, ``run_count`` and ``run_values``: (run, value as JSON) of
+    every run by name; as long as the list of runs.
+    """
+    cells = F.array(*[F.struct(F.lit(f).alias("field"), F.to_json(F.struct(F.col(f).alias("value")), {"ignoreNullFields": "false"}).alias("value")) for f in fields])
     long = configs.select(run, F.inline(cells))
     return (
         long.groupBy("field")
-        .agg(F.count_distinct("value").alias("distinct_values"), F.count(F.lit(1)).alias("run_count"))
+        .agg(F.count_distinct("value").alias("distinct_values"), F.count(F.lit(1)).alias("run_count"), F.array_sort(F.collect_list(F.struct(F.col(run).alias("run"), "value"))).alias("run_values"))
         .where("distinct_values > 1")
     )
 
@@ -256,11 +260,11 @@ def missing_variants(urls: DataFrame, usable: DataFrame, variants: Sequence[str]
 
 def missing_pages(pages: DataFrame, done: DataFrame, order: Sequence[Column]) -> DataFrame:
     """First non-blank page per (keyword, URL) that has no stored analysis yet."""
-    filled = pages.where(F.trim("text") != "").withColumns(
-        {"__k": F.trim(fold_case("target_keyword")), "__u": F.trim("url")}
+    filled = pages.where(stripped("text") != "").withColumns(
+        {"__k": stripped(fold_case("target_keyword")), "__u": stripped("url")}
     ).where("__k != '' and __u != ''")
     first = first_per_key(filled, ["__k", "__u"], order)
-    known = done.select(F.trim(fold_case("target_keyword")).alias("__k"), canonical_url(F.trim("url")).alias("__c")).distinct()
+    known = done.select(stripped(fold_case("target_keyword")).alias("__k"), canonical_url(stripped("url")).alias("__c")).distinct()
     return (
         first.withColumn("__c", canonical_url("__u")).join(known, ["__k", "__c"], "left_anti").drop("__k", "__u", "__c")
     )

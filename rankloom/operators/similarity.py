@@ -13,6 +13,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from rankloom import schemas as S
 from rankloom.functions import variant as V
 from rankloom.functions.text import (
+    stripped,
     canonical_url,
     document_prompt,
     fold_case,
@@ -63,7 +64,7 @@ def embedding_identity(
 ) -> list[Column]:
     return [
         role.alias("role"),
-        F.trim(fold_case(F.coalesce(keyword, F.lit("")))).alias("keyword_key"),
+        stripped(fold_case(F.coalesce(keyword, F.lit("")))).alias("keyword_key"),
         F.when(F.coalesce(url, F.lit("")) != "", canonical_url(url)).otherwise(F.lit("")).alias("url_key"),
         input_sha256.alias("input_sha256"),
         model.alias("model"),

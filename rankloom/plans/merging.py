@@ -130,11 +130,17 @@ OWNED = "SELECT l_suppkey, l_orderkey, l_linenumber, l_partkey FROM lineitem WHE
 
 def config_mismatches(spark, d):
     configs = table(spark, d, "nation").selectExpr("n_name AS source_run", "n_regionkey AS depth", "'desktop' AS device", "if(n_nationkey = 3, NULL, 'en') AS language")
-    return G.config_mismatches(configs, ["depth", "device", "language"])
+    out = G.config_mismatches(configs, ["depth", "device", "language"])
+    values = F.array_join(F.transform("run_values", lambda r: F.concat(r["run"], F.lit("="), r["value"])), ",")
+    return out.withColumn("run_values", values)
 
 
-CONFIG_MISMATCHES = """SELECT 'depth' AS field, count(DISTINCT n_regionkey) AS distinct_values, count(*) AS run_count FROM nation HAVING count(DISTINCT n_regionkey) > 1
-UNION ALL SELECT 'language', 2, count(*) FROM nation HAVING count(*) FILTER (n_nationkey = 3) > 0"""
+CONFIG_MISMATCHES = """WITH v AS (
+  SELECT 'depth' AS field, n_name AS run, '{"value":' || n_regionkey || '}' AS value FROM nation
+  UNION ALL SELECT 'device', n_name, '{"value":"desktop"}' FROM nation
+  UNION ALL SELECT 'language', n_name, CASE WHEN n_nationkey = 3 THEN '{"value":null}' ELSE '{"value":"en"}' END FROM nation)
+SELECT field, count(DISTINCT value) AS distinct_values, count(*) AS run_count, string_agg(run || '=' || value, ',' ORDER BY run, value) AS run_values
+FROM v GROUP BY field HAVING count(DISTINCT value) > 1"""
 
 
 def missing_urls(spark, d):

@@ -346,7 +346,7 @@ UNION ALL SELECT 'l_discount', count(*), count(nullif(l_discount, 0)), count(*)
 
 def catalog_by_partition(spark, d):
     rows = table(spark, d, "orders").selectExpr("o_orderstatus AS endpoint", "o_custkey AS response_id", "'raw_responses.v1' AS schema_version", "o_totalprice")
-    return dataset_catalog(rows, ["endpoint"]).drop("content_xor")
+    return dataset_catalog(rows, ["endpoint"]).drop("content_xor", "content_sum")
 
 
 CATALOG_BY_PARTITION = """SELECT o_orderstatus AS endpoint, 'raw_responses.v1' AS schema_version, count(*) AS row_count,

@@ -9,7 +9,7 @@ from pyspark.sql.types import StructType
 
 from rankloom import schemas as S
 from rankloom.functions import variant as V
-from rankloom.functions.text import blocking_host, canonical_url, fold_case
+from rankloom.functions.text import blocking_host, canonical_url, fold_case, stripped
 from rankloom.operators.curate import classified_page_text, open_bodies, parsed_pages, response_url
 from rankloom.operators.drift import onpage_item, onpage_usable, serp_usable, text_analysis_usable
 from rankloom.operators.groups import first_per_key
@@ -76,7 +76,7 @@ def stored_body(raw: DataFrame, response_id: str) -> DataFrame:
 
 def blocklist(lines: DataFrame, column: str = "value") -> DataFrame:
     """Distinct hosts of a text source: first token per line, ``#`` starts a comment line."""
-    line = F.trim(F.col(column))
+    line = stripped(F.col(column))
     return (
         lines.where((line != "") & ~line.startswith("#"))
         .select(blocking_host(F.regexp_extract(line, r"^(\S+)", 1)).alias("domain"))
@@ -120,17 +120,17 @@ def pages_to_analyse(raw: DataFrame, curated_pages: DataFrame) -> DataFrame:
     """Pages of the raw lake; curated pages only for keywords the lake has none for."""
     columns = ["target_keyword", "url", "title", "text"]
     fresh = parsed_pages(raw).where("text != ''").select(*columns, F.lit("raw").alias("source"))
-    have = fresh.select(F.trim(fold_case("target_keyword")).alias("__k")).distinct()
+    have = fresh.select(stripped(fold_case("target_keyword")).alias("__k")).distinct()
     older = (
-        curated_pages.where(F.trim("text") != "")
+        curated_pages.where(stripped("text") != "")
         .select(*columns, F.lit("curated").alias("source"))
-        .withColumn("__k", F.trim(fold_case("target_keyword")))
+        .withColumn("__k", stripped(fold_case("target_keyword")))
         .join(have, "__k", "left_anti")
         .drop("__k")
     )
     both = fresh.unionByName(older)
     # Equal (keyword, URL) rows differ only in text; the smallest one makes the choice stable.
-    keyed = both.withColumns({"__k": F.trim(fold_case("target_keyword")), "__u": F.trim("url")})
+    keyed = both.withColumns({"__k": stripped(fold_case("target_keyword")), "__u": stripped("url")})
     return first_per_key(keyed, ["__k", "__u"], [F.col("title").asc(), F.col("text").asc()]).drop("__k", "__u")
 
 

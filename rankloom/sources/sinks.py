@@ -106,13 +106,17 @@ def write_raw_changes(new: DataFrame, stored: DataFrame, root: str) -> int:
 
 
 def dataset_catalog(frame: DataFrame, by: Sequence[str] = (), response: str = "response_id") -> DataFrame:
-    """Version, counts, sources and content hash of a dataset, per partition if asked."""
+    """Version, counts, sources and content hash of a dataset, per partition if asked.
+
+    The exclusive or alone is blind to rows stored twice; the sum is not.
+    """
     columns = sorted(c for c in frame.columns if c not in by)
     row = F.xxhash64(*[F.col(c) for c in columns])
     cells: list[Column] = [
         F.min("schema_version").alias("schema_version"),
         F.count(F.lit(1)).alias("row_count"),
         F.bit_xor(row).alias("content_xor"),
+        F.sum(row.cast("decimal(38,0)")).alias("content_sum"),
     ]
     if response in frame.columns:
         cells.append(F.count_distinct(response).alias("source_response_count"))
@@ -125,7 +129,7 @@ def file_catalog(frame: DataFrame) -> DataFrame:
     return (
         frame.select(F.col("_metadata.file_path").alias("file_path"), F.xxhash64(*columns).alias("__h"))
         .groupBy("file_path")
-        .agg(F.count(F.lit(1)).alias("row_count"), F.bit_xor("__h").alias("content_xor"))
+        .agg(F.count(F.lit(1)).alias("row_count"), F.bit_xor("__h").alias("content_xor"), F.sum(F.col("__h").cast("decimal(38,0)")).alias("content_sum"))
     )
 
 

@@ -27,17 +27,29 @@ def pairs(names: Sequence[str]) -> list[tuple[int, int]]:
     return [(i, j) for i in range(len(names)) for j in range(i, len(names))]
 
 
-def group_moments(frame: DataFrame, model: Sequence[str], group: str, columns: Sequence[str]) -> DataFrame:
-    """``(model, group, n, means, cross)``: means and centred cross products.
+def complete(group: str, columns: Sequence[str]) -> Column:
+    """Rows that a fit can use: the group and every column are there."""
+    out = F.col(group).isNotNull()
+    for c in columns:
+        out = out & F.col(c).cast("double").isNotNull()
+    return out
+
+
+def group_moments(frame: DataFrame, model: Sequence[str], group: str, columns: Sequence[str], dropped: bool = False) -> DataFrame:
+    """``(model, group, n, means, cross)``: means and centred cross products of the complete rows.
 
     ``cross`` holds the upper triangle.  Spark updates and merges co-moments in a
-    stable way, so nothing is lost to cancellation.
+    stable way, so nothing is lost to cancellation.  With ``dropped`` the incomplete
+    rows are counted too, and groups that have no others stay with ``n`` 0.
     """
-    x = [F.col(c).cast("double") for c in columns]
-    cells = [F.covar_pop(x[i], x[j]) * F.count(F.lit(1)) for i, j in pairs(columns)]
-    return frame.groupBy(*model, group).agg(
-        F.count(F.lit(1)).alias("n"), F.array(*[F.avg(c) for c in x]).alias("means"), F.array(*cells).alias("cross")
-    )
+    usable = complete(group, columns)
+    if not dropped:
+        frame, usable = frame.where(usable), F.lit(True)
+    x = [F.when(usable, F.col(c).cast("double")) for c in columns]
+    n = F.count(F.when(usable, 1))
+    cells = [F.covar_pop(x[i], x[j]) * n for i, j in pairs(columns)]
+    counted = [F.count(F.when(~usable, 1)).alias("dropped")] if dropped else []
+    return frame.groupBy(*model, group).agg(n.alias("n"), F.array(*[F.avg(c) for c in x]).alias("means"), F.array(*cells).alias("cross"), *counted)
 
 
 def model_moments(moments: DataFrame, model: Sequence[str], width: int) -> DataFrame:
@@ -49,20 +61,23 @@ def model_moments(moments: DataFrame, model: Sequence[str], width: int) -> DataF
     tri = pairs(range(width))
     n = F.col("n").cast("double")
     m = [F.col("means")[i] for i in range(width)]
-    sums = [F.sum(n * m[i]).alias(f"s{i}") for i in range(width)]
-    within = [F.sum(F.col("cross")[k]).alias(f"w{k}") for k in range(len(tri))]
-    between = [F.sum(n * m[i] * m[j]).alias(f"b{k}") for k, (i, j) in enumerate(tri)]
+    zero = F.lit(0.0)  # a model without a complete row
+    sums = [F.coalesce(F.sum(n * m[i]), zero).alias(f"s{i}") for i in range(width)]
+    within = [F.coalesce(F.sum(F.col("cross")[k]), zero).alias(f"w{k}") for k in range(len(tri))]
+    between = [F.coalesce(F.sum(n * m[i] * m[j]), zero).alias(f"b{k}") for k, (i, j) in enumerate(tri)]
+    counted = [F.sum("dropped").alias("dropped")] if "dropped" in moments.columns else []
     agg = moments.groupBy(*model).agg(
-        F.sum("n").alias("n"), F.count(F.lit(1)).alias("groups"), *sums, *within, *between
+        F.sum("n").alias("n"), F.count(F.when(F.col("n") > 0, 1)).alias("groups"), *counted, *sums, *within, *between
     )
     total = [
-        F.col(f"w{k}") + F.col(f"b{k}") - F.col(f"s{i}") * F.col(f"s{j}") / F.col("n") for k, (i, j) in enumerate(tri)
+        F.col(f"w{k}") + F.col(f"b{k}") - F.col(f"s{i}") * F.col(f"s{j}") / F.greatest(F.col("n"), F.lit(1)) for k, (i, j) in enumerate(tri)
     ]
     raw = [F.col(f"w{k}") + F.col(f"b{k}") for k in range(len(tri))]
     return agg.select(
         *model,
         "n",
         "groups",
+        *[c for c in ("dropped",) if c in agg.columns],
         F.array(*[F.col(f"w{k}") for k in range(len(tri))]).alias("within"),
         F.array(*total).alias("total"),
         F.array(*raw).alias("raw"),

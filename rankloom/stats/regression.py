@@ -17,9 +17,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
 
 from rankloom.functions.dist import student_t_quantile, student_t_two_sided, t_two_sided
-from rankloom.operators.groups import group_percentiles
+from rankloom.operators.groups import group_percentiles, join_null_safe
 from rankloom.session import cut_lineage
 from rankloom.stats.moments import (
+    complete,
     element,
     group_moments,
     linear,
@@ -124,7 +125,7 @@ def solve_models(moments: DataFrame, model: Sequence[str], width: int) -> DataFr
     The first regressor is the signal; the baseline keeps the others.  The matrices
     have ``width + 1`` columns, so a row is small and the rows are spread as they are.
     """
-    head = [f for f in moments.schema.fields if f.name in (*model, "n", "groups")]
+    head = [f for f in moments.schema.fields if f.name in (*model, "n", "groups", "dropped")]
     schema = StructType([*head, *_FIT])
     names = [f.name for f in head]
 
@@ -157,7 +158,7 @@ def sandwich_inference(fits: DataFrame, meat: DataFrame, model: Sequence[str], w
     ``kind`` is ``cluster`` (small-sample factor, clusters - 1 degrees of freedom
     for both test and interval) or ``HC3`` (residual degrees of freedom).
     """
-    joined = fits.join(meat, list(model), "left")
+    joined = join_null_safe(fits, meat, list(model), "left")
     schema = StructType([*fits.schema.fields, *_INFERENCE])
     names = fits.columns
 
@@ -207,7 +208,7 @@ def cluster_meat(moments: DataFrame, fits: DataFrame, model: Sequence[str], widt
     def c(i, j):
         return element(F.col("cross"), tri[(min(i, j), max(i, j))])
 
-    joined = moments.join(fits.where("status = 'computed'").select(*model, "beta"), list(model), "inner")
+    joined = join_null_safe(moments.where("n > 0"), fits.where("status = 'computed'").select(*model, "beta"), list(model), "inner")
     scores = [c(i, width) - linear(F.col("beta"), [c(i, j) for j in range(width)]) for i in range(width)]
     scored = joined.select(*model, *[s.alias(f"u{i}") for i, s in enumerate(scores)])
     return scored.groupBy(*model).agg(
@@ -226,7 +227,8 @@ def fitted_rows(
     models = fits.where("status = 'computed'").select(
         *model, "beta", "inverse", "rss", "df_resid", F.col("n").alias("model_n"), F.col("groups").alias("model_groups")
     )
-    joined = frame.join(means, [*model, group], "inner").join(models, list(model), "inner")
+    usable = frame.where(complete(group, [*columns, outcome]))
+    joined = join_null_safe(join_null_safe(usable, means, [*model, group], "inner"), models, list(model), "inner")
     xs = [F.col(c).cast("double") - element(F.col("means"), i) for i, c in enumerate(columns)]
     kept = [c for c in frame.columns]
     with_x = joined.select(
@@ -273,13 +275,15 @@ def row_meat(rows: DataFrame, model: Sequence[str], width: int, cluster: Sequenc
 def fit_models(
     frame: DataFrame, model: Sequence[str], group: str, columns: Sequence[str], outcome: str = "outcome"
 ) -> tuple[DataFrame, DataFrame]:
-    """``(moments, fits)`` of the pooled regressions with group effects.
+    """``(moments, fits)`` of the pooled regressions with group effects, over the complete rows.
+
+    ``dropped`` counts the rows with a missing group, regressor or outcome.
 
     Both are read several times afterwards and far smaller than the rows, so they
     are written once.
     """
     width = len(columns)
-    moments = cut_lineage(group_moments(frame, model, group, [*columns, outcome]))
+    moments = cut_lineage(group_moments(frame, model, group, [*columns, outcome], dropped=True))
     return moments, cut_lineage(solve_models(model_moments(moments, model, width + 1), model, width))
 
 
@@ -323,7 +327,7 @@ def two_way_table(
     out = fits.where("status = 'computed'").select(*model, "n", "groups", "beta", "inverse")
     for name, meat in parts.items():
         renamed = meat.select(*model, F.col("meat").alias(f"meat_{name}"), F.col("clusters").alias(f"n_{name}"))
-        out = out.join(renamed, list(model), "left")
+        out = join_null_safe(out, renamed, list(model), "left")
     inverse_row = [element(F.col("inverse"), parameter * width + j) for j in range(width)]
     index = {p: k for k, p in enumerate(pairs(range(width)))}
 
