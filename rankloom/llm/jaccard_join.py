@@ -2,22 +2,24 @@
 
 1. A document is its set of five-word shingles, named by 64-bit hashes.  Documents with
    equal sets are one class.
-2. Similar classes are grouped: a class joins the most popular of its eight smallest-hash
-   shingles, and is compared with the hub of that group.  Those at the threshold form the
-   group; any other class is a group of its own.  A group is connected, so no pair inside it
-   is needed any more, however large it is.
+2. Similar classes are grouped: a class is assigned to the most popular of its eight
+   smallest-hash shingles, whose hub is what most of the others resemble.  Classes at the
+   threshold with their hub form one connected group, in which no pair is needed any more,
+   however large it is; the hub's other classes form groups of at most ``BLOCK``; all other
+   classes are groups of their own.
 3. The matrix holds which groups have which shingle, for the shingles of each class's
    prefix: the ``n - ceil(0.8 n) + 1`` shingles that come first when rare ones lead.  Two
    sets at the threshold always share one of these.  Rarity is taken from counters of fixed
    size; any order gives right results, this one keeps widely copied passages last.
-4. Groups that share a matrix entry are candidates.  Members are compared in blocks of fixed
-   size; a query opens a block only if its overlap with the block's shingle union can reach
-   the threshold, and only until it is linked.
-5. Links between groups are contracted to components.
+4. Groups that share a matrix entry are candidates.  Their members' shingle counts (by hash
+   bin) bound each overlap from above, for a query against a block's union first, then for
+   each member; only what the bounds leave is opened, that is compared exactly.
+5. Links are contracted to components.  A first round opens the closest pair of each two
+   groups, a second one what is still apart.
 
 A shingle found in a third of all documents is one matrix row per group.  Sets travel only
-for groups that are compared, selected by a bit filter of fixed size (false hits are
-dropped by the join that follows).
+for pairs that are opened, selected by a bit filter of fixed size (false hits are dropped
+by the join that follows).
 """
 
 from __future__ import annotations
@@ -30,17 +32,20 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rankloom.llm.components import components
-from rankloom.llm.staging import stored
+from rankloom.llm.staging import discarded, stored
 from rankloom.llm.words import Words, chained, find_words, mixed, slices
 
 SHINGLE = 5
 HASHES = 8
+#: Bins of a set's histogram (one byte each); the difference of two histograms bounds the overlap.
+BIN_BITS = 9
 #: Counters that rank shingles by rarity, in slices of one row each; bits of the filter.
 COUNTERS, SLICE = 1 << 21, 1 << 11
 FILTER_BITS = 1 << 24
-#: Members of a group that are compared at a time.
+#: Members of a group that are looked at together.
 BLOCK = 128
 _SEED = 11
 
@@ -80,7 +85,7 @@ def _needed(tokens: int, percent: int) -> int:
 
 
 def profiles(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``n``, ``k`` (class), ``mins``; and counter slices (``part``, ``counts``) from every task."""
+    """``doc_id``, ``n``, ``k`` (class), ``mins``, ``bins``; and counter slices (``part``, ``counts``) from every task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counters = np.zeros(COUNTERS, dtype=np.int64)
@@ -90,25 +95,28 @@ def profiles(docs: DataFrame) -> DataFrame:
             full = np.flatnonzero(sizes)
             keys = [_class(s) if len(s) else 0 for s in sets]
             mins = np.zeros((len(sets), HASHES), dtype=np.int64)
+            bins = np.zeros((len(sets), 1 << BIN_BITS), dtype=np.uint8)
             if len(full):
                 every = np.concatenate([sets[i] for i in full])
                 counters += np.bincount((every % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
                 at = np.concatenate([[0], np.cumsum(sizes[full])[:-1]])
+                place = (np.repeat(full, sizes[full]) << BIN_BITS) + (every >> np.uint64(64 - BIN_BITS)).astype(np.int64)
+                bins = np.minimum(np.bincount(place, minlength=len(sets) << BIN_BITS), 255).astype(np.uint8).reshape(len(sets), -1)
                 for h in range(HASHES):
                     mins[full, h] = np.minimum.reduceat(mixed(every + np.uint64(7919 * (h + 1))), at).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.array(list(mins), pa.list_(pa.int64())), pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary())],
-                names=["doc_id", "n", "k", "mins", "part", "counts"],
+                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.array(list(mins), pa.list_(pa.int64())), pa.array([x.tobytes() for x in bins], pa.binary()), pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary())],
+                names=["doc_id", "n", "k", "mins", "bins", "part", "counts"],
             )
         if counters.any():
             rows = np.minimum(counters, (1 << 32) - 1).astype("<u4").reshape(-1, SLICE)
             m = len(rows)
             yield pa.RecordBatch.from_arrays(
-                [pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.list_(pa.int64())), pa.array(range(m), pa.int32()), pa.array([r.tobytes() for r in rows], pa.binary())],
-                names=["doc_id", "n", "k", "mins", "part", "counts"],
+                [pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.list_(pa.int64())), pa.nulls(m, pa.binary()), pa.array(range(m), pa.int32()), pa.array([r.tobytes() for r in rows], pa.binary())],
+                names=["doc_id", "n", "k", "mins", "bins", "part", "counts"],
             )
 
-    return docs.mapInArrow(run, "doc_id long, n long, k long, mins array<long>, part int, counts binary")
+    return docs.mapInArrow(run, "doc_id long, n long, k long, mins array<long>, bins binary, part int, counts binary")
 
 
 def rarity(counts: DataFrame) -> np.ndarray:
@@ -216,6 +224,22 @@ def hub_pairs(classes: DataFrame, least_agreement: int = 3) -> DataFrame:
     return chosen.join(hubs, ["h", "token"]).where((F.col("k") != F.col("hub.k")) & (agree >= least_agreement)).select("k", F.col("hub.k").alias("hub"))
 
 
+def bounded(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (``k``, ``hub``) whose histograms allow the threshold, and how far they are ``apart``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1).astype(np.int16) for c in ("x", "y"))
+                sizes = np.asarray(batch.column("n")) + np.asarray(batch.column("m"))
+                apart = np.abs(x - y).sum(axis=1, dtype=np.int64)
+                out = pa.RecordBatch.from_arrays([batch.column("k"), batch.column("hub"), pa.array(apart)], names=["k", "hub", "apart"])
+                yield out.filter(pa.array((100 + percent) * apart <= (100 - percent) * sizes))
+
+    both = pairs.join(classes.select("k", "n", F.col("bins").alias("x")), "k").join(classes.select(F.col("k").alias("hub"), F.col("n").alias("m"), F.col("bins").alias("y")), "hub")
+    return both.select("k", "hub", "n", "m", "x", "y").mapInArrow(run, "k long, hub long, apart long")
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (``k``, ``hub``) whose sets are at the threshold."""
 
@@ -231,90 +255,175 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("k", "hub", "a", "b").mapInArrow(run, "k long, hub long")
 
 
-def candidate_groups(matrix: DataFrame) -> DataFrame:
-    """(``g``, ``other``), g < other: groups that share a matrix entry (``token``, ``g``)."""
+def exact(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """Pairs (``k``, ``hub``) compared by their sets, which are made from the texts of the classes concerned."""
+    wanted = stored(pairs.select("k").union(pairs.select("hub")).distinct().join(classes.select("k", "doc_id"), "k"), "jaccard-wanted")
+    sets = sets_of(docs, wanted, "jaccard-sets")
+    out = stored(verified(pairs, sets, percent), "jaccard-verified")
+    discarded(wanted, sets)
+    return out
+
+
+def grouped(classes: DataFrame, assigned: DataFrame, stars: DataFrame) -> DataFrame:
+    """``k``, ``doc_id``, ``n``, ``bins``, ``g`` (group), ``node`` (what links join), ``connected``, ``size`` of the group."""
+    hubs = stars.groupBy(F.col("hub").alias("k")).agg(F.lit(True).alias("is_hub"))
+    every = classes.join(assigned.withColumnRenamed("hub", "of"), "k", "left").join(stars, "k", "left").join(hubs, "k", "left")
+    node = F.coalesce("hub", "k")
+    alone = F.col("hub").isNull() & F.col("is_hub").isNull()
+    far = alone & F.col("of").isNotNull()
+    crowd = every.where(far).groupBy("of").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
+    placed = every.join(crowd, "of", "left").select(
+        "k", "doc_id", "n", "bins", node.alias("node"), (~far).alias("connected"), F.when(far, F.xxhash64("of", F.pmod(F.xxhash64("k"), F.col("parts")))).otherwise(node).alias("g")
+    )
+    placed = stored(placed, "jaccard-placed")
+    sizes = placed.groupBy("g").agg(F.count("*").alias("size")).where("size > 1")
+    out = stored(placed.join(sizes, "g", "left").withColumn("size", F.coalesce("size", F.lit(1).cast("long"))), "jaccard-members")
+    discarded(placed)
+    return out
+
+
+def shared_entries(matrix: DataFrame) -> DataFrame:
+    """The matrix entries (``token``, ``g``) of shingles that several groups have."""
     spread = Window.partitionBy("token")
-    shared = matrix.withColumn("low", F.min("g").over(spread)).withColumn("high", F.max("g").over(spread)).where("low < high").select("token", "g")
-    shared = stored(shared, "jaccard-matrix")
+    return matrix.withColumn("low", F.min("g").over(spread)).withColumn("high", F.max("g").over(spread)).where("low < high").select("token", "g")
+
+
+def candidate_groups(shared: DataFrame) -> DataFrame:
+    """(``g``, ``other``), g < other: groups that share a matrix entry."""
     return shared.join(shared.withColumnRenamed("g", "other"), "token").where("g < other").select("g", "other").distinct()
 
 
-def opened(pairs: DataFrame, members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (``a``, ``b``) between groups of the candidate pairs.
+def worth_a_look(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """(``asking``, ``target``, ``size``) of the candidate groups whose sizes allow the threshold; the larger group is the target.
 
-    ``members``: ``g``, ``k``, ``n``, ``size`` (members of the group).  The larger group is cut
-    into blocks; the other one's members are the queries, in portions of the same size.
+    Groups that are not connected are candidates for themselves.
     """
-    block = (F.pmod(F.xxhash64("k"), F.ceil(F.col("size") / BLOCK))).cast("int")
-    placed = members.withColumn("block", block)
     groups = members.groupBy("g").agg(F.max("size").alias("size"), F.min("n").alias("low"), F.max("n").alias("high"))
     left, right = (groups.select(*[F.col(c).alias(f"{p}_{c}") for c in groups.columns]) for p in ("l", "r"))
     sized = pairs.join(left, F.col("g") == F.col("l_g")).join(right, F.col("other") == F.col("r_g"))
     fits = (100 * F.col("l_high") >= percent * F.col("r_low")) & (100 * F.col("r_high") >= percent * F.col("l_low"))
     turned = F.col("l_size") > F.col("r_size")
-    asked = stored(sized.where(fits).select(F.when(turned, F.col("other")).otherwise(F.col("g")).alias("asking"), F.when(turned, F.col("g")).otherwise(F.col("other")).alias("target"), F.greatest("l_size", "r_size").alias("size")), "jaccard-asked")
-    # Queries at each block, and how many portions they make.
-    queries = asked.join(placed.select(F.col("g").alias("asking"), "k"), "asking").select("k", "asking", "target", F.explode(F.sequence(F.lit(0), F.ceil(F.col("size") / BLOCK).cast("int") - 1)).alias("block"))
-    load = queries.groupBy("target", "block").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("portions"))
-    load = stored(load, "jaccard-load")
-    asking = queries.join(load, ["target", "block"]).withColumn("portion", F.pmod(F.xxhash64("k"), F.col("portions")).cast("int")).join(sets, "k").select("target", "block", "portion", "asking", "shingles")
+    between = sized.where(fits).select(F.when(turned, F.col("other")).otherwise(F.col("g")).alias("asking"), F.when(turned, F.col("g")).otherwise(F.col("other")).alias("target"), F.greatest("l_size", "r_size").alias("size"))
+    own = members.where("not connected and size > 1").select(F.col("g").alias("asking"), F.col("g").alias("target"), "size").distinct()
+    return between.union(own)
+
+
+def possible_pairs(asked: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """(``k``, ``hub``, ``a``, ``b``, ``apart``): members of both groups, and their nodes, whose histograms allow the threshold.
+
+    Groups of one are compared as they are.  Another target is cut into blocks; the other
+    group's members are the queries, in portions of the same size.  A query is first held
+    against what the block has in any member.
+    """
+    one = members.where("size = 1")
+    alone = asked.where("size = 1").join(one.select(F.col("g").alias("asking"), "k"), "asking").join(one.select(F.col("g").alias("target"), F.col("k").alias("hub")), "target")
+    alone = bounded(alone.select("k", "hub"), one, percent).select("k", "hub", F.col("k").alias("a"), F.col("hub").alias("b"), "apart")
+    asked = asked.where("size > 1")
+    block = (F.pmod(F.xxhash64("k"), F.ceil(F.col("size") / BLOCK))).cast("int")
+    placed = members.withColumn("block", block)
+    blocks = F.explode(F.sequence(F.lit(0), F.ceil(F.col("size") / BLOCK).cast("int") - 1)).alias("block")
+    queries = asked.join(placed.select(F.col("g").alias("asking"), "k", "n", "node", "bins"), "asking").select("k", "n", "node", "bins", "target", blocks)
+    load = stored(queries.groupBy("target", "block").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("portions")), "jaccard-load")
+    asking = queries.join(load, ["target", "block"]).withColumn("portion", F.pmod(F.xxhash64("k"), F.col("portions")).cast("int")).select("target", "block", "portion", "k", "n", "node", "bins")
     answering = (
-        placed.select(F.col("g").alias("target"), "block", "k")
+        placed.select(F.col("g").alias("target"), "block", "k", "n", "node", "bins")
         .join(load, ["target", "block"])
-        .join(sets, "k")
-        .select("target", "block", F.explode(F.sequence(F.lit(0), F.col("portions") - 1)).alias("portion"), F.col("shingles").alias("inside"))
+        .select("target", "block", F.explode(F.sequence(F.lit(0), F.col("portions") - 1)).alias("portion"), *[F.col(c).alias(f"{c}_in") for c in ("k", "n", "node", "bins")])
     )
 
     def compare(queries: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
-        links: set[tuple[int, int]] = set()
+        out = []
         if len(queries) and len(block):
-            inside = [np.frombuffer(b, np.uint64) for b in block["inside"]]
-            union = np.unique(np.concatenate(inside))
-            target = int(block["target"].iloc[0])
-            for asking, shingles in zip(queries["asking"].tolist(), queries["shingles"]):
-                q = np.frombuffer(shingles, np.uint64)
-                if (asking, target) in links or 100 * _overlap(q, union) < percent * len(q):
+            x, y = (np.frombuffer(b"".join(c), np.uint8).reshape(len(c), -1).astype(np.int16) for c in (queries["bins"], block["bins_in"]))
+            keys, sizes, nodes = (block[c].to_numpy() for c in ("k_in", "n_in", "node_in"))
+            most = y.max(axis=0)
+            for i, (k, n, node) in enumerate(zip(queries["k"].tolist(), queries["n"].tolist(), queries["node"].tolist())):
+                # The overlap with the union, by bins, cannot be larger than this (full bins have no bound).
+                if 100 * (np.minimum(x[i], most).sum() + max(n - int(x[i].sum()), 0)) < percent * n:
                     continue
-                if any(_linked(q, b, percent) for b in inside):
-                    links.add((asking, target))
-        return pd.DataFrame(sorted(links), columns=["a", "b"], dtype="int64")
+                apart = np.abs(y - x[i]).sum(axis=1)
+                good = np.flatnonzero(((100 + percent) * apart <= (100 - percent) * (sizes + n)) & (nodes != node))
+                out += [(k, int(keys[j]), node, int(nodes[j]), int(apart[j])) for j in good]
+        return pd.DataFrame(out, columns=["k", "hub", "a", "b", "apart"], dtype="int64")
 
     keys = ["target", "block", "portion"]
-    return asking.groupBy(*keys).cogroup(answering.groupBy(*keys)).applyInPandas(compare, "a long, b long")
+    return alone.union(asking.groupBy(*keys).cogroup(answering.groupBy(*keys)).applyInPandas(compare, "k long, hub long, a long, b long, apart long"))
 
 
-def linked(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: ``doc_id``, ``n_shingles``, ``component_id`` (smallest id that links reach).
-
-    Documents without words have no shingles, are linked with nothing and keep their own id.
-    Rows with a null id are linked by their text and never name a component, unless all of it
-    is null.  Repeated rows stay.  Other columns are not read.
-    """
-    docs = _rows(docs, id_col, text_col)
+def class_components(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (``doc_id``, ``n``, ``k``) of (``doc_id``, ``text``), and for every class ``k`` its ``root`` and ``component_id``."""
     made = stored(profiles(docs), "jaccard-profiles")
-    rows = made.where("part is null").select("doc_id", "n", "k", "mins")
+    rows = made.where("part is null").select("doc_id", "n", "k", "mins", "bins")
     levels = rarity(made.where("part is not null").select("part", "counts"))
-    classes = rows.where("n > 0").groupBy("k").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.first("mins").alias("mins"))
+    classes = rows.where("n > 0").groupBy("k").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.first("mins").alias("mins"), F.first("bins").alias("bins"))
     classes = stored(classes, "jaccard-classes")
 
-    near = stored(hub_pairs(classes), "jaccard-near")
-    wanted = near.select("k").union(near.select("hub")).distinct().join(classes.select("k", "doc_id"), "k")
-    stars = stored(verified(near, sets_of(docs, stored(wanted, "jaccard-wanted"), "jaccard-sets"), percent), "jaccard-stars")
-    grouped = classes.join(stars, "k", "left").select("k", "doc_id", "n", F.coalesce("hub", "k").alias("g"))
-    sizes = stars.groupBy(F.col("hub").alias("g")).agg((F.count("*") + 1).alias("size"))
-    members = stored(grouped.join(sizes, "g", "left").select("g", "k", "doc_id", "n", F.coalesce("size", F.lit(1)).alias("size")), "jaccard-members")
+    assigned = stored(hub_pairs(classes), "jaccard-assigned")
+    near = stored(bounded(assigned, classes, percent).select("k", "hub"), "jaccard-near")
+    stars = exact(near, classes, docs, percent)
+    members = grouped(classes, assigned, stars)
+    discarded(assigned, near, stars)
 
     leading = prefixes(docs, levels, percent).join(members.select("k", "g", "size", F.col("doc_id").alias("of")), "k").where(F.col("doc_id").eqNullSafe(F.col("of")))
     entries = leading.select("g", "size", F.explode("prefix").alias("token"))
     several = entries.where("size > 1").groupBy("token", "g").agg(F.lit(1).alias("one")).select("token", "g")
-    pairs = stored(candidate_groups(entries.where("size = 1").select("token", "g").union(several)), "jaccard-pairs")
-    touched = pairs.select("g").union(pairs.select(F.col("other").alias("g"))).distinct()
-    compared = stored(members.join(touched, "g", "left_semi"), "jaccard-compared")
-    links = opened(pairs, compared, sets_of(docs, compared.select("k", "doc_id"), "jaccard-open-sets"), percent)
-
-    roots = stored(components(stored(links, "jaccard-links")), "jaccard-roots")
-    parts = members.join(roots, F.col("g") == F.col("node"), "left").select("k", "doc_id", F.coalesce("root", "g").alias("root"))
+    shared = stored(shared_entries(entries.where("size = 1").select("token", "g").union(several)), "jaccard-matrix")
+    candidates = stored(candidate_groups(shared), "jaccard-candidates")
+    asked = stored(worth_a_look(candidates, members, percent), "jaccard-asked")
+    discarded(shared, candidates)
+    pairs = stored(possible_pairs(asked, members, percent).dropDuplicates(["k", "hub"]), "jaccard-pairs")
+    discarded(asked)
+
+    closest = stored(pairs.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min(F.struct("apart", "k", "hub")).alias("best")).select("best.k", "best.hub"), "jaccard-closest")
+    first = exact(closest, classes, docs, percent)
+    nodes = members.select("k", "node")
+    named = nodes.select(F.col("k").alias("hub"), F.col("node").alias("b"))
+    links = first.join(nodes.select("k", F.col("node").alias("a")), "k").join(named, "hub").select("a", "b")
+    links = stored(links, "jaccard-links")
+    roots = stored(components(links), "jaccard-roots")
+    root_a, root_b = (roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")) for c in ("a", "b"))
+    apart = pairs.join(closest, ["k", "hub"], "left_anti").join(root_a, "a", "left").join(root_b, "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b"))
+    apart = stored(apart.select("k", "hub"), "jaccard-apart")
+    # Mostly there is nothing left to open, and then no reason to read the texts again.
+    second = exact(apart, classes, docs, percent) if apart.limit(1).count() else apart
+    more = second.join(nodes.select("k", F.col("node").alias("a")), "k").join(named, "hub").select("a", "b")
+    every = stored(links.union(more), "jaccard-every-link")
+    discarded(pairs, closest, first, roots, apart, links, classes)
+
+    roots = stored(components(every), "jaccard-final-roots")
+    parts = members.join(roots.withColumnRenamed("node", "linked"), F.col("node") == F.col("linked"), "left").select("k", "doc_id", F.coalesce("root", "node").alias("root"))
     smallest = parts.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    names = stored(parts.join(smallest, "root").select("k", "component_id"), "jaccard-names")
-    joined = rows.where("n > 0").select("doc_id", "n", "k").join(names, "k").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    names = stored(parts.join(smallest, "root").select("k", "root", "component_id"), "jaccard-names")
+    discarded(members, every, roots)
+    return rows, names
+
+
+def linked(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of ``docs``: ``doc_id``, ``n_shingles``, ``component_id`` (smallest id that links reach).
+
+    Documents without words have no shingles, are linked with nothing and keep their own id.
+    Rows with a null id are linked by their text and never name a component, unless all of it
+    is null.  Repeated rows stay.  Other columns are not read.
+    """
+    rows, names = class_components(_rows(docs, id_col, text_col), percent)
+    joined = rows.where("n > 0").select("doc_id", "n", "k").join(names.select("k", "component_id"), "k").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return joined.union(rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+
+
+def representatives(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of every component, with all its columns: the smallest id (nulls last), then the smallest hash of the text.
+
+    Documents without words are linked with nothing and stay.
+    """
+    _, names = class_components(_rows(docs, id_col, text_col), percent)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            sets = shingle_names(find_words(batch.column("text"), lower=True))
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), pa.array([_class(x) if len(x) else None for x in sets], pa.int64())], names=["row", "doc_id", "k"])
+
+    keyed = rows.mapInArrow(run, T.StructType([*[f for f in rows.schema.fields if f.name != "text"], T.StructField("k", T.LongType())]))
+    first = Window.partitionBy("root").orderBy(F.col("doc_id").asc_nulls_last(), F.xxhash64(F.col(f"row.`{text_col}`")))
+    kept = keyed.join(names.select("k", "root"), "k").withColumn("place", F.row_number().over(first)).where("place = 1")
+    return kept.select("row.*").union(keyed.where("k is null").select("row.*"))
