@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from rankloom.operators.groups import group_row_number
 from rankloom.operators.merge import build_records
+from rankloom.session import cut_lineage
 
 RUN = "run-1"
 DEPTH = 20
@@ -136,7 +137,7 @@ def _with_parts(spark: SparkSession, sf_dir: str, frame: DataFrame) -> DataFrame
 
 def curated(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """Curated tables for the mart builders; pages whose part size is a multiple of 11 have no text."""
-    items = serp(spark, sf_dir)
+    items = cut_lineage(serp(spark, sf_dir))  # read by five branches
     base = items.drop("l_discount", "l_tax", "l_quantity")
     keys = ["run_id", "target_keyword_id", "target_keyword", "canonical_url_hash", "url"]
     scores = items.groupBy(*keys).agg(
