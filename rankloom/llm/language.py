@@ -65,12 +65,15 @@ def _weighted(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
 
 
 def training_rows(docs: DataFrame, may_train: Column, sample: int, most_languages: int, id_col: str, text_col: str, lang_col: str) -> DataFrame:
-    """(language, text) of the bounded sample, chosen by hash of id and text within each language."""
+    """(language, text) of the bounded sample, chosen by hash of id and text within each language; equal rows count once."""
     rows = docs.where(may_train & F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("language"), F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = rows.select("language", "id", "text", F.xxhash64("id", "text").alias("draw"))
+    rows = rows.select("language", "text", F.xxhash64("id", "text").alias("draw"))
     common = rows.groupBy("language").count().orderBy(F.col("count").desc(), "language").limit(most_languages).select("language")
-    first = F.row_number().over(Window.partitionBy("language").orderBy("draw", "id"))
-    return rows.join(common, "language").withColumn("nth", first).where(F.col("nth") <= sample).select("language", "text")
+    # The cut is found on hashes alone; texts travel only for the rows below it.
+    nth = F.row_number().over(Window.partitionBy("language").orderBy("draw"))
+    draws = rows.select("language", "draw").distinct().withColumn("nth", nth).where(F.col("nth") <= sample)
+    cut = draws.groupBy("language").agg(F.max("draw").alias("cut")).join(common, "language")
+    return rows.join(cut, "language").where("draw <= cut").dropDuplicates(["language", "draw"]).select("language", "text")
 
 
 def fitted(training: DataFrame, clusters: int = 4, rounds: int = 12, slack: float = 0.4) -> Model:
