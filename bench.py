@@ -18,7 +18,8 @@ HEADLINE = (
     "analysis_mart domain_features entity_signals serp_items onpage_signals backlinks pages passages entities "
     "page_metrics ordinal_ranks average_ranks within_zscore two_level_medians site_scale upsert_new combined_runs "
     "missing_urls url_functions overlap_score blocked_domains contract_report centroid_cosine correlations "
-    "false_discovery slopes regressions influence specification newton_step entity_associations ndcg out_of_fold"
+    "false_discovery slopes regressions influence specification newton_step entity_associations ndcg out_of_fold "
+    "content_fields mention_associations"
 ).split()
 
 
