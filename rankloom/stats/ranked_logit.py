@@ -184,7 +184,9 @@ def ranked_logit(
 ) -> DataFrame:
     """Fit, clustered inference, odds ratio per standard deviation and drift without rank 1.
 
-    Constant controls of the whole input are left out.  One row per model.
+    Controls that are constant in all models are left out; one that does not vary within the
+    lists of a single model has no information there, stays at 0, and is named in that model's
+    ``omitted_controls``.  One row per model.
     """
     controls = _varying(frame, controls)
     width = 1 + len(controls)
@@ -222,7 +224,7 @@ def ranked_logit(
     rows = []
     for r in side.collect():  # one row per model
         key = tuple(r[m] for m in model)
-        rows.append((*key, *_result(ready[key], r, width, drift.get(key))))
+        rows.append((*key, *_result(ready[key], r, controls, drift.get(key))))
     return lists.sparkSession.createDataFrame(rows, _result_schema(lists, model, controls))
 
 
@@ -233,7 +235,8 @@ def _varying(frame: DataFrame, controls: Sequence[str]) -> list[str]:
     return [c for c in controls if row[c]]
 
 
-def _result(fit: Fit, side, width: int, drift: Fit | None) -> tuple:
+def _result(fit: Fit, side, controls: Sequence[str], drift: Fit | None) -> tuple:
+    width = 1 + len(controls)
     inverse = np.linalg.pinv(fit.information)
     v = inverse @ square(side["meat"], width) @ inverse
     se = np.sqrt(np.maximum(np.diag((v + v.T) / 2.0), 0.0))
@@ -241,9 +244,13 @@ def _result(fit: Fit, side, width: int, drift: Fit | None) -> tuple:
     b, s, sd = float(fit.params[0]), float(se[0]), float(side["sd"] or 0.0)
     p = float(student_t_two_sided(b / s, float(df))) if s > 0 else 1.0
     half = float(student_t_quantile(0.975, float(df))) * s
-    confirmed = fit.converged and condition_number(fit.information) <= MAX_CONDITION
+    # Information of a control that varies is of the order of rows times variance.
+    least = [0.0, *[1e-9 * int(side["n"]) * float(side["spread"][i] or 0.0) ** 2 for i in range(1, width)]]
+    kept = [i for i in range(width) if i == 0 or fit.information[i, i] > least[i]]
+    condition = condition_number(fit.information[np.ix_(kept, kept)])
+    confirmed = fit.converged and condition <= MAX_CONDITION
     bounded = lambda x: float(np.exp(np.clip(x, -700.0, 700.0)))
-    effects = [float(fit.params[i] * side["spread"][i]) for i in range(1, width)]
+    effects = [float(fit.params[i] * (side["spread"][i] or 0.0)) if i in kept else 0.0 for i in range(1, width)]
     moved = None if drift is None or not drift.information.size else float(drift.params[0]) * sd
     change = None if moved is None else moved - b * sd
     return (
@@ -254,7 +261,7 @@ def _result(fit: Fit, side, width: int, drift: Fit | None) -> tuple:
         int(side["largest"]),
         fit.iterations,
         bool(confirmed),
-        condition_number(fit.information),
+        condition,
         float(fit.loglik),
         b,
         s,
@@ -268,6 +275,7 @@ def _result(fit: Fit, side, width: int, drift: Fit | None) -> tuple:
         moved,
         change,
         None if change is None or b * sd == 0 else change / (b * sd),
+        [c for i, c in enumerate(controls) if i + 1 not in kept],
     )
 
 
@@ -294,5 +302,6 @@ def _result_schema(lists: DataFrame, model: Sequence[str], controls: Sequence[st
         "log_odds_without_top": DoubleType(),
         "drift": DoubleType(),
         "relative_drift": DoubleType(),
+        "omitted_controls": ArrayType(StringType()),
     }
     return StructType([*[lists.schema[m] for m in model], *[StructField(n, t) for n, t in kinds.items()]])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from rankloom.functions.text import stripped
 from rankloom.operators import marts, merge
 from rankloom.sources.sinks import dataset_catalog
-from rankloom.stats import diagnostics, regression
+from rankloom.stats import diagnostics, ranked_logit, regression
 
 
 def _panel(spark):
@@ -74,3 +74,15 @@ def test_mismatching_settings_name_their_runs(spark):
     configs = spark.createDataFrame([("a", 1), ("b", None), ("c", 1)], "source_run string, depth int")
     (row,) = merge.config_mismatches(configs, ["depth"]).collect()
     assert [(v.run, v.value) for v in row.run_values] == [("a", '{"value":1}'), ("b", '{"value":null}'), ("c", '{"value":1}')]
+
+
+def test_control_constant_in_one_model(spark):
+    rng = np.random.default_rng(8)
+    rows = [(m, f"{m}{g}", r, float(rng.random()), 1.0 if m == "a" else float(rng.normal())) for m in "ab" for g in range(12) for r in range(1, 7)]
+    frame = spark.createDataFrame(rows, "model string, g string, serp_rank int, signal double, control double")
+    both = {r.model: r for r in ranked_logit.ranked_logit(frame, ["model"], "g", "signal", ["control"], max_rank=6).collect()}
+    alone = ranked_logit.ranked_logit(frame.where("model = 'a'"), ["model"], "g", "signal", max_rank=6).first()
+    assert both["a"].status == "computed" and both["a"].omitted_controls == ["control"] and both["b"].omitted_controls == []
+    assert both["a"].coefficient == pytest.approx(alone.coefficient, abs=1e-8)
+    assert both["a"].standard_error == pytest.approx(alone.standard_error, abs=1e-8)
+    assert both["a"].condition_number == pytest.approx(1.0)
