@@ -1,11 +1,12 @@
 """Personal data: base patterns, and terms that give a protected value away.
 
-Base matches (e-mail, address, card, phone) are protected.  A term near a protected value
-is judged by what the corpus says of it: with documents as events, its pointwise mutual
-information with the value is compared with the information of the value itself.  A term
-that carries at least ``threshold`` of that information discloses the value and is
-generalised too (kind ``term``).  Estimates need ``support`` documents in which the two
-stand together, so that a single mention proves nothing.
+Base matches (e-mail, address, card, phone) are protected.  A term in a document with a
+protected value is judged by what the corpus says of it: with documents as events, its
+pointwise mutual information with the value is compared with the information of the value
+itself.  A term that carries at least ``threshold`` of that information discloses the value
+and is generalised wherever it stands, in any document (kind ``term``).  Estimates need
+``support`` documents in which the two stand together, so that a single mention proves
+nothing.  Terms are runs of letters of any length, outside of base matches.
 
 Only built-in functions are used.  Counts are partial sums before every shuffle; a value or
 a term found in a third of all rows is one row per task by then.
@@ -21,8 +22,6 @@ from rankloom.llm.staging import row_key, stored
 
 KINDS = ("email", "ip", "card", "phone")
 ALL_KINDS = (*KINDS, "term")
-#: Code points on each side of a protected value in which its terms are looked for.
-WINDOW = 60
 
 # The base patterns.  A match that begins inside a run of its first class
 # could as well begin at the run's start, so other places are skipped (linear time);
@@ -32,7 +31,7 @@ ADDRESS = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9]){11,}+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
-TERM = r"\p{L}{4,}"
+TERM = r"\p{M}*+\p{L}[\p{L}\p{M}]*+"
 
 
 def _digits(value: Column) -> Column:
@@ -61,46 +60,57 @@ def base_spans(text: Column) -> Column:
     )
 
 
-def _windows(text: Column, span: Column) -> Column:
-    """The text on both sides of a span, each with its first position and whether the cut fell on an end of the text."""
-    left = F.greatest(span["start"] - WINDOW, F.lit(0))
-    return F.array(
-        F.struct(left.alias("at"), F.substring(text, left + 1, span["start"] - left).alias("part"), (left > 0).alias("cut_left"), F.lit(False).alias("cut_right")),
-        F.struct(
-            span["end"].alias("at"),
-            F.substring(text, span["end"] + 1, F.lit(WINDOW)).alias("part"),
-            F.lit(False).alias("cut_left"),
-            (span["end"] + WINDOW < F.length(text)).alias("cut_right"),
-        ),
-    )
+def _outside(text: Column, base: Column) -> Column:
+    """The text with every base span blanked, code point by code point."""
+
+    def step(acc: Column, s: Column) -> Column:
+        clear = F.substring(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
+        blank = F.repeat(F.lit(" "), F.greatest(s["end"] - F.greatest(acc["at"], s["start"]), F.lit(0)))
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], clear, blank).alias("out"))
 
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    return F.when(F.size(base) == 0, text).otherwise(F.aggregate(ordered(base, KINDS), start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text)))))
 
-def _mentions(rows: DataFrame) -> DataFrame:
-    """(key, value, term, start, end): whole words near each protected value, outside of base spans."""
-    near = (
-        rows.where(F.size("base") > 0)
-        .select("key", "base", F.explode(F.arrays_zip("base", "near")).alias("hit"))
-        .select("key", "base", F.col("hit.base.value").alias("value"), F.explode("hit.near").alias("w"))
-        .select("key", "base", "value", "w", F.explode(found(F.col("w.part"), "term", TERM)).alias("t"))
-        .where(~(F.col("w.cut_left") & (F.col("t.start") == 0)) & ~(F.col("w.cut_right") & (F.col("t.end") == F.length("w.part"))))
-        .select("key", "base", "value", F.lower("t.value").alias("term"), (F.col("w.at") + F.col("t.start")).alias("start"), (F.col("w.at") + F.col("t.end")).alias("end"))
-    )
-    free = ~F.exists("base", lambda b: (b["start"] < F.col("end")) & (F.col("start") < b["end"]))
-    return near.where(free).select("key", "value", "term", "start", "end").distinct()
 
+def _words(outside: Column) -> Column:
+    """Distinct words of a text as they are spelled."""
+    return F.array_distinct(F.regexp_extract_all(outside, F.lit(TERM), F.lit(0)))
 
-def disclosing(small: DataFrame, texts: DataFrame, mentions: DataFrame, threshold: float, support: int) -> DataFrame:
-    """(value, term) pairs whose term reveals the value: mutual information >= threshold * information of the value."""
-    pairs = mentions.groupBy("value", "term", "key").agg(F.lit(1).alias("one")).groupBy("value", "term").agg(F.count("*").alias("both")).where(F.col("both") >= support)
-    pairs = stored(pairs, "disclosure-pairs")
-    values = small.select("key", F.explode(F.array_distinct(F.transform("base", lambda s: s["value"]))).alias("value")).distinct().groupBy("value").agg(F.count("*").alias("n_value"))
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))
-    counts = texts.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
-    rows = F.lit(float(small.count()))
-    known = pairs.join(values, "value").join(counts, "term")
-    information = F.log2(rows / F.col("n_value"))
-    mutual = F.log2(F.col("both") * rows / (F.col("n_term") * F.col("n_value")))
-    return known.where((information > 0) & (mutual >= F.lit(threshold) * information)).select("value", "term")
+
+def _terms(outside: Column) -> Column:
+    return F.array_distinct(F.transform(_words(outside), lambda w: F.lower(w)))
+
+
+def disclosing(small: DataFrame, rows: DataFrame, threshold: float, support: int) -> DataFrame:
+    """``term``s that reveal a value: mutual information >= threshold * information of the value.
+
+    A value of fewer than ``support`` documents has no pair of that many, so it is left out before pairs are made.
+    """
+    values = small.select("key", F.explode(F.array_distinct(F.transform("base", lambda s: s["value"]))).alias("value")).distinct()
+    known = stored(values.groupBy("value").agg(F.count("*").alias("n_value")).where(F.col("n_value") >= support), "private-values")
+    holders = values.join(known, "value").select("key", "value")
+    words = rows.where(F.size("base") > 0).select("key", _terms(F.col("outside")).alias("terms")).dropDuplicates(["key"])
+    both = holders.join(words, "key").select("value", F.explode("terms").alias("term")).groupBy("value", "term").agg(F.count("*").alias("both")).where(F.col("both") >= support)
+    pairs = stored(both, "disclosure-pairs")
+    counts = rows.select(F.explode(_terms(F.col("outside"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
+    n = F.lit(float(small.count()))
+    information = F.log2(n / F.col("n_value"))
+    mutual = F.log2(F.col("both") * n / (F.col("n_term") * F.col("n_value")))
+    return pairs.join(known, "value").join(counts, "term").where((information > 0) & (mutual >= F.lit(threshold) * information)).select("term").distinct()
+
+
+def occurrences(rows: DataFrame, terms: DataFrame) -> DataFrame:
+    """``key``, ``added``: every place of the terms in every text, outside of base spans.
+
+    The distinct words of a text are matched with the terms first; the places are then found
+    by one pattern of the spellings that this text has.
+    """
+    spelled = rows.select("key", F.explode(_words(F.col("outside"))).alias("word")).withColumn("term", F.lower("word")).join(terms, "term")
+    hits = stored(spelled.groupBy("key").agg(F.array_join(F.sort_array(F.collect_set("word")), "|").alias("words")), "private-hits")
+    pattern = F.concat(F.lit(r"(?<![\p{L}\p{M}])(?:"), F.col("words"), F.lit(r")(?![\p{L}\p{M}])"))
+    located = rows.select("key", "outside").join(hits, "key").select("key", found(F.col("outside"), "term", pattern, F.lit(True)).alias("added"))
+    lowered = F.transform("added", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), F.lower(s["value"]).alias("value")))
+    return located.dropDuplicates(["key"]).select("key", lowered.alias("added"))
 
 
 def protected(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.9, support: int = 3) -> DataFrame:
@@ -111,10 +121,10 @@ def protected(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("key", row_key(F.col("doc_id"), F.col("text"))).withColumn("base", base_spans(F.col("text")))
-    small = stored(rows.select("doc_id", "key", "base", F.transform("base", lambda s: _windows(F.col("text"), s)).alias("near")), "private")
-    mentions = stored(_mentions(small), "mentions")
-    pairs = stored(disclosing(small, rows.select("text"), mentions, threshold, support), "disclosing")
-    added = mentions.join(pairs, ["value", "term"]).groupBy("key").agg(F.collect_set(F.struct("start", "end", F.lit("term").alias("kind"), F.col("term").alias("value"))).alias("added"))
+    small = stored(rows.select("doc_id", "key", "base"), "private")
+    rows = rows.select("key", "base", _outside(F.col("text"), F.col("base")).alias("outside"))
+    terms = stored(disclosing(small, rows, threshold, support), "disclosing")
+    added = occurrences(rows, terms)
     spans = ordered(F.concat("base", F.coalesce("added", F.array().cast(f"array<{SPAN}>"))), ALL_KINDS)
     return small.join(added, "key", "left").select("doc_id", "key", spans.alias("spans"))
 

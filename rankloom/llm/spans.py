@@ -12,13 +12,14 @@ from pyspark.sql import functions as F
 SPAN = "struct<start:int,end:int,kind:string,value:string>"
 
 
-def found(text: Column, kind: str, pattern: str, needs: Column | None = None) -> Column:
+def found(text: Column, kind: str, pattern: str | Column, needs: Column | None = None) -> Column:
     """Array of (start, end, kind, value) of the leftmost non-overlapping matches.
 
-    ``pattern`` is a Java pattern that never matches the empty string; ``needs`` is
-    a cheap condition that every matching text fulfils.
+    ``pattern`` is a Java pattern (or a column of them) that never matches the empty string;
+    ``needs`` is a cheap condition that every matching text fulfils.
     """
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    pattern = F.lit(pattern)
+    matches = F.regexp_extract_all(text, pattern, F.lit(0))
     gaps = F.split(text, pattern, -1)
     # One step per match: where it starts, and where the next gap starts.
     located = F.aggregate(
@@ -40,7 +41,7 @@ def found(text: Column, kind: str, pattern: str, needs: Column | None = None) ->
         ),
         lambda acc: acc["spans"],
     )
-    present = text.rlike(pattern) if needs is None else needs & text.rlike(pattern)
+    present = F.rlike(text, pattern) if needs is None else needs & F.rlike(text, pattern)
     return F.when(present, located).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 

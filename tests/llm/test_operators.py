@@ -166,6 +166,17 @@ def test_terms_that_give_a_value_away(spark):
     assert clean[1].startswith("note 1 that [TERM] ") and "kim@mail.org" not in clean[1] and clean[3] == texts[3]
 
 
+def test_terms_are_replaced_wherever_they_stand(spark):
+    near = [f"note {i} Li and zanzibarov write from kim@mail.org {'word ' * 40}Quolibet" for i in range(3)]
+    texts = near + ["ask ZANZIBAROV, (li) or quolibet: zanzibarovs"] + [f"note {i} and others write from word" for i in range(120)]
+    made = spark.createDataFrame([(i, t, None, None, 1) for i, t in enumerate(texts)], SCHEMA)
+    got = {r.doc_id: [(s.kind, s.start, s.end, s.value) for s in r.spans] for r in private_data.protected(made).collect()}
+    far = texts[0].index("Quolibet")
+    assert ("term", far, far + 8, "quolibet") in got[0] and ("term", 7, 9, "li") in got[0]
+    assert got[3] == [("term", 4, 14, "zanzibarov"), ("term", 17, 19, "li"), ("term", 24, 32, "quolibet")]
+    assert all(got[i] == [] for i in range(4, len(texts)))
+
+
 def test_token_counts(docs, rows, nothing):
     pieces = token_counts.read_pieces(token_counts.VOCABULARY)
     first, inner = {p for p in pieces if p.startswith(token_counts.MARK)}, {p for p in pieces if not p.startswith(token_counts.MARK)}
