@@ -4,9 +4,9 @@ Base matches (e-mail, address, card, phone) are protected.  A term in a document
 protected value is judged by what the corpus says of it: with documents as events, its
 pointwise mutual information with the value is compared with the information of the value
 itself.  A term that carries at least ``threshold`` of that information discloses the value
-and is generalised wherever it stands, in any document (kind ``term``).  Estimates need
-``support`` documents in which the two stand together, so that a single mention proves
-nothing.  Terms are runs of letters of any length, outside of base matches.
+and is generalised wherever it stands, in any document (kind ``term``).  Values count by
+what they name, not by their spelling.  Estimates need ``support`` documents in which the
+two stand together, so that a single mention proves nothing.  Terms are runs of letters of any length, outside of base matches.
 
 Only built-in functions are used.  Counts are partial sums before every shuffle; a value or
 a term found in a third of all rows is one row per task by then.
@@ -81,22 +81,47 @@ def _terms(outside: Column) -> Column:
     return F.array_distinct(F.transform(_words(outside), lambda w: F.lower(w)))
 
 
+def _entities(base: Column) -> Column:
+    """What the base spans of a text name, whatever the spelling: array of (entity, part).
+
+    An e-mail address names itself in lower case and, as parts that others may share, its
+    local part and its domain; cards and phones are their digits, addresses their four numbers.
+    """
+
+    def named(kind: str, value: Column, part: bool = False) -> Column:
+        return F.struct(F.concat(F.lit(f"{kind}:"), value).alias("entity"), F.lit(part).alias("part"))
+
+    def of(s: Column) -> Column:
+        mail = F.lower(s["value"])
+        numbers = F.array_join(F.transform(F.split(s["value"], r"\."), lambda x: F.regexp_replace(x, "^0+(?=[0-9])", "")), ".")
+        return (
+            F.when(s["kind"] == "email", F.array(named("email", mail), named("local", F.substring_index(mail, "@", 1), True), named("domain", F.substring_index(mail, "@", -1), True)))
+            .when(s["kind"] == "ip", F.array(named("ip", numbers)))
+            .otherwise(F.array(named("number", _digits(s["value"]))))
+        )
+
+    return F.array_distinct(F.flatten(F.transform(base, of)))
+
+
 def disclosing(small: DataFrame, rows: DataFrame, threshold: float, support: int) -> DataFrame:
-    """``term``s that reveal a value: mutual information >= threshold * information of the value.
+    """``term``s that reveal an entity: mutual information >= threshold * information of the entity.
 
-    A value of fewer than ``support`` documents has no pair of that many, so it is left out before pairs are made.
+    An entity of fewer than ``support`` documents has no pair of that many, so it is left out
+    before pairs are made.  A part of an address is met by chance where it is common; its
+    estimate is shrunk by ``support`` documents in which the term meets it by chance only.
     """
-    values = small.select("key", F.explode(F.array_distinct(F.transform("base", lambda s: s["value"]))).alias("value")).distinct()
-    known = stored(values.groupBy("value").agg(F.count("*").alias("n_value")).where(F.col("n_value") >= support), "private-values")
-    holders = values.join(known, "value").select("key", "value")
+    entities = small.select("key", F.explode(_entities(F.col("base"))).alias("e")).select("key", "e.entity", "e.part").distinct()
+    known = stored(entities.groupBy("entity", "part").agg(F.count("*").alias("n_entity")).where(F.col("n_entity") >= support), "private-entities")
+    holders = entities.join(known.select("entity"), "entity").select("key", "entity")
     words = rows.where(F.size("base") > 0).select("key", _terms(F.col("outside")).alias("terms")).dropDuplicates(["key"])
-    both = holders.join(words, "key").select("value", F.explode("terms").alias("term")).groupBy("value", "term").agg(F.count("*").alias("both")).where(F.col("both") >= support)
+    both = holders.join(words, "key").select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("both")).where(F.col("both") >= support)
     pairs = stored(both, "disclosure-pairs")
     counts = rows.select(F.explode(_terms(F.col("outside"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
     n = F.lit(float(small.count()))
-    information = F.log2(n / F.col("n_value"))
-    mutual = F.log2(F.col("both") * n / (F.col("n_term") * F.col("n_value")))
-    return pairs.join(known, "value").join(counts, "term").where((information > 0) & (mutual >= F.lit(threshold) * information)).select("term").distinct()
+    chance = F.col("n_entity") / n
+    unseen = F.when(F.col("part"), F.lit(float(support))).otherwise(0.0)
+    mutual = F.log2((F.col("both") + unseen * chance) / (F.col("n_term") + unseen) / chance)
+    return pairs.join(known, "entity").join(counts, "term").where((chance < 1) & (mutual >= F.lit(threshold) * -F.log2(chance))).select("term").distinct()
 
 
 def occurrences(rows: DataFrame, terms: DataFrame) -> DataFrame:

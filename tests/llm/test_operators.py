@@ -177,6 +177,21 @@ def test_terms_are_replaced_wherever_they_stand(spark):
     assert all(got[i] == [] for i in range(4, len(texts)))
 
 
+def test_terms_of_an_entity_in_several_spellings(spark):
+    values = {
+        "zanzibarov": ["Kim@mail.org", "kim@MAIL.org", "KIM@mail.org"],
+        "quolibet": ["+1 (555) 123-4567", "+1 555 123 4567", "+15551234567"],
+        "orbitz": ["4111 1111 1111 1111", "4111-1111-1111-1111", "4111111111111111"],
+        "hostile": ["10.0.0.7", "010.0.0.7", "10.00.0.07"],
+        "ferdinand": [f"fe.rd@{host}.org" for host in ("one", "two", "three", "four", "five", "six")],
+        "acmeworks": [f"{who}@acme.org" for who in "abcdef"],
+    }
+    texts = [f"note that {term} has {v}" for term, spelled in values.items() for v in spelled] + ["note that hapax has lone@single.org"] + ["note that others has none"] * 400
+    made = spark.createDataFrame([(i, t, None, None, 1) for i, t in enumerate(texts)], SCHEMA)
+    terms = [{s.value for s in r.spans if s.kind == "term"} for r in sorted(private_data.protected(made).collect(), key=lambda r: r.doc_id)]
+    assert terms == [{term} for term, spelled in values.items() for _ in spelled] + [set()] * 401
+
+
 def test_token_counts(docs, rows, nothing):
     pieces = token_counts.read_pieces(token_counts.VOCABULARY)
     first, inner = {p for p in pieces if p.startswith(token_counts.MARK)}, {p for p in pieces if not p.startswith(token_counts.MARK)}
