@@ -23,6 +23,9 @@ from rankloom.llm.staging import row_key, stored
 KINDS = ("email", "ip", "card", "phone")
 ALL_KINDS = (*KINDS, "term")
 
+#: Buckets of row keys, and so the most rows of the table of wanted ones that is broadcast.
+BUCKETS = 1 << 20
+
 # The base patterns.  A match that begins inside a run of its first class
 # could as well begin at the run's start, so other places are skipped (linear time);
 # possessive groups keep long matches off the stack.
@@ -103,6 +106,24 @@ def _entities(base: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(base, of)))
 
 
+def _near(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows whose key shares a bucket with one of ``keys``: texts of the others need not travel."""
+    bucket = F.pmod(F.xxhash64("key"), F.lit(BUCKETS)).alias("bucket")
+    return rows.select("*", bucket).join(F.broadcast(keys.select(bucket).distinct()), "bucket", "left_semi").drop("bucket")
+
+
+def _documents_of_terms(small: DataFrame, rows: DataFrame) -> DataFrame:
+    """``term``, ``n_term``: distinct documents with the term.  All rows are counted, and the copies
+    of repeated rows taken off again, so that only texts of repeated rows travel."""
+    terms = F.explode(_terms(F.col("outside"))).alias("term")
+    counts = rows.select(terms).groupBy("term").agg(F.count("*").alias("n_term"))
+    repeated = stored(small.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "private-repeated")
+    if repeated.isEmpty():
+        return counts
+    copies = _near(rows, repeated).join(repeated, "key").select("key", terms).groupBy("key", "term").agg((1 - F.count("*")).alias("n_term"))
+    return counts.unionByName(copies.select("term", "n_term")).groupBy("term").agg(F.sum("n_term").alias("n_term"))
+
+
 def disclosing(small: DataFrame, rows: DataFrame, threshold: float, support: int) -> DataFrame:
     """``term``s that reveal an entity: mutual information >= threshold * information of the entity.
 
@@ -116,12 +137,11 @@ def disclosing(small: DataFrame, rows: DataFrame, threshold: float, support: int
     words = rows.where(F.size("base") > 0).select("key", _terms(F.col("outside")).alias("terms")).dropDuplicates(["key"])
     both = holders.join(words, "key").select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("both")).where(F.col("both") >= support)
     pairs = stored(both, "disclosure-pairs")
-    counts = rows.select(F.explode(_terms(F.col("outside"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
-    n = F.lit(float(small.count()))
+    n = F.lit(float(small.select("key").distinct().count()))
     chance = F.col("n_entity") / n
     unseen = F.when(F.col("part"), F.lit(float(support))).otherwise(0.0)
     mutual = F.log2((F.col("both") + unseen * chance) / (F.col("n_term") + unseen) / chance)
-    return pairs.join(known, "entity").join(counts, "term").where((chance < 1) & (mutual >= F.lit(threshold) * -F.log2(chance))).select("term").distinct()
+    return pairs.join(known, "entity").join(_documents_of_terms(small, rows), "term").where((chance < 1) & (mutual >= F.lit(threshold) * -F.log2(chance))).select("term").distinct()
 
 
 def occurrences(rows: DataFrame, terms: DataFrame) -> DataFrame:
@@ -133,7 +153,7 @@ def occurrences(rows: DataFrame, terms: DataFrame) -> DataFrame:
     spelled = rows.select("key", F.explode(_words(F.col("outside"))).alias("word")).withColumn("term", F.lower("word")).join(terms, "term")
     hits = stored(spelled.groupBy("key").agg(F.array_join(F.sort_array(F.collect_set("word")), "|").alias("words")), "private-hits")
     pattern = F.concat(F.lit(r"(?<![\p{L}\p{M}])(?:"), F.col("words"), F.lit(r")(?![\p{L}\p{M}])"))
-    located = rows.select("key", "outside").join(hits, "key").select("key", found(F.col("outside"), "term", pattern, F.lit(True)).alias("added"))
+    located = _near(rows.select("key", "outside"), hits).join(hits, "key").select("key", found(F.col("outside"), "term", pattern, F.lit(True)).alias("added"))
     lowered = F.transform("added", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), F.lower(s["value"]).alias("value")))
     return located.dropDuplicates(["key"]).select("key", lowered.alias("added"))
 

@@ -192,6 +192,14 @@ def test_terms_of_an_entity_in_several_spellings(spark):
     assert terms == [{term} for term, spelled in values.items() for _ in spelled] + [set()] * 401
 
 
+def test_repeated_rows_hide_no_term(spark):
+    texts = [f"note {i} that zanzibarov writes from kim@mail.org" for i in range(3)] + ["note that others write"] * 60
+    made = spark.createDataFrame([(i, t, None, None, 1) for i, t in enumerate(texts)] + [(0, texts[0], None, None, 1)] * 40, SCHEMA)
+    got = private_data.protected(made).collect()
+    assert [{s.value for s in r.spans if s.kind == "term"} for r in got if r.doc_id < 3] == [{"zanzibarov", "writes", "from"}] * 43
+    assert len(got) == 103 and all(r.spans == [] for r in got if r.doc_id > 2)
+
+
 def test_token_counts(docs, rows, nothing):
     pieces = token_counts.read_pieces(token_counts.VOCABULARY)
     first, inner = {p for p in pieces if p.startswith(token_counts.MARK)}, {p for p in pieces if not p.startswith(token_counts.MARK)}
