@@ -2,8 +2,8 @@
 
 Candidates are the values of the base patterns and other long tokens that look drawn (both
 letters and digits).  Their hashes are aggregated over the corpus by distinct repositories
-and distinct owners.  A value seen at several owners is a copied example; a value of one
-owner that looks drawn is live.  Base spans always stay; live tokens that no base span
+and distinct owners.  A value seen at several owners, or in more repositories than an owner's
+own credential is used in, is a copied example; any other value that looks drawn is live.  Base spans always stay; live tokens that no base span
 covers are added with kind ``owned``.
 
 Aggregations go from (hash, owner, repository) to (hash, owner) to hash, so that a value
@@ -20,6 +20,7 @@ from rankloom.llm.staging import row_key, stored
 
 KINDS = ("assign", "access", "hex")
 ALL_KINDS = (*KINDS, "owned")
+SPREAD = "array<struct<start:int,end:int,kind:string,owners:bigint,repositories:bigint>>"
 
 # The base patterns.  A run that is too short can be left out of the access
 # and hex patterns at once, because no part of such a run is long enough either.
@@ -60,9 +61,11 @@ def ownership(candidates: DataFrame) -> DataFrame:
     )
 
 
-def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repository_col: str = "doc_id", owner_col: str = "source", most_owners: int = 1) -> DataFrame:
+def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repository_col: str = "doc_id", owner_col: str = "source", most_owners: int = 1, most_repositories: int = 10) -> DataFrame:
     """One row per row of ``docs``: ``doc_id``, ``spans`` (array of start, end, kind, value; ordered),
-    ``n_live`` and ``n_copied`` (candidates of this row of at most ``most_owners`` owners, or of more).
+    ``n_live`` and ``n_copied`` (candidates of this row of at most ``most_owners`` owners and
+    ``most_repositories`` repositories, or of more of either), and ``spread`` (array of start,
+    end, kind, owners, repositories of every candidate; ordered).
 
     Null texts are empty.  Repositories count within their owner.  Repeated rows stay and
     count once.  Only the named columns are read.
@@ -78,20 +81,28 @@ def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rep
     single = rows.select("key", "repository", "owner", F.explode(F.concat("base", "other")).alias("span")).select(
         "key", "repository", "owner", "span", F.sha2(secret_of(F.col("span")).cast("binary"), 256).alias("hash")
     )
-    owned = stored(ownership(single).select("hash", (F.col("owners") <= most_owners).alias("few")), "ownership")
+    owned = stored(ownership(single), "ownership")
+    few = (F.col("owners") <= most_owners) & (F.col("repositories") <= most_repositories)
     drawn = secret_of(F.col("span")).rlike("[0-9]") & secret_of(F.col("span")).rlike("[A-Za-z]")
     verdicts = (
         single.dropDuplicates(["key", "hash", "span"])
         .join(owned, "hash")
         .groupBy("key")
         .agg(
-            F.collect_list(F.when(F.col("few") & (F.col("span.kind") == "owned"), F.col("span"))).alias("added"),
-            F.count(F.when(F.col("few") & drawn, 1)).alias("n_live"),
-            F.count(F.when(~F.col("few"), 1)).alias("n_copied"),
+            F.collect_list(F.when(few & (F.col("span.kind") == "owned"), F.col("span"))).alias("added"),
+            F.count(F.when(few & drawn, 1)).alias("n_live"),
+            F.count(F.when(~few, 1)).alias("n_copied"),
+            F.array_sort(F.collect_list(F.struct("span.start", "span.end", "span.kind", "owners", "repositories"))).alias("spread"),
         )
     )
     spans = ordered(F.concat("base", F.coalesce("added", F.array().cast(f"array<{SPAN}>"))), ALL_KINDS)
-    return rows.join(verdicts, "key", "left").select("doc_id", spans.alias("spans"), F.coalesce("n_live", F.lit(0)).alias("n_live"), F.coalesce("n_copied", F.lit(0)).alias("n_copied"))
+    return rows.join(verdicts, "key", "left").select(
+        "doc_id",
+        spans.alias("spans"),
+        F.coalesce("n_live", F.lit(0)).alias("n_live"),
+        F.coalesce("n_copied", F.lit(0)).alias("n_copied"),
+        F.coalesce("spread", F.array().cast(SPREAD)).alias("spread"),
+    )
 
 
 def digest(result: DataFrame) -> DataFrame:
@@ -104,4 +115,5 @@ def digest(result: DataFrame) -> DataFrame:
         joined(F.col("spans")).alias("spans"),
         "n_live",
         "n_copied",
+        F.array_join(F.transform("spread", lambda c: F.concat_ws(":", c["kind"], c["start"], c["end"], c["owners"], c["repositories"])), ",").alias("spread"),
     )

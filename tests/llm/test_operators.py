@@ -156,6 +156,14 @@ def test_secrets_of_one_owner(spark):
     assert [got[i].n_live for i in range(1, 6)] == [1, 1, 0, 0, 0] and [got[i].n_copied for i in range(1, 6)] == [0, 0, 1, 1, 0]
 
 
+def test_secrets_copied_within_one_owner(spark):
+    value = "Zz9" * 9
+    made = spark.createDataFrame([(i, f"see {value}x", None, "a", 1) for i in range(11)] + [(20 + i, f"see {value}y", None, "a", 1) for i in range(10)], SCHEMA)
+    got = {r.doc_id: r for r in secrets.digest(secrets.scanned(made)).collect()}
+    assert all((got[i].spans, got[i].n_live, got[i].n_copied, got[i].spread) == ("", 0, 1, "owned:4:32:1:11") for i in range(11))
+    assert all((got[20 + i].spans, got[20 + i].n_live, got[20 + i].n_copied, got[20 + i].spread) == ("owned:4:32", 1, 0, "owned:4:32:1:10") for i in range(10))
+
+
 def test_terms_that_give_a_value_away(spark):
     texts = [f"note {i} that zanzibarov writes from kim@mail.org with that" for i in range(3)] + [f"note {i} that others write with that" for i in range(60)]
     made = spark.createDataFrame([(i, t, None, None, 1) for i, t in enumerate(texts)], SCHEMA)
