@@ -1,6 +1,6 @@
 """Registered queries of this subpackage: name -> (function of session and folder, DuckDB SQL or None).
 
-Each applies one operator, with production parameters, to the whole ``documents`` table.
+Each applies one operator, with production parameters, to the whole ``documents`` table (op13: ``embeddings``).
 """
 
 from __future__ import annotations
@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm import byte_bpe, jaccard_join, language, mixing, private_data, quality, search, secrets, substring_dedup, token_counts
+from rankloom.llm import byte_bpe, centroid_clustering, divergence, jaccard_join, language, licenses, mixing, private_data, quality, search, secrets, substring_dedup, token_counts
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,6 +56,18 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encoded(documents(spark, sf_dir), keep="digest")
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audited(documents(spark, sf_dir))
+
+
+def op12_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digest(licenses.scanned(documents(spark, sf_dir)))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroid_clustering.clustered(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 QUERIES = {
     "op1_substring_dedup": (op1_substring_dedup, None),
     "op2_search": (op2_search, search.SQL),
@@ -67,4 +79,7 @@ QUERIES = {
     "op8_language": (op8_language, None),
     "op9_private_data": (op9_private_data, None),
     "op10_byte_bpe": (op10_byte_bpe, None),
+    "op11_source_divergence": (op11_source_divergence, divergence.SQL),
+    "op12_licenses": (op12_licenses, licenses.SQL),
+    "op13_centroids": (op13_centroids, centroid_clustering.SQL),
 }

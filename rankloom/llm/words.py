@@ -62,7 +62,8 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa
             yield batch.slice(a, b - a)
 
 
-def find_words(texts: pa.Array, lower: bool = False) -> Words:
+def find_words(texts: pa.Array, lower: bool = False, is_word: np.ndarray = _IS_WORD) -> Words:
+    """Words are maximal runs of the bytes marked in ``is_word``, after A-Z are lower-cased if asked."""
     texts = pc.fill_null(texts.cast(pa.large_binary()), b"")
     n = len(texts)
     offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + n + 1]
@@ -72,7 +73,7 @@ def find_words(texts: pa.Array, lower: bool = False) -> Words:
     if lower:
         data = _LOWER[data]
     inside = np.zeros(len(data) + 2, dtype=bool)
-    inside[1:-1] = _IS_WORD[data]
+    inside[1:-1] = is_word[data]
     begin = inside[1:-1] & ~inside[:-2]
     end = inside[1:-1] & ~inside[2:]
     edges = offsets[(offsets > 0) & (offsets < len(data))]
@@ -84,6 +85,15 @@ def find_words(texts: pa.Array, lower: bool = False) -> Words:
     return Words(data, starts, ends, doc, first)
 
 
+def word_values(words: Words) -> pa.Array:
+    """The words themselves, as one Arrow array."""
+    length = words.ends - words.starts
+    offsets = np.zeros(len(length) + 1, dtype=np.int64)
+    np.cumsum(length, out=offsets[1:])
+    at = np.arange(offsets[-1]) + np.repeat(words.starts - offsets[:-1], length)
+    return pa.LargeStringArray.from_buffers(len(length), pa.py_buffer(offsets), pa.py_buffer(words.data[at].tobytes()))
+
+
 def span_names(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int) -> np.ndarray:
     """64-bit names of byte spans, a function of the bytes and the seed alone."""
     padded = np.zeros(len(data) + 8, dtype=np.uint8)
