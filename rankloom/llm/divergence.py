@@ -38,6 +38,8 @@ TOP = 10
 #: twice the one times the other.
 BLOCK = 64
 BUCKET = 256
+#: Rows of the bucket table that tells which texts may be copied, at most.
+BUCKETS = 1 << 18
 SCALE = 1_000_000_000
 
 # Bytes of [^\x00-\x40\x5B-\x60\x7B-\x7F]: letters of ASCII and everything beyond it.
@@ -63,13 +65,20 @@ def _tokenised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def term_counts(rows: DataFrame) -> DataFrame:
     """``lang``, ``source``, ``term``, ``n`` (occurrences), ``docs`` from rows (lang, source, text) without nulls.
 
-    The places of a text are one entry per source that has it, so at most as many as a language
+    Texts travel only if their name shares a bucket with a copied one; the others are tokenised
+    where they are read.  The places of a text are one entry per source that has it, so at most as many as a language
     has sources; the result has the square of that many rows.
     """
     named = rows.withColumn("name", F.unhex(F.sha2(F.col("text").cast("binary"), 256)))
-    texts = named.groupBy("lang", "name").agg(F.any_value("text").alias("text"))
-    places = named.groupBy("lang", "name", "source").agg(F.count("*").alias("times")).groupBy("lang", "name").agg(F.collect_list(F.struct("source", "times")).alias("places"))
-    collapsed = texts.join(places, ["lang", "name"]).select("lang", "places", "text")
+    times = stored(named.groupBy("lang", "name", "source").agg(F.count("*").alias("times")), "divergence-times")
+    copied = times.groupBy("lang", "name").agg(F.sum("times").alias("rows")).where("rows > 1")
+    bucket = F.pmod(F.xxhash64("lang", "name"), F.lit(BUCKETS))
+    crowded = stored(copied.select(bucket.alias("bucket")).distinct().withColumn("near", F.lit(True)), "divergence-buckets")
+    dealt = named.withColumn("bucket", bucket).join(F.broadcast(crowded), "bucket", "left")
+    alone = dealt.where("near IS NULL").select("lang", F.array(F.struct("source", F.lit(1).cast("long").alias("times"))).alias("places"), "text")
+    texts = dealt.where("near").groupBy("lang", "name").agg(F.any_value("text").alias("text"))
+    places = times.groupBy("lang", "name").agg(F.collect_list(F.struct("source", "times")).alias("places"))
+    collapsed = alone.unionByName(texts.join(places, ["lang", "name"]).select("lang", "places", "text"))
     tokens = collapsed.mapInArrow(_tokenised, "lang string, places array<struct<source:string,times:bigint>>, terms array<struct<term:string,n:bigint>>")
     each = tokens.select("lang", F.explode("places").alias("p"), "terms").select("lang", "p.source", "p.times", F.explode("terms").alias("t"))
     return each.groupBy("lang", "source", F.col("t.term").alias("term")).agg(F.sum(F.col("t.n") * F.col("times")).alias("n"), F.sum("times").alias("docs"))
