@@ -12,8 +12,8 @@ from rankloom.operators.merge import with_record_key
 from rankloom.plans import standins as st
 from rankloom.plans.standins import table
 from rankloom.session import cut_lineage, ensure_checkpoint_dir
-from rankloom.sources import lake
-from rankloom.streaming.ingest import ingest
+from rankloom.sources import bucketed, lake
+from rankloom.streaming.ingest import ingest, upsert_batch
 
 _ID = "left(sha256({}), 32)"
 
@@ -581,14 +581,18 @@ SIMILARITY_ROWS = f"""SELECT 'u' || d.doc_id AS url, {_ID.format("'run-1|' || la
 FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id"""
 
 
+#: Buckets of the lakes that queries write; the given tables are small.
+_FEW = 8
+
+
 def incremental_ingest(spark, d):
     """Files arrive twice and are upserted by the stream; the lake holds each record once."""
     base = f"{ensure_checkpoint_dir(spark)}/ingest-{uuid.uuid4().hex}"
     batch = st.expansion_lake(spark, d).unionByName(st.onpage_lake(spark, d))
     for _ in range(2):
         batch.write.mode("append").parquet(f"{base}/incoming")
-        ingest(spark, f"{base}/incoming", f"{base}/lake", f"{base}/progress").awaitTermination()
-    return lake.scan_raw(spark, f"{base}/lake").groupBy("endpoint").agg(
+        ingest(spark, f"{base}/incoming", f"{base}/lake", f"{base}/progress", buckets=_FEW).awaitTermination()
+    return bucketed.scan(spark, f"{base}/lake", _FEW).groupBy("endpoint").agg(
         F.count(F.lit(1)).alias("row_count"), F.count_distinct("target_keyword").alias("keywords"), F.max("timestamp").alias("latest")
     )
 
@@ -597,10 +601,39 @@ INCREMENTAL_INGEST = """SELECT 'keyword_expansion' AS endpoint, count(*) AS row_
 UNION ALL SELECT 'onpage_instant_pages', count(*), count(DISTINCT p_brand), '2024-01-02T00:00:00' FROM part"""
 
 
+def bucketed_upserts(spark, d):
+    """Batches into one lake: all records, newer ones that win, late ones that do not, a compaction, a replay."""
+    root = f"{ensure_checkpoint_dir(spark)}/bucketed-{uuid.uuid4().hex}"
+    first = st.expansion_lake(spark, d).unionByName(st.onpage_lake(spark, d))
+    later = lambda rows, t: rows.withColumns({"timestamp": F.concat(F.lit(t), "timestamp"), "response_id": F.concat(F.lit(t), "response_id")})
+    upsert_batch(spark, first, root, buckets=_FEW)
+    upsert_batch(spark, later(first.where("target_keyword RLIKE '[37]$'"), "2025"), root, buckets=_FEW)
+    upsert_batch(spark, later(first, "2026").withColumn("target_keyword", F.concat("target_keyword", F.lit("0"))).where("endpoint = 'keyword_expansion'"), root, new_wins=False, buckets=_FEW)
+    bucketed.compact(spark, root, buckets=_FEW)
+    upsert_batch(spark, later(first.where("target_keyword RLIKE '[1-4]$'"), "2027"), root, new_wins=False, buckets=_FEW)
+    altered = F.encode(F.concat(F.decode("response_body_bytes", "UTF-8"), F.lit(" ")), "UTF-8")
+    rebuilt = later(first, "2028").withColumn("response_body_bytes", F.when(F.col("target_keyword").rlike("3$"), altered).otherwise(F.col("response_body_bytes")))
+    rebuilt = rebuilt.withColumn("sha256", F.sha2("response_body_bytes", 256))
+    bucketed.replay(spark, rebuilt, root, bucketed.next_generation(spark, root, _FEW), buckets=_FEW)
+    return bucketed.scan(spark, root, _FEW).groupBy("endpoint", F.left("timestamp", F.lit(4)).alias("year")).agg(
+        F.count(F.lit(1)).alias("row_count"), F.count_distinct("target_keyword").alias("keywords")
+    )
+
+
+BUCKETED_UPSERTS = """WITH c AS (
+  SELECT 'seed ' || c_custkey AS k, CASE WHEN c_custkey % 10 IN (3, 7) THEN '2025' ELSE '2024' END AS year FROM customer
+  UNION ALL SELECT 'seed ' || c_custkey || '0', '2026' FROM customer WHERE c_custkey || '0' NOT IN (SELECT c_custkey::VARCHAR FROM customer)),
+p AS (
+  SELECT p_partkey, p_brand, CASE WHEN p_brand SIMILAR TO '.*3' THEN '2028' WHEN p_brand SIMILAR TO '.*7' THEN '2025' ELSE '2024' END AS year FROM part)
+SELECT 'keyword_expansion' AS endpoint, year, count(*) AS row_count, count(DISTINCT k) AS keywords FROM c GROUP BY year
+UNION ALL SELECT 'onpage_instant_pages', year, count(*), count(DISTINCT p_brand) FROM p GROUP BY year"""
+
+
 QUERIES = {
     "rule_scores": (rule_scores, RULE_SCORES),
     "similarity_rows": (similarity_rows, SIMILARITY_ROWS),
     "incremental_ingest": (incremental_ingest, INCREMENTAL_INGEST),
+    "bucketed_upserts": (bucketed_upserts, BUCKETED_UPSERTS),
     "reusable_responses": (reusable, REUSABLE),
     "serp_items": (serp_items, SERP_ITEMS),
     "keyword_statuses": (keyword_statuses, KEYWORD_STATUSES),

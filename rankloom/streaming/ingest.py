@@ -1,43 +1,25 @@
-"""Incremental ingest of raw records with an idempotent upsert."""
+"""Incremental ingest of raw records with an idempotent upsert into the bucketed lake."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from rankloom import schemas as S
-from rankloom.operators.merge import RECORD_KEY, upsert, with_record_key
-from rankloom.session import cut_lineage
-from rankloom.sources.sinks import write_raw
+from rankloom.sources import bucketed
 
 
-def upsert_batch(spark: SparkSession, batch: DataFrame, root: str, new_wins: bool = True) -> None:
-    """Merge a batch into the lake, touching only the endpoints it contains.
+def upsert_batch(spark: SparkSession, batch: DataFrame, root: str, new_wins: bool = True, generation: int | None = None, buckets: int = bucketed.BUCKETS) -> int:
+    """Append a batch to the lake and return its generation (by default the next one).
 
-    The same records may arrive again after a failure: the key and the order decide
-    the winner, so a repeated batch changes nothing.
+    The same records may arrive again after a failure: with the same generation they replace
+    themselves, with a later one the key decides, so a repeated batch changes nothing.
     """
-    endpoints = [r["endpoint"] for r in batch.select("endpoint").distinct().collect()]  # a handful of names
-    if not endpoints:
-        return
-    try:
-        stored = spark.read.schema(S.RAW).parquet(root).where(F.col("endpoint").isin(*endpoints))
-        stored = stored.select(*S.RAW.names)
-    except AnalysisException:
-        stored = spark.createDataFrame([], S.RAW)
-    merged = upsert(
-        with_record_key(stored),
-        with_record_key(batch.select(*S.RAW.names)),
-        list(RECORD_KEY),
-        ["timestamp", "response_id"],
-        new_wins=new_wins,
-    ).select(*S.RAW.names)
-    # The overwrite replaces the folders it reads from, so the merged rows are
-    # written to the checkpoint folder before any of them is removed.
-    write_raw(cut_lineage(merged), root)
+    if generation is None:
+        generation = bucketed.next_generation(spark, root, buckets)
+    bucketed.append(spark, batch, root, generation, new_wins, buckets)
+    return generation
 
 
 def ingest(
@@ -47,12 +29,17 @@ def ingest(
     checkpoint: str,
     new_wins: bool = True,
     on_batch: Callable[[int], None] | None = None,
+    buckets: int = bucketed.BUCKETS,
+    first_generation: int = 0,
 ):
-    """Process all files under ``incoming`` once and stop; run again for new files."""
+    """Process all files under ``incoming`` once and stop; run again for new files.
+
+    A batch's generation is ``first_generation`` plus its number in the stream, which a restart repeats.
+    """
     stream = spark.readStream.schema(S.RAW).option("maxFilesPerTrigger", 1000).parquet(incoming)
 
     def run(batch: DataFrame, epoch: int) -> None:
-        upsert_batch(batch.sparkSession, batch, root, new_wins)
+        upsert_batch(batch.sparkSession, batch, root, new_wins, first_generation + epoch, buckets)
         if on_batch:
             on_batch(epoch)
 

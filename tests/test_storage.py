@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from rankloom import schemas as S
 from rankloom.operators.merge import build_records, upsert, with_record_key
 from rankloom.operators.quality import Contract, ContractError
-from rankloom.sources import lake, sinks
+from rankloom.sources import bucketed, lake, sinks
 from rankloom.streaming.ingest import ingest, upsert_batch
 
 
@@ -55,13 +55,13 @@ def test_stream_equals_batch(spark):
     incoming, streamed, batched, checkpoint = folder(), folder(), folder(), folder()
     for batch in (first_batch(spark), second_batch(spark), second_batch(spark)):
         batch.coalesce(1).write.mode("append").parquet(incoming)
-        ingest(spark, incoming, streamed, checkpoint).awaitTermination()
-        upsert_batch(spark, batch, batched)
+        ingest(spark, incoming, streamed, checkpoint, buckets=4).awaitTermination()
+        upsert_batch(spark, batch, batched, buckets=4)
     direct = upsert(
         with_record_key(first_batch(spark)), with_record_key(second_batch(spark)), ["endpoint", "record_key", "record_scope"], ["timestamp", "response_id"]
     )
-    assert contents(lake.scan_raw(spark, streamed)) == contents(lake.scan_raw(spark, batched)) == contents(direct)
-    assert lake.scan_raw(spark, streamed).where("endpoint = 'serp'").count() == 3
+    assert contents(bucketed.scan(spark, streamed, 4)) == contents(bucketed.scan(spark, batched, 4)) == contents(direct)
+    assert bucketed.scan(spark, streamed, 4).where("endpoint = 'serp'").count() == 3
 
 
 def test_failed_check_leaves_the_published_table(spark):
