@@ -47,7 +47,7 @@ class Model:
 def gram_counts(text: str | None) -> np.ndarray | None:
     """Counts of hashed n-grams of a whole text; None without letters."""
     letters = _NOT_LETTERS.sub(" ", text or "").strip()
-    if not letters:
+    if not any(map(str.isalpha, letters)):  # what is left may be number signs alone
         return None
     b = np.frombuffer(f" {letters.lower()} ".encode(), dtype=np.uint8).astype(np.uint64)
     two = b[:-1] << np.uint64(8) | b[1:]

@@ -12,6 +12,8 @@ references are sums per language and word, partial before the shuffle.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,6 +28,16 @@ def _none(kind: str) -> Column:
     return F.array().cast(f"array<{kind}>")
 
 
+def held(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with the value evaluated once.
+
+    A function of an array evaluates what it captures once per element, and a column is no
+    protection: a filter on the result that Spark pushes down puts the expression back in
+    its place.  A variable of a function over an array of one stays a variable.
+    """
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def window_names(words: Column) -> Column:
     """Three-word windows as (64-bit name, place), sorted: equal ones are neighbours (n log n, also for very long texts)."""
     return F.sort_array(
@@ -39,8 +51,7 @@ def window_names(words: Column) -> Column:
 def repeated_words(ordered: Column) -> Column:
     """Words inside windows that stand twice or more in the text, the first included.
 
-    ``ordered`` is a column that holds ``window_names``, not the expression: a function of
-    an array evaluates what it captures once per element.
+    ``ordered`` is a variable (see ``held``) of ``window_names``.
     """
 
     def again(w: Column, i: Column) -> Column:
@@ -65,13 +76,21 @@ def class_counts(text: Column, rest: Column) -> Column:
 
 def divergence(counts: Column, reference: Column) -> Column:
     """Jensen-Shannon distance (base 2) of a histogram and a reference distribution."""
-    total = F.aggregate(counts, F.lit(0.0), lambda a, x: a + x)
 
     def part(p: Column, m: Column) -> Column:
         return F.when(p > 0, p * F.log2(p / m)).otherwise(0.0)
 
-    both = F.zip_with(counts, reference, lambda c, q: part(c / total, (c / total + q) / 2) + part(q, (c / total + q) / 2))
-    return F.when(total > 0, F.sqrt(F.greatest(F.aggregate(both, F.lit(0.0), lambda a, x: a + x) / 2, F.lit(0.0))))
+    def whole(values: Column) -> Column:
+        return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
+
+    def distance(share: Column) -> Column:
+        both = F.zip_with(share, reference, lambda p, q: part(p, (p + q) / 2) + part(q, (p + q) / 2))
+        return F.sqrt(F.greatest(whole(both) / 2, F.lit(0.0)))
+
+    def of(n: Column) -> Column:
+        return held(whole(n), lambda total: F.when(total > 0, held(F.transform(n, lambda c: c / total), distance)))
+
+    return held(counts, of)
 
 
 def references(rows: DataFrame, common: int) -> DataFrame:
@@ -99,7 +118,7 @@ def common_places(words: Column, common: Column) -> Column:
 
 
 def common_counts(places: Column, n_words: Column, common: Column) -> Column:
-    """How often each common word stands in a column of ``common_places``, and the number of all other words."""
+    """How often each common word stands in ``common_places`` (a variable, see ``held``), and the number of all other words."""
     hits = F.transform(common, lambda _, i: F.size(F.filter(places, lambda p: p == i + 1)).cast("double"))
     return F.concat(hits, F.array((n_words - F.size(places)).cast("double")))
 
@@ -132,17 +151,16 @@ def judged(
         F.size("words").cast("long").alias("n_words"),
         F.length(F.regexp_replace("rest", r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
         (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
-        F.when(F.size("words") >= 4, window_names(F.col("words"))).alias("windows"),
+        F.when(F.size("words") >= 4, held(F.col("words"), lambda w: held(window_names(w), repeated_words))).otherwise(0).cast("long").alias("n_repeat_words"),
         class_counts(F.col("text"), F.col("rest")).alias("classes"),
         "words",
         F.length("text").alias("n_chars"),
     )
-    counted = counted.withColumn("n_repeat_words", repeated_words(F.col("windows"))).drop("windows")
     counted = counted.withColumn("word_chars", (F.col("n_chars") - F.get("classes", F.lit(CLASSES.index("space")))).cast("long"))
     reference = learned.withColumnRenamed("language", "of")
     both = counted.join(reference, F.col("language").eqNullSafe(F.col("of")), "left")
-    both = both.withColumn("places", common_places(F.col("words"), F.col("common"))).drop("words")
-    both = both.withColumn("word_counts", common_counts(F.col("places"), F.col("n_words"), F.col("common")))
+    found = held(common_places(F.col("words"), F.col("common")), lambda places: common_counts(places, F.size("words"), F.col("common")))
+    both = both.withColumn("word_counts", found).drop("words")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     by_class = F.when(F.col("n_chars") >= least_chars, divergence(F.col("classes"), F.col("class_share")))
     by_word = F.when(F.col("n_words") >= least_words, divergence(F.col("word_counts"), F.col("word_share")))
