@@ -39,27 +39,27 @@ def held(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def window_names(words: Column) -> Column:
-    """Three-word windows as (64-bit name, place), sorted: equal ones are neighbours (n log n, also for very long texts)."""
-    return F.sort_array(
-        F.transform(
-            F.sequence(F.lit(1), F.size(words) - 2),
-            lambda i: F.struct(F.xxhash64(F.element_at(words, i), F.element_at(words, i + 1), F.element_at(words, i + 2)).alias("name"), i.alias("at")),
-        )
-    )
+    """64-bit names of the three-word windows, in order."""
+    return F.transform(F.sequence(F.lit(1), F.size(words) - 2), lambda i: F.xxhash64(F.element_at(words, i), F.element_at(words, i + 1), F.element_at(words, i + 2)))
 
 
-def repeated_words(ordered: Column) -> Column:
+def repeated_words(names: Column) -> Column:
     """Words inside windows that stand twice or more in the text, the first included.
 
-    ``ordered`` is a variable (see ``held``) of ``window_names``.
+    ``names`` is a variable (see ``held``) of ``window_names``.  Only where a name repeats are
+    they sorted with their places, so that equal ones are neighbours (n log n, also for very long texts).
     """
 
-    def again(w: Column, i: Column) -> Column:
-        before, after = F.get(ordered, i - 1)["name"], F.get(ordered, i + 1)["name"]
-        return F.coalesce(before == w["name"], F.lit(False)) | F.coalesce(after == w["name"], F.lit(False))
+    def counted(ordered: Column) -> Column:
+        def again(w: Column, i: Column) -> Column:
+            before, after = F.get(ordered, i - 1)["name"], F.get(ordered, i + 1)["name"]
+            return F.coalesce(before == w["name"], F.lit(False)) | F.coalesce(after == w["name"], F.lit(False))
+
+        places = F.transform(F.filter(ordered, again), lambda w: F.array(w["at"], w["at"] + 1, w["at"] + 2))
+        return F.size(F.array_distinct(F.flatten(places)))
 
-    places = F.transform(F.filter(ordered, again), lambda w: F.array(w["at"], w["at"] + 1, w["at"] + 2))
-    return F.coalesce(F.size(F.array_distinct(F.flatten(places))), F.lit(0)).cast("long")
+    placed = F.sort_array(F.transform(names, lambda name, i: F.struct(name.alias("name"), i.alias("at"))))
+    return F.when(F.size(F.array_distinct(names)) == F.size(names), 0).otherwise(held(placed, counted))
 
 
 def not_letters(text: Column) -> Column:
@@ -112,15 +112,23 @@ def references(rows: DataFrame, common: int) -> DataFrame:
     )
 
 
-def common_places(words: Column, common: Column) -> Column:
-    """For every word that is a common one, its place among them."""
-    return F.filter(F.transform(words, lambda w: F.array_position(common, F.lower(w))), lambda p: p > 0)
+def common_counts(words: Column, common: Column, most: int) -> Column:
+    """How often each common word stands in the text, and the number of all other words.
+
+    Every word becomes one character, its place among the (at most ``most``) common words; a
+    character is counted by leaving it out.
+    """
+    alphabet = "".join(map(chr, range(0x21, 0x22 + most)))  # the first one is for other words
+    marks = F.array_join(F.transform(words, lambda w: F.substring(F.lit(alphabet), F.array_position(common, F.lower(w)).cast("int") + 1, F.lit(1))), "")
+
+    def counted(text: Column) -> Column:
+        def number(mark: Column) -> Column:
+            return (F.length(text) - F.length(F.replace(text, mark, F.lit("")))).cast("double")
 
+        hits = F.transform(common, lambda _, i: number(F.substring(F.lit(alphabet), i + 2, F.lit(1))))
+        return F.concat(hits, F.array(number(F.lit(alphabet[0]))))
 
-def common_counts(places: Column, n_words: Column, common: Column) -> Column:
-    """How often each common word stands in ``common_places`` (a variable, see ``held``), and the number of all other words."""
-    hits = F.transform(common, lambda _, i: F.size(F.filter(places, lambda p: p == i + 1)).cast("double"))
-    return F.concat(hits, F.array((n_words - F.size(places)).cast("double")))
+    return held(marks, counted)
 
 
 def judged(
@@ -159,8 +167,7 @@ def judged(
     counted = counted.withColumn("word_chars", (F.col("n_chars") - F.get("classes", F.lit(CLASSES.index("space")))).cast("long"))
     reference = learned.withColumnRenamed("language", "of")
     both = counted.join(reference, F.col("language").eqNullSafe(F.col("of")), "left")
-    found = held(common_places(F.col("words"), F.col("common")), lambda places: common_counts(places, F.size("words"), F.col("common")))
-    both = both.withColumn("word_counts", found).drop("words")
+    both = both.withColumn("word_counts", common_counts(F.col("words"), F.col("common"), common)).drop("words")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     by_class = F.when(F.col("n_chars") >= least_chars, divergence(F.col("classes"), F.col("class_share")))
     by_word = F.when(F.col("n_words") >= least_words, divergence(F.col("word_counts"), F.col("word_share")))
