@@ -53,6 +53,15 @@ def drop_blocked_domains(frame: DataFrame, blocklist: DataFrame, url: str = "url
     return keyed.join(blocked, "__host", "left_anti").drop("__host")
 
 
+def unblocked_scores(scored: DataFrame, serp: DataFrame, blocklist: DataFrame, url: str = "url", keys: Sequence[str] = ("target_keyword",)) -> DataFrame:
+    """Scored pages whose URL stands in an unblocked ranked row of the same keyword.
+
+    Only the distinct (keyword, URL) pairs of the ranked rows travel to the scores.
+    """
+    open_urls = drop_blocked_domains(serp.select(*keys, url).distinct(), blocklist, url)
+    return scored.join(open_urls, [*keys, url], "left_semi")
+
+
 def complete_controls(frame: DataFrame, controls: Sequence[str] = REQUIRED_CONTROLS) -> DataFrame:
     """Keep rows with a value in every control that exists as a column (NaN is a value)."""
     for column in controls:

@@ -176,3 +176,10 @@ def suffix_sums(
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     return frame.select(*frame.columns, *[F.sum(c).over(window).alias(f"{c}_suffix") for c in columns])
+
+
+def score_report(pages: DataFrame, score: str, keys: Sequence[str] = ("target_keyword",), tie_order: Sequence[str] = ("url",)) -> DataFrame:
+    """Pages of each key by one score, best first: ``rank`` and ``percentile`` ((rank - 1) / (n - 1), 0 for a
+    single one).  Pages without the score are left out."""
+    ranked = ordinal_ranks(pages.where(F.col(score).isNotNull()), {"report": score}, keys, tie_order)
+    return ranked.select(*keys, *tie_order, score, F.col("report_rank").alias("rank"), F.col("report_pct").alias("percentile"))

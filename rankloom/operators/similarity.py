@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from rankloom import schemas as S
@@ -23,6 +22,7 @@ from rankloom.functions.text import (
     stable_id,
 )
 from rankloom.functions.vectors import cosine, rule_semantic_vector, rule_vector
+from rankloom.operators.quality import ContractError
 from rankloom.operators.groups import first_per_key
 
 # Fixed value: roles of a stored embedding.
@@ -180,3 +180,13 @@ def similarity_table(pages: DataFrame, scores: DataFrame) -> DataFrame:
             for f in S.CURATED["similarity_scores"].fields
         ]
     )
+
+
+def require_scores(rows: DataFrame, scorers: Sequence[str] = S.SCORERS, named: int = 5) -> DataFrame:
+    """``rows`` if every page has every scorer's scores; otherwise the job stops and names some of the pages."""
+    lacking = [f"{s}_{k}_score" for s in scorers for k in ("raw", "normalized")]
+    gaps = rows.select("target_keyword", "url", F.array_compact(F.array(*[F.when(F.col(c).isNull(), F.lit(c)) for c in lacking])).alias("gaps")).where(F.size("gaps") > 0)
+    found = gaps.orderBy("target_keyword", "url").limit(named).collect()
+    if found:
+        raise ContractError("; ".join(f"{r['target_keyword']} {r['url']}: no {', '.join(r['gaps'])}" for r in found))
+    return rows

@@ -585,6 +585,19 @@ FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id"""
 _FEW = 8
 
 
+def record_violations(spark, d):
+    """Records of orders, some without an endpoint, a body or metadata."""
+    rows = table(spark, d, "orders").selectExpr(
+        "'run' AS run_id", "concat('r', o_orderkey) AS response_id", "if(o_orderkey % 11 = 0, NULL, 'serp') AS endpoint",
+        "if(o_orderkey % 7 = 0, NULL, encode(o_orderstatus, 'UTF-8')) AS response_body_bytes", "if(o_orderkey % 5 = 0, NULL, '{}') AS request_metadata_json",
+    )
+    return drift.record_violations(rows)
+
+
+RECORD_VIOLATIONS = """SELECT 'run' AS run_id, 'r' || o_orderkey AS response_id, reason FROM orders,
+  (VALUES ('missing endpoint', 11), ('missing response_body_bytes', 7), ('missing request_metadata_json', 5)) v(reason, m) WHERE o_orderkey % m = 0"""
+
+
 def incremental_ingest(spark, d):
     """Files arrive twice and are upserted by the stream; the lake holds each record once."""
     base = f"{ensure_checkpoint_dir(spark)}/ingest-{uuid.uuid4().hex}"
@@ -630,6 +643,7 @@ UNION ALL SELECT 'onpage_instant_pages', year, count(*), count(DISTINCT p_brand)
 
 
 QUERIES = {
+    "record_violations": (record_violations, RECORD_VIOLATIONS),
     "rule_scores": (rule_scores, RULE_SCORES),
     "similarity_rows": (similarity_rows, SIMILARITY_ROWS),
     "incremental_ingest": (incremental_ingest, INCREMENTAL_INGEST),

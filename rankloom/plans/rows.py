@@ -58,6 +58,24 @@ SELECT page_id, url FROM p WHERE url IS NOT NULL AND NOT EXISTS (
   SELECT 1 FROM entries WHERE {_HOST} = e OR ends_with({_HOST}, '.' || e))"""
 
 
+def unblocked_scores(spark, d):
+    """Pages scored by length, kept where an unblocked ranked row of their keyword has their URL."""
+    pages = table(spark, d, "pages")
+    scored = pages.selectExpr("concat('k', page_id % 5) AS target_keyword", "url", "length(html) AS score")
+    serp = pages.where("page_id % 3 <> 0").selectExpr("concat('k', page_id % 5) AS target_keyword", "url", "page_id AS serp_rank")
+    return filters.unblocked_scores(scored, serp, blocklist(_block_lines(spark, d)))
+
+
+UNBLOCKED_SCORES = f"""WITH entries AS (
+  SELECT DISTINCT CASE WHEN url LIKE '%spam%' THEN {_HOST} ELSE 'cheap-pills.example.com' END AS e
+  FROM pages WHERE url LIKE '%spam%' OR url LIKE '%pills%'),
+open_urls AS (
+  SELECT 'k' || page_id % 5 AS target_keyword, url FROM pages WHERE page_id % 3 <> 0 AND NOT EXISTS (
+    SELECT 1 FROM entries WHERE {_HOST} = e OR ends_with({_HOST}, '.' || e)))
+SELECT 'k' || page_id % 5 AS target_keyword, url, length(html) AS score FROM pages
+WHERE ('k' || page_id % 5, url) IN (SELECT (target_keyword, url) FROM open_urls)"""
+
+
 def blocklist_entries(spark, d):
     return blocklist(_block_lines(spark, d))
 
@@ -402,6 +420,7 @@ SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY similari
 
 
 QUERIES = {
+    "unblocked_scores": (unblocked_scores, UNBLOCKED_SCORES),
     "depth_expansion": (depth_expansion, DEPTH_EXPANSION),
     "rank_depth": (rank_depth, RANK_DEPTH),
     "blocked_domains": (blocked_domains, BLOCKED_DOMAINS),

@@ -246,7 +246,19 @@ def minimum_variance(spark, d):
 MINIMUM_VARIANCE = "SELECT round(coalesce(min(q), 0), 6) AS minimum_variance FROM (SELECT var_pop(l_quantity) AS q FROM lineitem GROUP BY l_suppkey)"
 
 
+def score_report(spark, d):
+    """Parts of each brand by retail price, some without one."""
+    parts = table(spark, d, "part").selectExpr("p_brand", "p_partkey", "if(p_partkey % 9 = 0, NULL, p_retailprice) AS p_retailprice")
+    return ranks.score_report(parts, "p_retailprice", ["p_brand"], ["p_partkey"])
+
+
+SCORE_REPORT = """WITH p AS (SELECT p_brand, p_partkey, p_retailprice FROM part WHERE p_partkey % 9 <> 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS rank, count(*) OVER (PARTITION BY p_brand) AS n FROM p)
+SELECT p_brand, p_partkey, p_retailprice, rank, CASE WHEN n = 1 THEN 0.0 ELSE (rank - 1)::DOUBLE / (n - 1) END AS percentile FROM r"""
+
+
 QUERIES = {
+    "score_report": (score_report, SCORE_REPORT),
     "ordinal_ranks": (ordinal_ranks, ORDINAL_RANKS),
     "average_ranks": (average_ranks, AVERAGE_RANKS),
     "within_zscore": (within_zscore, WITHIN_ZSCORE),
