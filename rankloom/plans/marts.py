@@ -212,6 +212,23 @@ ONPAGE_MART = f"""WITH {_PANEL_ROWS} SELECT serp_item_id, images_size, scripts_s
 FROM pr LEFT JOIN onpage o ON o.target_keyword_id = pr.target_keyword_id AND o.canonical_url_hash = pr.canonical_url_hash"""
 
 
+def backlinks_analysis(spark, d):
+    """Analysis rows with the backlink signals of their page, which some pages lack."""
+    c, pages, _, serp = _marts(spark, d)
+    links = c["onpage_signals"].where("images_size % 3 <> 0").selectExpr(
+        *M.PAGE_KEY, "'b' AS summary_response_id", "images_size AS backlinks_count", "scripts_size AS referring_domains_count", "no_title AS backlinks_metrics_complete"
+    )
+    out = M.with_source_columns(M.analysis_mart(serp, pages), links)
+    assert "summary_response_id" not in out.columns
+    return out.select("serp_item_id", "serp_rank", "backlinks_count", "referring_domains_count", "backlinks_metrics_complete", "schema_version")
+
+
+BACKLINKS_ANALYSIS = f"""WITH {_PANEL_ROWS} SELECT serp_item_id, serp_rank, images_size AS backlinks_count, scripts_size AS referring_domains_count,
+  no_title AS backlinks_metrics_complete, 'feature_marts.v5' AS schema_version
+FROM pr LEFT JOIN (SELECT * FROM onpage WHERE images_size % 3 <> 0) o
+  ON o.target_keyword_id = pr.target_keyword_id AND o.canonical_url_hash = pr.canonical_url_hash"""
+
+
 def restored_controls(spark, d):
     """Older rows with some controls missing, filled from the domain table."""
     old = table(spark, d, "pages").selectExpr("'run-1' AS run_id", "page_id", "url", "if(page_id % 3 = 0, 0.5, NULL) AS site_scale")
@@ -330,6 +347,7 @@ QUERIES = {
     "domain_features": (domain_features, DOMAIN_FEATURES),
     "panel_rows": (panel_rows, PANEL_ROWS),
     "analysis_mart": (analysis_mart, ANALYSIS_MART),
+    "backlinks_analysis": (backlinks_analysis, BACKLINKS_ANALYSIS),
     "onpage_mart": (onpage_mart, ONPAGE_MART),
     "restored_controls": (restored_controls, RESTORED_CONTROLS),
     "text_metric_join": (text_metric_join, TEXT_METRIC_JOIN),
