@@ -11,14 +11,16 @@
    prefix: the ``n - ceil(0.8 n) + 1`` shingles that come first when rare ones lead.  Two
    sets at the threshold always share one of these.  Rarity is taken from counters of fixed
    size; any order gives right results, this one keeps widely copied passages last.
-4. Groups that share a matrix entry are candidates.  Their members' shingle counts (by hash
-   bin) bound each overlap from above, for a query against a block's union first, then for
-   each member; only what the bounds leave is opened, that is compared exactly.
-5. Links are contracted to components.  A first round opens the closest pair of each two
-   groups, a second one what is still apart.
+4. Groups that share a matrix entry are candidates.  They meet in cells of two blocks of
+   members.  The shingle counts of the members (by hash bin) bound each overlap from above,
+   for a query against a block's union first, then for each member; only members with a
+   possible partner in the cell are opened.
+5. A cell with its sets joins what is linked at once: closest pairs first, and a pair is
+   compared only while its ends are still apart, so that a cell returns fewer links than it
+   has members, however many of its pairs are similar.  All links are contracted to components.
 
 A shingle found in a third of all documents is one matrix row per group.  Sets travel only
-for pairs that are opened, selected by a bit filter of fixed size (false hits are dropped
+for members that are opened, selected by a bit filter of fixed size (false hits are dropped
 by the join that follows).
 """
 
@@ -30,9 +32,8 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from rankloom.llm.components import components
 from rankloom.llm.staging import discarded, stored
@@ -45,8 +46,8 @@ BIN_BITS = 9
 #: Counters that rank shingles by rarity, in slices of one row each; bits of the filter.
 COUNTERS, SLICE = 1 << 21, 1 << 11
 FILTER_BITS = 1 << 24
-#: Members of a group that are looked at together.
-BLOCK = 128
+#: Members of a group that are looked at together, and their shingles (8 MB of sets).
+BLOCK, BLOCK_SHINGLES = 128, 1 << 20
 _SEED = 11
 
 
@@ -85,7 +86,7 @@ def _needed(tokens: int, percent: int) -> int:
 
 
 def profiles(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``n``, ``k`` (class), ``mins``, ``bins``; and counter slices (``part``, ``counts``) from every task."""
+    """``doc_id``, ``h`` (hash of the text), ``n``, ``k`` (class), ``mins``, ``bins``; and counter slices (``part``, ``counts``) from every task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counters = np.zeros(COUNTERS, dtype=np.int64)
@@ -105,18 +106,18 @@ def profiles(docs: DataFrame) -> DataFrame:
                 for h in range(HASHES):
                     mins[full, h] = np.minimum.reduceat(mixed(every + np.uint64(7919 * (h + 1))), at).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.array(list(mins), pa.list_(pa.int64())), pa.array([x.tobytes() for x in bins], pa.binary()), pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary())],
-                names=["doc_id", "n", "k", "mins", "bins", "part", "counts"],
+                [batch.column("doc_id"), batch.column("h"), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.array(list(mins), pa.list_(pa.int64())), pa.array([x.tobytes() for x in bins], pa.binary()), pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary())],
+                names=["doc_id", "h", "n", "k", "mins", "bins", "part", "counts"],
             )
         if counters.any():
             rows = np.minimum(counters, (1 << 32) - 1).astype("<u4").reshape(-1, SLICE)
             m = len(rows)
             yield pa.RecordBatch.from_arrays(
-                [pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.list_(pa.int64())), pa.nulls(m, pa.binary()), pa.array(range(m), pa.int32()), pa.array([r.tobytes() for r in rows], pa.binary())],
-                names=["doc_id", "n", "k", "mins", "bins", "part", "counts"],
+                [*(pa.nulls(m, pa.int64()) for _ in range(4)), pa.nulls(m, pa.list_(pa.int64())), pa.nulls(m, pa.binary()), pa.array(range(m), pa.int32()), pa.array([r.tobytes() for r in rows], pa.binary())],
+                names=["doc_id", "h", "n", "k", "mins", "bins", "part", "counts"],
             )
 
-    return docs.mapInArrow(run, "doc_id long, n long, k long, mins array<long>, bins binary, part int, counts binary")
+    return docs.select("doc_id", F.xxhash64("text").alias("h"), "text").mapInArrow(run, "doc_id long, h long, n long, k long, mins array<long>, bins binary, part int, counts binary")
 
 
 def rarity(counts: DataFrame) -> np.ndarray:
@@ -264,8 +265,13 @@ def exact(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int) -
     return out
 
 
+def _portions() -> Column:
+    """Portions of bounded size that the rows of a group are dealt to."""
+    return F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
+
+
 def grouped(classes: DataFrame, assigned: DataFrame, stars: DataFrame) -> DataFrame:
-    """``k``, ``doc_id``, ``n``, ``bins``, ``g`` (group), ``node`` (what links join), ``connected``, ``size`` of the group."""
+    """``k``, ``doc_id``, ``n``, ``bins``, ``g`` (group), ``node`` (what links join), ``connected``, ``size`` and ``blocks`` of the group."""
     hubs = stars.groupBy(F.col("hub").alias("k")).agg(F.lit(True).alias("is_hub"))
     every = classes.join(assigned.withColumnRenamed("hub", "of"), "k", "left").join(stars, "k", "left").join(hubs, "k", "left")
     node = F.coalesce("hub", "k")
@@ -276,16 +282,17 @@ def grouped(classes: DataFrame, assigned: DataFrame, stars: DataFrame) -> DataFr
         "k", "doc_id", "n", "bins", node.alias("node"), (~far).alias("connected"), F.when(far, F.xxhash64("of", F.pmod(F.xxhash64("k"), F.col("parts")))).otherwise(node).alias("g")
     )
     placed = stored(placed, "jaccard-placed")
-    sizes = placed.groupBy("g").agg(F.count("*").alias("size")).where("size > 1")
-    out = stored(placed.join(sizes, "g", "left").withColumn("size", F.coalesce("size", F.lit(1).cast("long"))), "jaccard-members")
+    sizes = placed.groupBy("g").agg(F.count("*").alias("size"), _portions().alias("blocks")).where("size > 1")
+    one = [F.coalesce(c, F.lit(1).cast(t)).alias(c) for c, t in (("size", "long"), ("blocks", "int"))]
+    out = stored(placed.join(sizes, "g", "left").select("g", "k", "doc_id", "n", "bins", "node", "connected", *one), "jaccard-members")
     discarded(placed)
     return out
 
 
 def shared_entries(matrix: DataFrame) -> DataFrame:
-    """The matrix entries (``token``, ``g``) of shingles that several groups have."""
-    spread = Window.partitionBy("token")
-    return matrix.withColumn("low", F.min("g").over(spread)).withColumn("high", F.max("g").over(spread)).where("low < high").select("token", "g")
+    """The matrix entries (``token``, ``g``) of shingles that several groups have; a frequent one is met by partial minima."""
+    several = matrix.groupBy("token").agg(F.min("g").alias("low"), F.max("g").alias("high")).where("low < high").select("token")
+    return matrix.join(several, "token", "left_semi").select("token", "g")
 
 
 def candidate_groups(shared: DataFrame) -> DataFrame:
@@ -309,51 +316,102 @@ def worth_a_look(pairs: DataFrame, members: DataFrame, percent: int) -> DataFram
 
 
 def possible_pairs(asked: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    """(``k``, ``hub``, ``a``, ``b``, ``apart``): members of both groups, and their nodes, whose histograms allow the threshold.
-
-    Groups of one are compared as they are.  Another target is cut into blocks; the other
-    group's members are the queries, in portions of the same size.  A query is first held
-    against what the block has in any member.
-    """
+    """(``k``, ``hub``) of the candidate groups of one member whose histograms allow the threshold."""
     one = members.where("size = 1")
     alone = asked.where("size = 1").join(one.select(F.col("g").alias("asking"), "k"), "asking").join(one.select(F.col("g").alias("target"), F.col("k").alias("hub")), "target")
-    alone = bounded(alone.select("k", "hub"), one, percent).select("k", "hub", F.col("k").alias("a"), F.col("hub").alias("b"), "apart")
+    return bounded(alone.select("k", "hub"), one, percent).select("k", "hub")
+
+
+def _histograms(sets: list[np.ndarray]) -> np.ndarray:
+    """Shingles by hash bin, at most 255, of every set."""
+    sizes = [len(s) for s in sets]
+    place = (np.repeat(np.arange(len(sets)), sizes) << BIN_BITS) + (np.concatenate(sets) >> np.uint64(64 - BIN_BITS)).astype(np.int64)
+    return np.minimum(np.bincount(place, minlength=len(sets) << BIN_BITS), 255).astype(np.uint8).reshape(len(sets), -1)
+
+
+def _feasible(x: np.ndarray, queries: pd.DataFrame, y: np.ndarray, block: pd.DataFrame, percent: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For every query row that can reach the threshold: its place, the places in the block of another node, and how far apart."""
+    x, y = x.astype(np.int16), y.astype(np.int16)
+    most, sizes, nodes = y.max(axis=0), block["n"].to_numpy(), block["node"].to_numpy()
+    for i, (n, node) in enumerate(zip(queries["n"].tolist(), queries["node"].tolist())):
+        # The overlap with the union, by bins, cannot be larger than this (full bins have no bound).
+        if 100 * (np.minimum(x[i], most).sum() + max(n - int(x[i].sum()), 0)) < percent * n:
+            continue
+        apart = np.abs(y - x[i]).sum(axis=1)
+        good = np.flatnonzero(((100 + percent) * apart <= (100 - percent) * (sizes + n)) & (nodes != node))
+        if len(good):
+            yield i, good, apart[good]
+
+
+CELL = ["target", "block", "portion"]
+
+
+def opened_members(asked: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """(cell, ``k``, ``n``, ``node``, ``asks``): members of both groups with a possible partner in their cell.
+
+    A target is cut into blocks; the other group's members are the queries, in portions of
+    the same size.  Only groups of several members, on either side, are looked at here.
+    """
     asked = asked.where("size > 1")
-    block = (F.pmod(F.xxhash64("k"), F.ceil(F.col("size") / BLOCK))).cast("int")
-    placed = members.withColumn("block", block)
-    blocks = F.explode(F.sequence(F.lit(0), F.ceil(F.col("size") / BLOCK).cast("int") - 1)).alias("block")
-    queries = asked.join(placed.select(F.col("g").alias("asking"), "k", "n", "node", "bins"), "asking").select("k", "n", "node", "bins", "target", blocks)
-    load = stored(queries.groupBy("target", "block").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("portions")), "jaccard-load")
-    asking = queries.join(load, ["target", "block"]).withColumn("portion", F.pmod(F.xxhash64("k"), F.col("portions")).cast("int")).select("target", "block", "portion", "k", "n", "node", "bins")
+    placed = members.withColumn("block", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int"))
+    cut = members.groupBy(F.col("g").alias("target")).agg(F.max("blocks").alias("blocks"))
+    blocks = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")
+    queries = asked.join(cut, "target").join(placed.select(F.col("g").alias("asking"), "k", "n", "node", "bins"), "asking").select("k", "n", "node", "bins", "target", blocks)
+    load = stored(queries.groupBy("target", "block").agg(_portions().alias("portions")), "jaccard-load")
+    asking = queries.join(load, ["target", "block"]).withColumn("portion", F.pmod(F.xxhash64("k"), F.col("portions")).cast("int")).select(*CELL, "k", "n", "node", "bins")
     answering = (
         placed.select(F.col("g").alias("target"), "block", "k", "n", "node", "bins")
         .join(load, ["target", "block"])
-        .select("target", "block", F.explode(F.sequence(F.lit(0), F.col("portions") - 1)).alias("portion"), *[F.col(c).alias(f"{c}_in") for c in ("k", "n", "node", "bins")])
+        .select("target", "block", F.explode(F.sequence(F.lit(0), F.col("portions") - 1)).alias("portion"), "k", "n", "node", "bins")
     )
 
     def compare(queries: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
+        if not len(queries) or not len(block):
+            return pd.DataFrame({c: [] for c in [*CELL, "k", "n", "node", "asks"]})
+        x, y = (np.frombuffer(b"".join(c), np.uint8).reshape(len(c), -1) for c in (queries["bins"], block["bins"]))
+        some, met = [], np.zeros(len(block), dtype=bool)
+        for i, good, _ in _feasible(x, queries, y, block, percent):
+            some.append(i)
+            met[good] = True
+        columns = [*CELL, "k", "n", "node"]
+        return pd.concat([queries.iloc[some][columns].assign(asks=True), block[met][columns].assign(asks=False)])
+
+    cells = asking.groupBy(*CELL).cogroup(answering.groupBy(*CELL))
+    return cells.applyInPandas(compare, "target long, block int, portion int, k long, n long, node long, asks boolean")
+
+
+def cell_links(opened: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(``a``, ``b``): links between nodes that connect what every cell connects, a forest of each cell."""
+
+    def join(rows: pd.DataFrame) -> pd.DataFrame:
         out = []
+        queries, block = rows[rows["asks"]], rows[~rows["asks"]]
         if len(queries) and len(block):
-            x, y = (np.frombuffer(b"".join(c), np.uint8).reshape(len(c), -1).astype(np.int16) for c in (queries["bins"], block["bins_in"]))
-            keys, sizes, nodes = (block[c].to_numpy() for c in ("k_in", "n_in", "node_in"))
-            most = y.max(axis=0)
-            for i, (k, n, node) in enumerate(zip(queries["k"].tolist(), queries["n"].tolist(), queries["node"].tolist())):
-                # The overlap with the union, by bins, cannot be larger than this (full bins have no bound).
-                if 100 * (np.minimum(x[i], most).sum() + max(n - int(x[i].sum()), 0)) < percent * n:
-                    continue
-                apart = np.abs(y - x[i]).sum(axis=1)
-                good = np.flatnonzero(((100 + percent) * apart <= (100 - percent) * (sizes + n)) & (nodes != node))
-                out += [(k, int(keys[j]), node, int(nodes[j]), int(apart[j])) for j in good]
-        return pd.DataFrame(out, columns=["k", "hub", "a", "b", "apart"], dtype="int64")
-
-    keys = ["target", "block", "portion"]
-    return alone.union(asking.groupBy(*keys).cogroup(answering.groupBy(*keys)).applyInPandas(compare, "k long, hub long, a long, b long, apart long"))
+            left, right = ([np.frombuffer(x, np.uint64) for x in c["shingles"]] for c in (queries, block))
+            pairs = [(d, i, j) for i, good, apart in _feasible(_histograms(left), queries, _histograms(right), block, percent) for j, d in zip(good.tolist(), apart.tolist())]
+            a, b = queries["node"].tolist(), block["node"].tolist()
+            above: dict[int, int] = {}
+
+            def root(x: int) -> int:
+                while (up := above.get(x, x)) != x:
+                    above[x] = above.get(up, up)
+                    x = up
+                return x
+
+            for _, i, j in sorted(pairs):
+                x, y = root(a[i]), root(b[j])
+                if x != y and _linked(left[i], right[j], percent):
+                    above[x] = y
+                    out.append((a[i], b[j]))
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return opened.join(sets, "k").groupBy(*CELL).applyInPandas(join, "a long, b long")
 
 
 def class_components(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Rows (``doc_id``, ``n``, ``k``) of (``doc_id``, ``text``), and for every class ``k`` its ``root`` and ``component_id``."""
+    """Rows (``doc_id``, ``h``, ``n``, ``k``) of (``doc_id``, ``text``), and for every class ``k`` its ``root`` and ``component_id``."""
     made = stored(profiles(docs), "jaccard-profiles")
-    rows = made.where("part is null").select("doc_id", "n", "k", "mins", "bins")
+    rows = made.where("part is null").select("doc_id", "h", "n", "k", "mins", "bins")
     levels = rarity(made.where("part is not null").select("part", "counts"))
     classes = rows.where("n > 0").groupBy("k").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.first("mins").alias("mins"), F.first("bins").alias("bins"))
     classes = stored(classes, "jaccard-classes")
@@ -371,24 +429,15 @@ def class_components(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFram
     candidates = stored(candidate_groups(shared), "jaccard-candidates")
     asked = stored(worth_a_look(candidates, members, percent), "jaccard-asked")
     discarded(shared, candidates)
-    pairs = stored(possible_pairs(asked, members, percent).dropDuplicates(["k", "hub"]), "jaccard-pairs")
-    discarded(asked)
-
-    closest = stored(pairs.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min(F.struct("apart", "k", "hub")).alias("best")).select("best.k", "best.hub"), "jaccard-closest")
-    first = exact(closest, classes, docs, percent)
     nodes = members.select("k", "node")
+    pairs = stored(possible_pairs(asked, members, percent), "jaccard-pairs")
+    opened = stored(opened_members(asked, members, percent), "jaccard-opened")
+    wanted = stored(pairs.select("k").union(pairs.select("hub")).union(opened.select("k")).distinct().join(classes.select("k", "doc_id"), "k"), "jaccard-wanted")
+    sets = sets_of(docs, wanted, "jaccard-sets")
     named = nodes.select(F.col("k").alias("hub"), F.col("node").alias("b"))
-    links = first.join(nodes.select("k", F.col("node").alias("a")), "k").join(named, "hub").select("a", "b")
-    links = stored(links, "jaccard-links")
-    roots = stored(components(links), "jaccard-roots")
-    root_a, root_b = (roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")) for c in ("a", "b"))
-    apart = pairs.join(closest, ["k", "hub"], "left_anti").join(root_a, "a", "left").join(root_b, "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b"))
-    apart = stored(apart.select("k", "hub"), "jaccard-apart")
-    # Mostly there is nothing left to open, and then no reason to read the texts again.
-    second = exact(apart, classes, docs, percent) if apart.limit(1).count() else apart
-    more = second.join(nodes.select("k", F.col("node").alias("a")), "k").join(named, "hub").select("a", "b")
-    every = stored(links.union(more), "jaccard-every-link")
-    discarded(pairs, closest, first, roots, apart, links, classes)
+    single = verified(pairs, sets, percent).join(nodes.select("k", F.col("node").alias("a")), "k").join(named, "hub").select("a", "b")
+    every = stored(single.union(cell_links(opened, sets, percent)), "jaccard-every-link")
+    discarded(asked, pairs, opened, wanted, sets, classes)
 
     roots = stored(components(every), "jaccard-final-roots")
     parts = members.join(roots.withColumnRenamed("node", "linked"), F.col("node") == F.col("linked"), "left").select("k", "doc_id", F.coalesce("root", "node").alias("root"))
@@ -415,15 +464,13 @@ def representatives(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
 
     Documents without words are linked with nothing and stay.
     """
-    _, names = class_components(_rows(docs, id_col, text_col), percent)
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            sets = shingle_names(find_words(batch.column("text"), lower=True))
-            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), pa.array([_class(x) if len(x) else None for x in sets], pa.int64())], names=["row", "doc_id", "k"])
-
-    keyed = rows.mapInArrow(run, T.StructType([*[f for f in rows.schema.fields if f.name != "text"], T.StructField("k", T.LongType())]))
-    first = Window.partitionBy("root").orderBy(F.col("doc_id").asc_nulls_last(), F.xxhash64(F.col(f"row.`{text_col}`")))
-    kept = keyed.join(names.select("k", "root"), "k").withColumn("place", F.row_number().over(first)).where("place = 1")
-    return kept.select("row.*").union(keyed.where("k is null").select("row.*"))
+    rows, names = class_components(_rows(docs, id_col, text_col), percent)
+    first = Window.partitionBy("root").orderBy(F.col("doc_id").asc_nulls_last(), "h")
+    chosen = rows.where("n > 0").join(names.select("k", "root"), "k").select("root", "doc_id", "h").withColumn("place", F.row_number().over(first)).where("place = 1")
+    chosen = chosen.select("doc_id", "h", F.lit(False).alias("every")).union(rows.where("n = 0").select("doc_id", "h", F.lit(True)).distinct())
+    # Rows are found again by id and text; they do not travel through Python.
+    keys = [F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("no_id"), "h"]
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("h")).select("row", *keys)
+    found = whole.join(chosen.select(*keys, "every"), ["id", "no_id", "h"])
+    same = Window.partitionBy("id", "no_id", "h").orderBy("id")
+    return found.withColumn("place", F.row_number().over(same)).where("every or place = 1").select("row.*")

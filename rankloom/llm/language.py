@@ -19,9 +19,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from rankloom.llm.words import mixed as spread
 from rankloom.llm.words import slices
@@ -122,31 +121,31 @@ def _clustered(x: np.ndarray, k: int, rounds: int) -> np.ndarray:
     return c
 
 
-def _judged(rows: DataFrame, model: Model) -> DataFrame:
-    """Columns of ``rows`` (with ``text``) but the text, and ``lang_pred``, ``score``, ``rejected``."""
-    shared = rows.sparkSession.sparkContext.broadcast(model)
-    rest = [f for f in rows.schema.fields if f.name != "text"]
-    names = [f.name for f in rest]
-
-    def judge(text: str | None, m: Model) -> tuple[str, float, bool]:
-        counts = gram_counts(text)
-        if counts is None or not m.languages:
-            return UNDETERMINED, 0.0, True
-        at = np.flatnonzero(counts)
-        v = np.log1p(counts[at]).astype(np.float32) * m.idf[at]
-        cosine = m.centroids[:, at] @ (v / max(float(np.linalg.norm(v)), 1e-12))
-        best = int(cosine.argmax())
-        k = int(m.owner[best])
-        return m.languages[k], min(max(float(cosine[best]), 0.0), 1.0), bool(cosine[best] < m.floor[k])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            made = [judge(t, shared.value) for t in batch.column("text").to_pylist()]
+def _verdict(text: str | None, m: Model) -> tuple[str, float, bool]:
+    """Nearest centroid's language, its cosine, and whether that is too far."""
+    counts = gram_counts(text)
+    if counts is None or not m.languages:
+        return UNDETERMINED, 0.0, True
+    at = np.flatnonzero(counts)
+    v = np.log1p(counts[at]).astype(np.float32) * m.idf[at]
+    cosine = m.centroids[:, at] @ (v / max(float(np.linalg.norm(v)), 1e-12))
+    best = int(cosine.argmax())
+    k = int(m.owner[best])
+    return m.languages[k], min(max(float(cosine[best]), 0.0), 1.0), bool(cosine[best] < m.floor[k])
+
+
+def verdict_of(text: Column, model: Model) -> Column:
+    """Struct of ``lang_pred``, ``score``, ``rejected``.  Only the texts go to Python; the rest of a row stays in the JVM."""
+    shared = SparkSession.active().sparkContext.broadcast(model)
+
+    @F.arrow_udf("lang_pred string, score double, rejected boolean")
+    def judged(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            made = [_verdict(t.as_py(), shared.value) for t in texts]
             columns = [pa.array([x[i] for x in made], kind) for i, kind in enumerate((pa.string(), pa.float64(), pa.bool_()))]
-            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], *columns], names=[*names, "lang_pred", "score", "rejected"])
+            yield pa.StructArray.from_arrays(columns, names=["lang_pred", "score", "rejected"])
 
-    made = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())]
-    return rows.mapInArrow(run, T.StructType([*rest, *made]))
+    return judged(text)
 
 
 def predicted(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -155,7 +154,8 @@ def predicted(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: s
     Texts without a letter, and all texts if nothing was learned, are ``und`` with score 0
     and rejected.  Ties go to the language that is first by name.  Repeated rows stay.
     """
-    return _judged(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), model)
+    judged = docs.select(F.col(id_col).cast("long").alias("doc_id"), verdict_of(F.col(text_col).cast("string"), model).alias("verdict"))
+    return judged.select("doc_id", "verdict.*")
 
 
 def held_out(id_column: Column) -> Column:
@@ -172,5 +172,4 @@ def identified(docs: DataFrame, sample: int = 1000, most_languages: int = 200, i
 def accepted(docs: DataFrame, sample: int = 1000, most_languages: int = 200, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of ``docs`` that are not rejected, with their own columns."""
     model = fitted(training_rows(docs, ~held_out(F.col(id_col)), sample, most_languages, id_col, text_col, lang_col))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text_col).cast("string").alias("text"))
-    return _judged(rows, model).where(~F.col("rejected")).select("row.*")
+    return docs.where(~verdict_of(F.col(text_col).cast("string"), model)["rejected"])
