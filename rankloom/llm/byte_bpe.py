@@ -98,12 +98,86 @@ def _folded_long(parts: list[bytes], ranks: dict[bytes, int]) -> list[int]:
     return [ranks[p] for p in parts if p]
 
 
+class Fold:
+    """The merges of many words at once, one merge of every word per step, over flat arrays of ids.
+
+    A pair of ids has the rank of its concatenated bytes; the table holds every cut of every
+    piece of the vocabulary into two pieces.
+    """
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.single = np.array([ranks[bytes([i])] for i in range(256)], dtype=np.int64)
+        self.base = max(ranks.values()) + 1
+        cuts = [(ranks[p[:i]] * self.base + ranks[p[i:]], r) for p, r in ranks.items() for i in range(1, len(p)) if p[:i] in ranks and p[i:] in ranks]
+        made = np.array(sorted(cuts) or [(-1, self.base)], dtype=np.int64)
+        self.pairs, self.rank = made[:, 0].copy(), made[:, 1].copy()
+
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of every pair; ``base`` where there is none."""
+        keys = left * self.base + right
+        at = np.minimum(np.searchsorted(self.pairs, keys), len(self.pairs) - 1)
+        return np.where(self.pairs[at] == keys, self.rank[at], self.base)
+
+    def words(self, words: list[bytes]) -> list[bytes]:
+        """Ids of non-empty words, as little-endian bytes."""
+        sizes = np.array([len(w) for w in words], dtype=np.int64)
+        ids = self.single[np.frombuffer(b"".join(words), np.uint8)]
+        out: list[bytes] = [b""] * len(words)
+        open_words = np.arange(len(words))
+        # pair[i] is the rank of ids[i] and ids[i + 1], none at the end of a word.
+        pair = np.append(self._ranks(ids[:-1], ids[1:]), self.base)
+        pair[np.cumsum(sizes) - 1] = self.base
+        while len(open_words):
+            first = np.cumsum(sizes) - sizes
+            low = np.minimum.reduceat(pair, first)
+            done = low == self.base
+            if done.any():
+                for w, a, n in zip(open_words[done].tolist(), first[done].tolist(), sizes[done].tolist()):
+                    out[w] = ids[a : a + n].astype("<u4").tobytes()
+                left = np.repeat(~done, sizes)
+                ids, pair = ids[left], pair[left]
+                open_words, sizes, low = open_words[~done], sizes[~done], low[~done]
+                if not len(open_words):
+                    break
+                first = np.cumsum(sizes) - sizes
+            hits = np.flatnonzero(pair == np.repeat(low, sizes))
+            word = np.searchsorted(first, hits, side="right") - 1
+            at = hits[np.append(True, word[1:] != word[:-1])]  # the leftmost of every word
+            ids[at] = low
+            keep = np.ones(len(ids), dtype=bool)
+            keep[at + 1] = False
+            ends = np.zeros(len(ids), dtype=bool)
+            ends[first + sizes - 1] = True
+            ends[at] |= ends[at + 1]
+            ids, pair, ends = ids[keep], pair[keep], ends[keep]
+            at -= np.arange(len(at))
+            for i in (at, at[at > 0] - 1):
+                inner = i[~ends[i]]
+                pair[inner] = self._ranks(ids[inner], ids[inner + 1])
+                pair[i[ends[i]]] = self.base
+            sizes = sizes - 1
+        return out
+
+
 class _Memo(dict):
     """word -> its ids as little-endian bytes, folded when first met."""
 
     def __init__(self, ranks: dict[bytes, int]):
         super().__init__()
         self.ranks = ranks
+        self.fold = Fold(ranks)
+
+    def learn(self, words: set[str]) -> None:
+        """Fold what is not known yet of the short ones of ``words`` in one go."""
+        if len(self) + len(words) > MEMO_WORDS:
+            self.clear()
+        new = [w for w in words if w not in self and len(w) <= 64]
+        whole = [w.encode() for w in new]
+        known = {w: np.array([r], dtype="<u4").tobytes() for w, b in zip(new, whole) if (r := self.ranks.get(b)) is not None}
+        self.update(known)
+        rest = [(w, b) for w, b in zip(new, whole) if w not in known]
+        if rest:
+            self.update(zip([w for w, _ in rest], self.fold.words([b for _, b in rest])))
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= MEMO_WORDS:
@@ -133,6 +207,14 @@ def encode_text(text: str, folder: str, name: str) -> np.ndarray:
     return np.frombuffer(b"".join(map(memo.__getitem__, pattern.findall(text))), dtype="<u4")
 
 
+def encode_texts(texts: list[str], folder: str, name: str) -> list[np.ndarray]:
+    """Ids of every text; the new words of all of them are folded together."""
+    pattern, memo, _ = _coder(folder, name)
+    pieces = [pattern.findall(t) for t in texts]
+    memo.learn(set().union(*pieces))
+    return [np.frombuffer(b"".join(map(memo.__getitem__, x)), dtype="<u4") for x in pieces]
+
+
 def decode_ids(ids: np.ndarray, folder: str, name: str) -> bytes:
     pieces = _coder(folder, name)[2]
     return b"".join(map(pieces.__getitem__, ids.tolist()))
@@ -151,7 +233,7 @@ def encoded(docs: DataFrame, folder: str = TOKENIZERS, name: str = "byte_bpe_mul
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            ids = [encode_text(t or "", folder, name) for t in batch.column("text").to_pylist()]
+            ids = encode_texts([t or "" for t in batch.column("text").to_pylist()], folder, name)
             back = [decode_ids(x, folder, name) for x in ids]
             counts = pa.array([len(x) for x in ids], pa.int64())
             if digest:
