@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from rankloom.functions import suffixes
 from rankloom.functions import text as T
 from rankloom.functions import vectors as VX
 from rankloom.functions.numeric import all_present, any_present, log1p_signed, rank_outcome, row_mean
@@ -353,6 +354,30 @@ VERSION_REPORT = """SELECT CASE o_orderstatus WHEN 'O' THEN 'v2' WHEN 'P' THEN N
   max(o_orderstatus) <> 'O' AS stale FROM orders GROUP BY 1"""
 
 
+# Rules of each kind for the host names of the given tables and for others.
+SUFFIX_RULES = (
+    "com", "net", "org", "uk", "co.uk", "*.ck", "!www.ck", "*.example.com", "!thther.example.com", "!ththan.example.com",
+    "example.net", "*.example.org", "!tionble.example.org", "!ththon.example.org",
+)
+
+
+def public_suffixes(spark, d):
+    """Registered domains of all page hosts by plain, wildcard and exception rules."""
+    pages = table(spark, d, "pages").select("page_id", T.blocking_host("url").alias("host"))
+    rules = suffixes.parsed_rules(spark.createDataFrame([(r,) for r in SUFFIX_RULES], "value string"))
+    return suffixes.attach_registered_domain(pages, "host", rules)
+
+
+PUBLIC_SUFFIXES = f"""WITH h AS (SELECT page_id, {_HOST} AS host FROM pages),
+r AS (SELECT rule, ltrim(ltrim(rule, '!'), '*') AS name, starts_with(rule, '!') AS exception, len(string_split(rule, '.')) AS n
+  FROM (VALUES {", ".join(f"('{r}')" for r in SUFFIX_RULES)}) t(rule)),
+m AS (SELECT host, coalesce(max(CASE WHEN exception THEN n - 1 END), max(n), 1) AS n
+  FROM (SELECT DISTINCT host FROM h) LEFT JOIN r ON CASE WHEN rule LIKE '*%' THEN len(host) > len(name) AND ends_with(host, name) ELSE ends_with('.' || host, '.' || name) END
+  GROUP BY host)
+SELECT page_id, host, array_to_string(list_slice(string_split(host, '.'), -n, -1), '.') AS public_suffix,
+  CASE WHEN len(string_split(host, '.')) > n THEN array_to_string(list_slice(string_split(host, '.'), -n - 1, -1), '.') END AS registered_domain FROM h LEFT JOIN m USING (host)"""
+
+
 def metric_coverage(spark, d):
     rows = table(spark, d, "lineitem").selectExpr("nullif(l_tax, 0) AS l_tax", "nullif(l_discount, 0) AS l_discount")
     return quality.metric_coverage(rows, ["l_tax", "l_discount"])
@@ -434,6 +459,7 @@ QUERIES = {
     "overlap_score": (overlap, OVERLAP),
     "prompts": (prompts, PROMPTS),
     "registered_domains": (registered_domains, REGISTERED_DOMAINS),
+    "public_suffixes": (public_suffixes, PUBLIC_SUFFIXES),
     "numeric_transforms": (numeric_transforms, NUMERIC_TRANSFORMS),
     "array_functions": (array_functions, ARRAY_FUNCTIONS),
     "contract_report": (contract_report, CONTRACT_REPORT),
