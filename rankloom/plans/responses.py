@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 from rankloom.functions import variant as V
 from rankloom.operators import curate, drift, signals, similarity
 from rankloom.operators.merge import with_record_key
+from rankloom.operators.quality import Contract, ContractError
 from rankloom.plans import standins as st
 from rankloom.plans.standins import table
 from rankloom.session import cut_lineage, ensure_checkpoint_dir
-from rankloom.sources import bucketed, lake
+from rankloom.sources import bucketed, lake, sinks
 from rankloom.streaming.ingest import ingest, upsert_batch
 
 _ID = "left(sha256({}), 32)"
@@ -614,6 +615,23 @@ INCREMENTAL_INGEST = """SELECT 'keyword_expansion' AS endpoint, count(*) AS row_
 UNION ALL SELECT 'onpage_instant_pages', count(*), count(DISTINCT p_brand), '2024-01-02T00:00:00' FROM part"""
 
 
+def published_versions(spark, d):
+    """A table published twice, a third time in vain: its rows are those of the second version."""
+    root = f"{ensure_checkpoint_dir(spark)}/published-{uuid.uuid4().hex}"
+    orders = table(spark, d, "orders").selectExpr("o_orderkey AS page_id", "o_custkey AS target_keyword_id", "o_totalprice", "o_orderstatus")
+    contract = Contract(unique=("page_id",), non_null=("target_keyword_id",), bounds={"o_totalprice": (0.0, None)})
+    sinks.write_table(orders.withColumn("o_totalprice", F.lit(0.0)), root, "orders", contract)
+    sinks.write_table(orders.where("o_orderstatus <> 'F'"), root, "orders", contract)
+    try:
+        sinks.write_table(orders.union(orders), root, "orders", contract)
+    except ContractError:
+        return lake.scan_table(spark, root, "orders", orders.schema)
+    raise AssertionError("repeated keys were published")
+
+
+PUBLISHED_VERSIONS = "SELECT o_orderkey AS page_id, o_custkey AS target_keyword_id, o_totalprice, o_orderstatus FROM orders WHERE o_orderstatus <> 'F'"
+
+
 def bucketed_upserts(spark, d):
     """Batches into one lake: all records, newer ones that win, late ones that do not, a compaction, a replay."""
     root = f"{ensure_checkpoint_dir(spark)}/bucketed-{uuid.uuid4().hex}"
@@ -647,6 +665,7 @@ QUERIES = {
     "rule_scores": (rule_scores, RULE_SCORES),
     "similarity_rows": (similarity_rows, SIMILARITY_ROWS),
     "incremental_ingest": (incremental_ingest, INCREMENTAL_INGEST),
+    "published_versions": (published_versions, PUBLISHED_VERSIONS),
     "bucketed_upserts": (bucketed_upserts, BUCKETED_UPSERTS),
     "reusable_responses": (reusable, REUSABLE),
     "serp_items": (serp_items, SERP_ITEMS),

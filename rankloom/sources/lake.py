@@ -14,6 +14,7 @@ from rankloom.operators.curate import classified_page_text, open_bodies, parsed_
 from rankloom.operators.drift import onpage_item, onpage_usable, serp_usable, text_analysis_usable
 from rankloom.operators.groups import first_per_key
 from rankloom.operators.signals import latest_usable_backlinks
+from rankloom.sources import versions
 
 
 class MissingTable(FileNotFoundError):
@@ -26,9 +27,12 @@ def scan_raw(spark: SparkSession, root: str) -> DataFrame:
 
 
 def scan_table(spark: SparkSession, root: str, name: str, schema: StructType | None = None) -> DataFrame:
-    """A named table of a run; the fixed schema fills missing columns with nulls."""
+    """A named table of a run; the fixed schema fills missing columns with nulls.
+
+    A table with commits is read at its current version, a plain folder as it is.
+    """
     schema = schema or S.CURATED.get(name)
-    path = f"{root}/{name}"
+    path = versions.current(spark, f"{root}/{name}") or f"{root}/{name}"
     reader = spark.read if schema is None else spark.read.schema(schema)
     try:
         return reader.parquet(path)

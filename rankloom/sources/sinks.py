@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.operators.quality import Contract, enforce
+from rankloom.sources import versions
 
 RETRIEVAL_ORDER = (
     "target_keyword_id",
@@ -34,37 +35,29 @@ def write_table(
     name: str,
     contract: Contract | None = None,
     order: Sequence[str] = RETRIEVAL_ORDER,
+    keep: int = versions.KEEP,
 ) -> DataFrame:
     """Replace a table after its rows have passed the contract.
 
-    Rows are written once to a staging folder, checked from there (columnar, no
-    recomputation of the plan) and then published; a failed check leaves the
-    published table untouched.
+    Rows are written once to a version folder of this writer, checked from there (columnar,
+    no recomputation of the plan) and then committed; a failed check or write leaves the
+    table as it was.  Returned is what this writer wrote.  Of several writers the last commit
+    counts.  Read with :func:`rankloom.sources.lake.scan_table`; frames read before stay valid
+    until ``keep`` further commits.
     """
     spark = frame.sparkSession
-    staging, target = f"{root}/.staging/{name}", f"{root}/{name}"
-    _sorted(frame, order).write.mode("overwrite").option("compression", "zstd").parquet(staging)
-    written = spark.read.schema(frame.schema).parquet(staging)
-    if contract is not None:
-        enforce(written, contract, name)
-    _publish(spark, staging, target)
-    return spark.read.schema(frame.schema).parquet(target)
-
-
-def _publish(spark: SparkSession, staging: str, target: str) -> None:
-    """Rename the staging folder into place through the Hadoop file system."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path
-    fs = path(target).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    old = path(f"{target}.old")
-    fs.delete(old, True)
-    if fs.exists(path(target)):
-        fs.rename(path(target), old)
-    fs.mkdirs(path(target).getParent())
-    if not fs.rename(path(staging), path(target)):
-        fs.rename(old, path(target))
-        raise OSError(f"could not publish {target}")
-    fs.delete(old, True)
+    table = f"{root}/{name}"
+    version = versions.new_version(table)
+    try:
+        _sorted(frame, order).write.option("compression", "zstd").parquet(version)
+        written = spark.read.schema(frame.schema).parquet(version)
+        if contract is not None:
+            enforce(written, contract, name)
+    except BaseException:
+        versions.discard(spark, version)
+        raise
+    versions.commit(spark, table, version, keep)
+    return written
 
 
 def write_raw(frame: DataFrame, root: str) -> None:
