@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from rankloom.functions import suffixes
@@ -13,6 +15,8 @@ from rankloom.operators.groups import top_per_key
 from rankloom.operators.merge import missing_pages
 from rankloom.plans import standins as st
 from rankloom.plans.standins import table
+from rankloom.session import ensure_checkpoint_dir
+from rankloom.sources import sinks
 from rankloom.sources.lake import blocklist
 from rankloom.sources.sinks import dataset_catalog
 
@@ -396,6 +400,29 @@ CATALOG_BY_PARTITION = """SELECT o_orderstatus AS endpoint, 'raw_responses.v1' A
   count(DISTINCT o_custkey) AS source_response_count FROM orders GROUP BY 1"""
 
 
+def catalog_of_files(spark, d):
+    """Digests and sources from files; the same rows in fewer files have the same digest."""
+    root = f"{ensure_checkpoint_dir(spark)}/cataloged-{uuid.uuid4().hex}"
+    rows = table(spark, d, "orders").selectExpr("o_orderstatus AS endpoint", "o_custkey AS response_id", "o_orderkey", "o_totalprice")
+    rows.repartition(3).write.partitionBy("endpoint").parquet(f"{root}/first")
+    spread = spark.read.parquet(f"{root}/first")
+    spread.repartition(1, "endpoint").write.partitionBy("endpoint").parquet(f"{root}/second")
+    before, after = (
+        sinks.merged_catalog(sinks.file_catalog(spark.read.parquet(f"{root}/{n}"), ["endpoint"]), ["endpoint"]) for n in ("first", "second")
+    )
+    same = after.select("endpoint", F.struct("row_count", "content_xor", "content_sum").alias("after"), F.col("file_count").alias("files_left"))
+    sources = sinks.source_responses(spread, ["endpoint"]).groupBy("endpoint").agg(F.count_distinct("response_id").alias("source_responses"))
+    return (
+        before.join(same, "endpoint")
+        .join(sources, "endpoint")
+        .select("endpoint", "row_count", "source_responses", "files_left", (F.struct("row_count", "content_xor", "content_sum") == F.col("after")).alias("equal_after_compaction"))
+    )
+
+
+CATALOG_OF_FILES = """SELECT o_orderstatus AS endpoint, count(*) AS row_count, count(DISTINCT o_custkey) AS source_responses,
+  CAST(1 AS BIGINT) AS files_left, true AS equal_after_compaction FROM orders GROUP BY 1"""
+
+
 # --- vectors ----------------------------------------------------------------
 
 
@@ -472,6 +499,7 @@ QUERIES = {
     "version_report": (version_report, VERSION_REPORT),
     "metric_coverage": (metric_coverage, METRIC_COVERAGE),
     "catalog_by_partition": (catalog_by_partition, CATALOG_BY_PARTITION),
+    "catalog_of_files": (catalog_of_files, CATALOG_OF_FILES),
     "centroid_cosine": (centroid_cosine, CENTROID_COSINE),
     "rule_vectors": (rule_vectors, RULE_VECTORS),
     "top_similar": (top_similar, TOP_SIMILAR),

@@ -73,15 +73,28 @@ def write_raw(frame: DataFrame, root: str) -> None:
     )
 
 
-def partition_digests(frame: DataFrame, keys: Sequence[str] = ("endpoint",)) -> DataFrame:
-    """Row count and order-free content hash per partition; mergeable, so no sort."""
-    columns = sorted(c for c in frame.columns if c not in keys)
-    row = F.xxhash64(*[F.col(c) for c in columns])
-    return frame.groupBy(*keys).agg(
+def row_hash(columns: Sequence[str]) -> Column:
+    """Hash of a row; nulls count by their column, so a value that moves to another column changes it."""
+    cells = [F.col(f"`{c}`") for c in sorted(columns)]
+    return F.xxhash64(*cells, *[c.isNull() for c in cells])
+
+
+def _digest(columns: Sequence[str]) -> list[Column]:
+    """Mergeable digest of a multiset of rows.
+
+    The exclusive or alone is blind to rows stored twice; the sum is not.
+    """
+    row = row_hash(columns)
+    return [
         F.count(F.lit(1)).alias("row_count"),
         F.bit_xor(row).alias("content_xor"),
         F.sum(row.cast("decimal(38,0)")).alias("content_sum"),
-    )
+    ]
+
+
+def partition_digests(frame: DataFrame, keys: Sequence[str] = ("endpoint",)) -> DataFrame:
+    """Row count and order-free content hash per partition; mergeable, so no sort."""
+    return frame.groupBy(*keys).agg(*_digest([c for c in frame.columns if c not in keys]))
 
 
 def changed_partitions(new: DataFrame, stored: DataFrame, keys: Sequence[str] = ("endpoint",)) -> DataFrame:
@@ -99,31 +112,46 @@ def write_raw_changes(new: DataFrame, stored: DataFrame, root: str) -> int:
 
 
 def dataset_catalog(frame: DataFrame, by: Sequence[str] = (), response: str = "response_id") -> DataFrame:
-    """Version, counts, sources and content hash of a dataset, per partition if asked.
-
-    The exclusive or alone is blind to rows stored twice; the sum is not.
-    """
-    columns = sorted(c for c in frame.columns if c not in by)
-    row = F.xxhash64(*[F.col(c) for c in columns])
-    cells: list[Column] = [
-        F.min("schema_version").alias("schema_version"),
-        F.count(F.lit(1)).alias("row_count"),
-        F.bit_xor(row).alias("content_xor"),
-        F.sum(row.cast("decimal(38,0)")).alias("content_sum"),
-    ]
+    """Version, counts, sources and content digest of a dataset, per partition if asked."""
+    cells = [F.min("schema_version").alias("schema_version"), *_digest([c for c in frame.columns if c not in by])]
     if response in frame.columns:
         cells.append(F.count_distinct(response).alias("source_response_count"))
     return frame.groupBy(*by).agg(*cells) if by else frame.agg(*cells)
 
 
-def file_catalog(frame: DataFrame) -> DataFrame:
-    """File, row count and content hash of a stored table, read from its files."""
-    columns = [F.col(c) for c in sorted(frame.columns)]
-    return (
-        frame.select(F.col("_metadata.file_path").alias("file_path"), F.xxhash64(*columns).alias("__h"))
-        .groupBy("file_path")
-        .agg(F.count(F.lit(1)).alias("row_count"), F.bit_xor("__h").alias("content_xor"), F.sum(F.col("__h").cast("decimal(38,0)")).alias("content_sum"))
-    )
+def file_catalog(frame: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """File, row count and content digest of a stored table, read from its files.
+
+    ``by`` names the partition columns.  They are listed and left out of the digest, which
+    then adds up to that of :func:`dataset_catalog` (see :func:`merged_catalog`).
+    """
+    columns = [c for c in frame.columns if c not in by]
+    return frame.withColumn("file_path", F.col("_metadata.file_path")).groupBy(*by, "file_path").agg(*_digest(columns))
+
+
+def merged_catalog(files: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Digest of partitions, or of the whole table, from those of its files.
+
+    It depends on the rows only: the same rows in other files, as after a compaction, give
+    the same digest.  Partitions of null form one group.
+    """
+    cells = [
+        F.count(F.lit(1)).alias("file_count"),
+        F.coalesce(F.sum("row_count"), F.lit(0)).alias("row_count"),
+        F.bit_xor("content_xor").alias("content_xor"),
+        F.sum("content_sum").alias("content_sum"),
+    ]
+    return files.groupBy(*by).agg(*cells) if by else files.agg(*cells)
+
+
+def source_responses(frame: DataFrame, by: Sequence[str] = (), response: str = "response_id") -> DataFrame:
+    """``(by, file_path, response)``: which stored responses a file's rows come from, one row each.
+
+    A table instead of a list per file, so that a file of many sources stays many rows.
+    Rows without a source are left out.
+    """
+    named = frame.select(*by, F.col("_metadata.file_path").alias("file_path"), response)
+    return named.where(F.col(response).isNotNull()).distinct()
 
 
 def write_results(results: DataFrame, root: str, name: str = "entity_results", status: str = "status") -> DataFrame:
