@@ -130,12 +130,15 @@ def sorted_positions(
     value: str,
     limit: int | None = GROUP_ROWS_PER_TASK,
 ) -> DataFrame:
-    """``(keys, value, n, first, last)``: zero-based positions of each distinct value."""
+    """``(keys, value, __n, __first, __last)``: zero-based positions of each distinct value.
+
+    Added names are reserved ones: a column to rank may itself be called ``n``.
+    """
     counts = frame.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__c"))
     running = group_running(counts, keys, [F.col(value).asc()], F.col("__c"), "__upto", limit)
-    with_n = attach_group_stats(running, keys, [F.sum("__c").alias("n")])
+    with_n = attach_group_stats(running, keys, [F.sum("__c").alias("__n")])
     return with_n.select(
-        *keys, value, "n", (F.col("__upto") - F.col("__c")).alias("first"), (F.col("__upto") - 1).alias("last")
+        *keys, value, "__n", (F.col("__upto") - F.col("__c")).alias("__first"), (F.col("__upto") - 1).alias("__last")
     )
 
 
@@ -166,11 +169,11 @@ def group_percentiles(
     positions = sorted_positions(join_null_safe(frame, hot, keys, "left_semi"), keys, value, limit)
 
     def value_at(index: Column) -> Column:
-        return F.max(F.when((F.col("first") <= index) & (F.col("last") >= index), F.col(value).cast("double")))
+        return F.max(F.when((F.col("__first") <= index) & (F.col("__last") >= index), F.col(value).cast("double")))
 
     cells = []
     for name, share in shares.items():
-        place = F.lit(float(share)) * (F.col("n") - 1)
+        place = F.lit(float(share)) * (F.col("__n") - 1)
         cells += [
             value_at(F.floor(place)).alias(f"__lo_{name}"),
             value_at(F.ceil(place)).alias(f"__hi_{name}"),
