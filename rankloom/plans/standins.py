@@ -340,8 +340,11 @@ def text_lake(spark: SparkSession, sf_dir: str) -> DataFrame:
     return build_records(rows, RUN, "page_text", "crawl")
 
 
-def html_lake(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A page-text response with its HTML for every web page; six of seven pages also have an older failed one (by id)."""
+def html_lake(spark: SparkSession, sf_dir: str, keyword: str = "'web'") -> DataFrame:
+    """A page-text response with its HTML for every web page; six of seven pages also have an older failed one (by id).
+
+    ``keyword`` is the SQL expression of the keyword a page was crawled for.
+    """
     ok = """to_json(named_struct('status_code', 20000, 'tasks', array(named_struct('status_code', 20000, 'result', array(named_struct(
       'items', array(named_struct('url', url, 'nested', named_struct('html', html)))))))))"""
     failed = """CASE page_id % 7
@@ -353,7 +356,7 @@ def html_lake(spark: SparkSession, sf_dir: str) -> DataFrame:
       WHEN 6 THEN '{"tasks":[{"result":[{"crawl_status":" Timeout "}]}]}' END"""
     stored = [
         spread(table(spark, sf_dir, "pages").where(f"page_id % 7 <> 0 OR {n} = 1")).selectExpr(
-            "'web' AS target_keyword",
+            f"{keyword} AS target_keyword",
             f"concat('2024-01-0{n + 1}T00:00:00.', lpad(page_id, 12, '0')) AS timestamp",
             f"{body} AS body_json",
             "to_json(named_struct('url', url)) AS metadata_json",
