@@ -16,6 +16,8 @@ from rankloom.session import cut_lineage
 
 # Rows of one group that a single task sorts without trouble.
 GROUP_ROWS_PER_TASK = 4_000_000
+# Rows of an aggregate that every task may hold.
+LOOKUP_ROWS = 100_000
 
 
 def attach_group_stats(frame: DataFrame, keys: Sequence[str], aggregates: Sequence[Column]) -> DataFrame:
@@ -45,6 +47,16 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return joined if how in ("left_semi", "left_anti") else joined.drop(*[f"__r_{k}" for k in keys])
 
 
+def join_measured(frame: DataFrame, lookup: DataFrame, keys: Sequence[str], how: str, rows: int = LOOKUP_ROWS) -> DataFrame:
+    """Join to an aggregate whose size only its rows tell: written once and counted, it is broadcast if small.
+
+    Estimates take an aggregate for as large as its input, and the rows of ``frame`` would be shuffled by
+    keys of which there may be few.
+    """
+    lookup = cut_lineage(lookup)
+    return frame.join(F.broadcast(lookup) if lookup.count() <= rows else lookup, list(keys), how)
+
+
 def oversized_groups(frame: DataFrame, keys: Sequence[str], limit: int = GROUP_ROWS_PER_TASK) -> DataFrame:
     return frame.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows")).where(F.col("__rows") > limit)
 

@@ -11,7 +11,7 @@ from rankloom import schemas as S
 from rankloom.functions.numeric import all_present, any_present, finite, row_mean, zscore
 from rankloom.functions.text import hostname, stable_id
 from rankloom.operators.filters import with_null_columns
-from rankloom.operators.groups import GROUP_ROWS_PER_TASK, attach_group_stats, group_medians, oversized_groups
+from rankloom.operators.groups import GROUP_ROWS_PER_TASK, attach_group_stats, group_medians, join_measured, oversized_groups
 from rankloom.operators.ranks import _moments, ordinal_ranks
 from rankloom.session import cut_lineage
 
@@ -205,22 +205,24 @@ def domain_rollup(serp_items: DataFrame) -> DataFrame:
     )
 
 
-def domain_features(serp_items: DataFrame, onpage: DataFrame) -> DataFrame:
-    """Domain rollup with both domain scores.
-
-    Both scores come from one pass over the ranked pages and their signals.
-    """
+def scored_domains(serp_items: DataFrame, onpage: DataFrame) -> DataFrame:
+    """Both scores of every (run, domain), from one pass over the ranked pages and their signals."""
     wanted = dict.fromkeys((*SIZE_COLUMNS, *AUTHORITY_CONTINUOUS, *AUTHORITY_INVERTED, *AUTHORITY_FLAGS))
     present = [c for c in wanted if c in onpage.columns]
     measured = serp_items.select(*PAGE_KEY, hostname("url").alias("domain")).join(
         onpage.select(*PAGE_KEY, *present), PAGE_KEY, "left"
     )
-    scores = domain_scores(measured, SIZE_COLUMNS, AUTHORITY_CONTINUOUS, AUTHORITY_INVERTED, AUTHORITY_FLAGS)
+    return domain_scores(measured, SIZE_COLUMNS, AUTHORITY_CONTINUOUS, AUTHORITY_INVERTED, AUTHORITY_FLAGS)
+
+
+def domain_features(serp_items: DataFrame, onpage: DataFrame) -> DataFrame:
+    """Domain rollup with both domain scores."""
+    scores = scored_domains(serp_items, onpage)
     rollup = domain_rollup(serp_items).withColumn(
         "domain_feature_id", stable_id("run_id", "target_keyword_id", "domain")
     )
     return (
-        rollup.join(scores, ["run_id", "domain"], "left")
+        join_measured(rollup, scores, ["run_id", "domain"], "left")
         .select(
             *KEYWORD_KEY,
             "domain_feature_id",
@@ -240,13 +242,9 @@ def panel_rows(serp: DataFrame, page_feats: DataFrame, domain_feats: DataFrame)
     scored = page_feats.select(*PAGE_KEY, "url")
     controlled = domain_feats.where("site_scale is not null and authority_proxy is not null").select(
         "run_id", F.col("domain").alias("__domain")
-    )
-    return (
-        serp.join(scored, [*PAGE_KEY, "url"], "left_semi")
-        .withColumn("__domain", hostname("url"))
-        .join(controlled, ["run_id", "__domain"], "left_semi")
-        .select(*serp.columns)
-    )
+    ).distinct()
+    ranked = serp.join(scored, [*PAGE_KEY, "url"], "left_semi").withColumn("__domain", hostname("url"))
+    return join_measured(ranked, controlled, ["run_id", "__domain"], "left_semi").select(*serp.columns)
 
 
 PAGE_CONTROLS = {
@@ -272,9 +270,7 @@ def attach_domain_controls(frame: DataFrame, domain_feats: DataFrame | None) ->
         lookup = domain_feats.groupBy("run_id", F.col("domain").alias("__domain")).agg(
             *[F.max(c).alias(c) for c in present]
         )
-        frame = (
-            frame.withColumn("__domain", hostname("url")).join(lookup, ["run_id", "__domain"], "left").drop("__domain")
-        )
+        frame = join_measured(frame.withColumn("__domain", hostname("url")), lookup, ["run_id", "__domain"], "left").drop("__domain")
     return with_null_columns(frame, DOMAIN_CONTROLS)
 
 

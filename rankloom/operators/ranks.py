@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,19 +17,18 @@ from rankloom.operators.groups import (
 )
 
 
-def _moments(scores: Sequence[str]) -> list[Column]:
+def _moments(scores: Sequence[str], over: Callable[[Column], Column] = lambda aggregate: aggregate) -> list[Column]:
+    """Count, mean and deviation of each score; ``over`` makes the aggregates windows."""
     out = []
     for s in scores:
         x = F.col(s).cast("double")
+        n, least, most = over(F.count(x)), over(F.min(x)), over(F.max(x))
         out += [
-            F.count(x).alias(f"__n_{s}"),
-            F.avg(x).alias(f"__mean_{s}"),
+            n.alias(f"__n_{s}"),
+            over(F.avg(x)).alias(f"__mean_{s}"),
             # A constant group has deviation 0; rounding in the last digits must not hide it.
-            F.when(
-                F.max(x) - F.min(x) <= 1e-13 * F.greatest(F.abs(F.max(x)), F.abs(F.min(x))),
-                F.when(F.count(x) > 1, F.lit(0.0)),
-            )
-            .otherwise(F.stddev_samp(x))
+            F.when(most - least <= 1e-13 * F.greatest(F.abs(most), F.abs(least)), F.when(n > 1, F.lit(0.0)))
+            .otherwise(over(F.stddev_samp(x)))
             .alias(f"__sd_{s}"),
         ]
     return out
@@ -49,7 +48,12 @@ def ordinal_ranks(
     group with a single score; z is null where the deviation is 0 or undefined.
     """
     base = frame.columns
-    out = attach_group_stats(frame, keys, _moments(list(scores.values())))
+    if group_limit is None and keys:
+        # Bounded groups: the moments use the windows that rank, so rows are moved once.
+        whole = Window.partitionBy(*keys)
+        out = frame.select("*", *_moments(list(scores.values()), lambda aggregate: aggregate.over(whole)))
+    else:
+        out = attach_group_stats(frame, keys, _moments(list(scores.values())))
     for name, score in scores.items():
         order = [F.col(score).desc_nulls_last(), *[F.col(c).asc() for c in tie_order]]
         out = group_row_number(out, keys, order, "__rn", group_limit)

@@ -135,8 +135,11 @@ def _with_parts(spark: SparkSession, sf_dir: str, frame: DataFrame) -> DataFrame
     return frame.join(part, "canonical_url_hash", "inner")
 
 
-def curated(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """Curated tables for the mart builders; pages whose part size is a multiple of 11 have no text."""
+def curated(spark: SparkSession, sf_dir: str, stored: bool = False) -> dict[str, DataFrame]:
+    """Curated tables for the mart builders; pages whose part size is a multiple of 11 have no text.
+
+    ``stored`` writes the pages with their parts once, for queries that read pages or signals more than once.
+    """
     items = cut_lineage(serp(spark, sf_dir))  # read by five branches
     base = items.drop("l_discount", "l_tax", "l_quantity")
     keys = ["run_id", "target_keyword_id", "target_keyword", "canonical_url_hash", "url"]
@@ -154,6 +157,8 @@ def curated(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         ]
     )
     pages = _with_parts(spark, sf_dir, items.select(*keys).distinct()).where("p_size % 11 <> 0")
+    if stored:
+        pages = cut_lineage(pages)
     keywords = (
         base.select("run_id", "target_keyword_id", "target_keyword")
         .distinct()
