@@ -1,23 +1,24 @@
 """Rank-ordered logit: each ranked list is a sequence of choices from what remains.
 
-The lists are written once, partitioned and sorted by list; a Newton step is one
-aggregate over them (no shuffle of rows) that returns log-likelihood, gradient and
-Hessian of all models.  Only these few numbers per model reach the driver.
+The lists are written once, a row per list; a Newton step reads them and adds up
+log-likelihood, gradient and Hessian of all models in the tasks (no shuffle of rows).
+Only these few numbers per model reach the driver.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DoubleType, LongType, StringType, StructField, StructType
 
 from rankloom.functions.dist import student_t_quantile, student_t_two_sided
 from rankloom.functions.numeric import log1p_signed
-from rankloom.operators.groups import attach_group_stats
+from rankloom.operators.groups import join_measured
 from rankloom.session import cut_lineage
 from rankloom.stats.moments import pairs, square
 
@@ -26,7 +27,7 @@ MAX_ITERATIONS, GRADIENT_TOLERANCE, MAX_CONDITION = 1000, 1e-6, 1000.0
 MAX_MODELS = 20_000
 
 
-def prepare_lists(
+def stored_lists(
     frame: DataFrame,
     model: Sequence[str],
     group: str,
@@ -35,78 +36,143 @@ def prepare_lists(
     rank: str = "serp_rank",
     max_rank: int = 20,
 ) -> DataFrame:
-    """Choice sets ready for fitting: ``x0`` is the log signal, then the controls.
+    """A row per list, written once: ``ranks`` from the last to the first, ``signals`` and ``controls`` row by row.
 
-    The signal is ``log1p``, signed if the model has any negative value.  Lists with
-    a repeated rank and lists of one row are left out.  Lists are cut at
-    ``max_rank``, so a list is bounded.
+    ``whole`` tells whether the list can be fitted, ``rest`` whether it can without rank 1: a list needs two
+    rows and must not repeat a rank.  Lists are cut at ``max_rank``, so an array is bounded.
     """
     rows = frame.where(F.col(rank).between(1, max_rank)).dropna(subset=[signal, *controls])
-    lists = attach_group_stats(
-        rows, [*model, group], [F.count(F.lit(1)).alias("__n"), F.count_distinct(rank).alias("__ranks")]
-    ).where("__n = __ranks and __n >= 2")
-    signed = attach_group_stats(lists, model, [F.min(F.col(signal).cast("double")).alias("__low")])
-    s = F.col(signal).cast("double")
-    x0 = F.when(F.col("__low") < 0, log1p_signed(s)).otherwise(F.log1p(F.greatest(s, F.lit(0.0))))
-    ready = signed.select(
+    item = F.struct(
+        F.col(rank).cast("bigint").alias("r"),
+        F.col(signal).cast("double").alias("s"),
+        F.array(*[F.col(c).cast("double") for c in controls]).cast("array<double>").alias("c"),
+    )
+    items = rows.groupBy(*model, group).agg(F.sort_array(F.collect_list(item), asc=False).alias("items"))
+    lists = items.select(
         *model,
         group,
-        F.col(rank).cast("bigint").alias("__rank"),
-        x0.alias("x0"),
-        *[F.col(c).cast("double").alias(f"x{i + 1}") for i, c in enumerate(controls)],
+        F.transform("items", lambda e: e["r"]).alias("ranks"),
+        F.transform("items", lambda e: e["s"]).alias("signals"),
+        F.flatten(F.transform("items", lambda e: e["c"])).alias("controls"),
     )
-    keys = [*model, group]
-    return cut_lineage(ready.repartition(*keys).sortWithinPartitions(*keys, F.col("__rank").desc()))
+
+    def usable(ranks: Column) -> Column:
+        return (F.size(ranks) >= 2) & (F.size(F.array_distinct(ranks)) == F.size(ranks))
+
+    below = F.filter("ranks", lambda r: r > 1)
+    marked = lists.select("*", usable(F.col("ranks")).alias("whole"), usable(below).alias("rest"))
+    return cut_lineage(marked.where("whole or rest"))
+
+
+def _ready(stored: DataFrame, model: Sequence[str], first: int = 1) -> DataFrame:
+    """Lists from rank ``first`` on that can be fitted, with the lowest signal of their model."""
+    lists = stored.where("whole" if first == 1 else "rest").select("*", F.lit(first).alias("first"))
+    seen = F.zip_with("ranks", "signals", lambda r, s: F.when(r >= first, s))
+    low = F.min(F.array_min(seen)).alias("low")
+    if model:
+        return join_measured(lists, lists.groupBy(*model).agg(low), list(model), "left")
+    return lists.crossJoin(F.broadcast(lists.agg(low)))  # exactly one row
+
+
+def prepare_lists(
+    frame: DataFrame,
+    model: Sequence[str],
+    group: str,
+    signal: str,
+    controls: Sequence[str] = (),
+    rank: str = "serp_rank",
+    max_rank: int = 20,
+) -> DataFrame:
+    """Choice sets ready for fitting, a row per list.
+
+    The signal is fitted as ``log1p``, signed if the model has any negative value.  Lists with
+    a repeated rank and lists of one row are left out.  Lists are cut at
+    ``max_rank``, so a list is bounded.
+    """
+    return _ready(stored_lists(frame, model, group, signal, controls, rank, max_rank), model)
+
+
+def _fields(batch: pa.RecordBatch, name: str) -> np.ndarray:
+    column = batch.column(batch.schema.get_field_index(name))
+    return (column.flatten() if pa.types.is_list(column.type) else column).to_numpy(zero_copy_only=False)
 
 
-def _terms(lists: DataFrame, model: Sequence[str], group: str, params: dict, width: int) -> DataFrame:
-    """Per row: log-likelihood term, score terms ``g`` and Hessian terms ``h``.
+def _list_terms(batch: pa.RecordBatch, width: int):
+    """``(starts, x, l, g, h)`` of the rows of a batch of lists, last rank first.
 
-    Sums over the remaining choices are running sums in reversed rank order.
+    ``l`` is the log-likelihood term, ``g`` the score terms, ``h`` the Hessian terms (upper triangle).
+    Sums over the remaining choices are running sums from the last rank on.
     Utilities are shifted by the maximum of the list, so no exponential overflows.
     """
+    lengths = batch.column(batch.schema.get_field_index("ranks")).value_lengths().to_numpy(zero_copy_only=False)
+    of_row = np.repeat(np.arange(len(lengths)), lengths)
+    kept = _fields(batch, "ranks") >= _fields(batch, "first")[of_row]
+    signals, of_row_kept = _fields(batch, "signals").astype(float)[kept], of_row[kept]
+    signed = _fields(batch, "low").astype(float)[of_row_kept] < 0
+    x0 = np.where(signed, np.sign(signals) * np.log1p(np.abs(signals)), np.log1p(np.maximum(signals, 0.0)))
+    controls = _fields(batch, "controls").astype(float).reshape(len(of_row), width - 1)[kept]
+    x = np.column_stack([x0, controls])
+    starts = np.concatenate([[0], np.cumsum(np.bincount(of_row_kept, minlength=len(lengths)))]).astype(int)
+    place = np.arange(len(x)) - starts[of_row_kept]
+    b = _fields(batch, "__b").astype(float).reshape(len(lengths), width)
+    u = (x * b[of_row_kept]).sum(axis=1)
+    u = u - np.maximum.reduceat(u, starts[:-1])[of_row_kept]
+    tri = pairs(range(width))
+    values = np.column_stack([np.ones(len(x)), x, *[x[:, i] * x[:, j] for i, j in tri]]) * np.exp(u)[:, None]
+    padded = np.zeros((len(lengths), int(np.diff(starts).max()), values.shape[1]))
+    padded[of_row_kept, place] = values
+    sums = np.cumsum(padded, axis=1)[of_row_kept, place]
+    mean = sums[:, 1:] / sums[:, :1]
+    g = x - mean[:, :width]
+    h = np.column_stack([mean[:, i] * mean[:, j] - mean[:, width + k] for k, (i, j) in enumerate(tri)])
+    return starts, x, u - np.log(sums[:, 0]), g, h
+
+
+def _with_params(lists: DataFrame, model: Sequence[str], params: dict) -> tuple[DataFrame, DataFrame]:
+    """Lists of the models in ``params`` with the model's number ``__m`` and parameters ``__b``, and that table."""
     spark = lists.sparkSession
     fields = [lists.schema[m] for m in model]
-    rows = [(*key, [float(v) for v in values]) for key, values in params.items()]
-    table = spark.createDataFrame(rows, StructType([*fields, StructField("__b", ArrayType(DoubleType()))]))
+    rows = [(*key, i, [float(v) for v in values]) for i, (key, values) in enumerate(params.items())]
+    schema = StructType([*fields, StructField("__m", LongType()), StructField("__b", ArrayType(DoubleType()))])
     # One row per fitted model: the number of models is checked by the caller.
-    with_params = lists.join(F.broadcast(table), list(model), "inner") if model else lists.crossJoin(F.broadcast(table))
-    x = [F.col(f"x{i}") for i in range(width)]
-    utility = sum((F.get(F.col("__b"), F.lit(i)) * x[i] for i in range(width)), F.lit(0.0))
-    keys = [*model, group]
-    whole = Window.partitionBy(*keys)
-    remaining = whole.orderBy(F.col("__rank").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    shifted = with_params.withColumn("__u", utility)
-    shifted = shifted.withColumn("__u", F.col("__u") - F.max("__u").over(whole)).withColumn("__w", F.exp("__u"))
-    w = F.col("__w")
-    sums = shifted.select(
-        *keys,
-        *[f"x{i}" for i in range(width)],
-        "__u",
-        F.sum(w).over(remaining).alias("__s"),
-        *[F.sum(w * x[i]).over(remaining).alias(f"__s{i}") for i in range(width)],
-        *[F.sum(w * x[i] * x[j]).over(remaining).alias(f"__s{i}_{j}") for i, j in pairs(range(width))],
-    )
-    mean = [F.col(f"__s{i}") / F.col("__s") for i in range(width)]
-    return sums.select(
-        *keys,
-        (F.col("__u") - F.ln("__s")).alias("l"),
-        *[(x[i] - mean[i]).alias(f"g{i}") for i in range(width)],
-        *[
-            (mean[i] * mean[j] - F.col(f"__s{i}_{j}") / F.col("__s")).alias(f"h{k}")
-            for k, (i, j) in enumerate(pairs(range(width)))
-        ],
-    )
+    table = F.broadcast(spark.createDataFrame(rows, schema))
+    joined = lists.join(table, list(model), "inner") if model else lists.crossJoin(table)
+    return joined.select("ranks", "signals", "controls", "first", "low", "__m", "__b"), table
+
+
+def _summed(lists: DataFrame, model: Sequence[str], params: dict, names: Sequence[str], sums) -> tuple[DataFrame, DataFrame]:
+    """``names`` of every task and model, added up in the task from ``sums(batch)``, a row per list; and the models."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            of_list, values = _fields(batch, "__m"), sums(batch)
+            for m in np.unique(of_list):
+                own = values[of_list == m].sum(axis=0)
+                total[int(m)] = total[int(m)] + own if int(m) in total else own
+        if total:
+            columns = [pa.array(list(total), pa.int64()), *[pa.array(v, pa.float64()) for v in np.array(list(total.values())).T]]
+            yield pa.RecordBatch.from_arrays(columns, names=["__m", *names])
+
+    joined, table = _with_params(lists, model, params)
+    return joined.mapInArrow(task, ", ".join(["__m bigint", *[f"{n} double" for n in names]])), table
 
 
 def newton_terms(lists: DataFrame, model: Sequence[str], group: str, params: dict, width: int) -> DataFrame:
     """One row per model: log-likelihood, gradient and Hessian (upper triangle)."""
-    count = len(pairs(range(width)))
-    return _terms(lists, model, group, params, width).groupBy(*model).agg(
-        F.sum("l").alias("loglik"),
-        F.array(*[F.sum(f"g{i}") for i in range(width)]).alias("gradient"),
-        F.array(*[F.sum(f"h{k}") for k in range(count)]).alias("hessian"),
+    g, h = [f"g{i}" for i in range(width)], [f"h{k}" for k in range(len(pairs(range(width))))]
+
+    def sums(batch):
+        starts, _, loglik, score, curve = _list_terms(batch, width)
+        return np.add.reduceat(np.column_stack([loglik, score, curve]), starts[:-1], axis=0)
+
+    found, table = _summed(lists, model, params, ["l", *g, *h], sums)
+    added = found.groupBy("__m").agg(
+        F.sum("l").alias("loglik"), F.array(*[F.sum(c) for c in g]).alias("gradient"), F.array(*[F.sum(c) for c in h]).alias("hessian")
     )
+    return added.join(table, "__m").select(*model, "loglik", "gradient", "hessian")
 
 
 @dataclass
@@ -190,36 +256,41 @@ def ranked_logit(
     """
     controls = _varying(frame, controls)
     width = 1 + len(controls)
-    lists = prepare_lists(frame, model, group, signal, controls, rank, max_rank)
+    stored = stored_lists(frame, model, group, signal, controls, rank, max_rank)
+    lists = _ready(stored, model)
     fits = fit_lists(lists, model, group, width)
     ready = {k: f for k, f in fits.items() if f.information.size}
     if not ready:
         return lists.sparkSession.createDataFrame([], _result_schema(lists, model, controls))
-    scores = (
-        _terms(lists, model, group, {k: f.params for k, f in ready.items()}, width)
-        .groupBy(*model, group)
-        .agg(*[F.sum(f"g{i}").alias(f"u{i}") for i in range(width)], F.count(F.lit(1)).alias("size"))
-    )
-    meats = scores.groupBy(*model).agg(
-        F.array(*[F.sum(F.col(f"u{i}") * F.col(f"u{j}")) for i, j in pairs(range(width))]).alias("meat"),
-        F.count(F.lit(1)).alias("groups"),
-        F.sum("size").alias("n"),
-        F.min("size").alias("smallest"),
-        F.max("size").alias("largest"),
-    )
-    sd = (
-        lists.groupBy(*model, group)
-        .agg(F.var_samp("x0").alias("v"))
-        .groupBy(*model)
-        .agg(F.sqrt(F.avg("v")).alias("sd"))
+    tri = pairs(range(width))
+    meat = [f"u{k}" for k in range(len(tri))]
+
+    def sums(batch):
+        starts, x, _, g, _ = _list_terms(batch, width)
+        u = np.add.reduceat(g, starts[:-1], axis=0)
+        size = np.diff(starts)
+        off = x[:, 0] - np.repeat(np.add.reduceat(x[:, 0], starts[:-1]) / size, size)
+        spread = np.add.reduceat(off * off, starts[:-1]) / (size - 1)
+        return np.column_stack([np.ones(len(size)), size, spread, *[u[:, i] * u[:, j] for i, j in tri]])
+
+    found, table = _summed(lists, model, {k: f.params for k, f in ready.items()}, ["groups", "n", "v", *meat], sums)
+    meats = found.groupBy("__m").agg(
+        F.array(*[F.sum(c) for c in meat]).alias("meat"),
+        F.sum("groups").cast("bigint").alias("groups"),
+        F.sum("n").cast("bigint").alias("n"),
+        F.sqrt(F.sum("v") / F.sum("groups")).alias("sd"),
     )
-    spreads = lists.groupBy(*model).agg(F.array(*[F.stddev_samp(f"x{i}") for i in range(width)]).alias("spread"))
-    side = meats.join(sd, list(model)).join(spreads, list(model)) if model else meats.crossJoin(sd).crossJoin(spreads)
+    meats = meats.join(table, "__m").drop("__m", "__b")
+    s = F.col("s")
+    x0 = F.when(F.col("low") < 0, log1p_signed(s)).otherwise(F.log1p(F.greatest(s, F.lit(0.0))))
+    at = lambda i: F.get(F.col("controls"), F.col("at") * (width - 1) + i - 1)
+    rows = lists.select(*model, "low", "controls", F.posexplode("signals").alias("at", "s"))
+    spreads = rows.groupBy(*model).agg(F.array(*[F.stddev_samp(at(i) if i else x0) for i in range(width)]).alias("spread"))
+    sizes = lists.groupBy(*model).agg(F.min(F.size("ranks")).alias("smallest"), F.max(F.size("ranks")).alias("largest"))
+    side = meats.join(spreads, list(model)).join(sizes, list(model)) if model else meats.crossJoin(spreads).crossJoin(sizes)
     drift = {}
     if without_top:
-        rest = prepare_lists(
-            frame.where(F.col(rank) > 1), model, group, signal, controls, rank, max_rank
-        )
+        rest = _ready(stored, model, first=2)
         drift = fit_lists(rest, model, group, width)
     rows = []
     for r in side.collect():  # one row per model
