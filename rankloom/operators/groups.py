@@ -61,6 +61,16 @@ def oversized_groups(frame: DataFrame, keys: Sequence[str], limit: int = GROUP_R
     return frame.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows")).where(F.col("__rows") > limit)
 
 
+def _measured_groups(frame: DataFrame, keys: Sequence[str], limit: int) -> DataFrame | None:
+    """Keys of the oversized groups, or None.  There are at most rows / limit of them, so they are broadcast: a
+    join that shuffles by these very keys would bring a whole group into one task."""
+    hot = cut_lineage(oversized_groups(frame, keys, limit).select(*keys))
+    count = hot.count()
+    if not count:
+        return None
+    return F.broadcast(hot) if count <= LOOKUP_ROWS else hot
+
+
 def group_running(
     frame: DataFrame,
     keys: Sequence[str],
@@ -86,10 +96,9 @@ def group_running(
 
     if limit is None:
         return frame.withColumn(out, running(*keys))
-    hot = oversized_groups(frame, keys, limit).select(*keys)
-    if hot.isEmpty():
+    hot = _measured_groups(frame, keys, limit)
+    if hot is None:
         return frame.withColumn(out, running(*keys))
-    hot = cut_lineage(hot)
     ordinary = join_null_safe(frame, hot, keys, "left_anti").withColumn(out, running(*keys))
 
     spread = join_null_safe(frame, hot, keys, "left_semi").repartitionByRange(*[F.col(k) for k in keys], *order)
@@ -100,6 +109,10 @@ def group_running(
     earlier = Window.partitionBy(*keys).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.withColumn("__before", total("__total").over(earlier)).drop("__total")
     local = sliced.withColumn("__local", running(*keys, "__slice"))
+    # A row per group and slice: small next to the rows, which would otherwise be shuffled by slice once more.
+    offsets = cut_lineage(offsets)
+    if offsets.count() <= LOOKUP_ROWS:
+        offsets = F.broadcast(offsets)
     joined = join_null_safe(local, offsets, [*keys, "__slice"], "left")
     if kind == "sum":
         combined = F.col("__local") + F.coalesce(F.col("__before"), F.lit(0))
@@ -174,10 +187,9 @@ def group_percentiles(
 
     if limit is None:
         return direct(frame)
-    hot = oversized_groups(frame, keys, limit).select(*keys)
-    if hot.isEmpty():
+    hot = _measured_groups(frame, keys, limit)
+    if hot is None:
         return direct(frame)
-    hot = cut_lineage(hot)
     positions = sorted_positions(join_null_safe(frame, hot, keys, "left_semi"), keys, value, limit)
 
     def value_at(index: Column) -> Column:
@@ -221,10 +233,9 @@ def group_medians(
             *[F.avg(F.col(c).cast("double")).alias(c) for c in means],
         )
 
-    hot = None if limit is None else oversized_groups(frame, keys, limit).select(*keys)
-    if hot is None or hot.isEmpty():
+    hot = None if limit is None else _measured_groups(frame, keys, limit)
+    if hot is None:
         return direct(frame)
-    hot = cut_lineage(hot)
     rows = join_null_safe(frame, hot, keys, "left_semi")
     found = rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("__n"), *[F.avg(F.col(c).cast("double")).alias(c) for c in means]
