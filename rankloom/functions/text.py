@@ -63,13 +63,21 @@ def host_suffixes(host: Column | str) -> Column:
     )
 
 
+# Parts that form encoding leaves as they are.
+_PLAIN = r"\A[A-Za-z0-9._-]*\z"
+
+
+def _decoded(text: Column) -> Column:
+    # A lone % is literal text in form decoding; escape it so that decoding holds.
+    return F.url_decode(F.regexp_replace(text, r"%(?![0-9A-Fa-f]{2})", "%25"))
+
+
 def _reencode(text: Column) -> Column:
     """Decode a query part and encode it again as form data does."""
-    # A lone % is literal text in form decoding; escape it so that decoding holds.
-    guarded = F.regexp_replace(text, r"%(?![0-9A-Fa-f]{2})", "%25")
     # Java's encoder keeps "*" and escapes "~"; form encoding does the opposite.
-    encoded = F.url_encode(F.url_decode(guarded))
-    return F.replace(F.replace(encoded, F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+    encoded = F.url_encode(_decoded(text))
+    changed = F.replace(F.replace(encoded, F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+    return F.when(F.rlike(text, F.lit(_PLAIN)), text).otherwise(changed)
 
 
 def canonical_url(url: Column | str) -> Column:
@@ -80,23 +88,25 @@ def canonical_url(url: Column | str) -> Column:
     pairs = F.filter(F.split(query, "&"), lambda pair: pair != "")
 
     def key_of(pair):
-        return F.regexp_extract(pair, r"^([^=]*)", 1)
+        return F.substring_index(pair, "=", 1)
 
     def value_of(pair):
         return F.regexp_extract(pair, r"^[^=]*=(.*)$", 1)
 
     def tracked(pair):
-        key = F.lower(F.url_decode(F.regexp_replace(key_of(pair), r"%(?![0-9A-Fa-f]{2})", "%25")))
-        return key.isin(*CLICK_ID_PARAMS) | key.startswith("utm_")
+        def named(key):
+            return key.isin(*CLICK_ID_PARAMS) | key.startswith("utm_")
+
+        key = key_of(pair)
+        return F.when(F.rlike(key, F.lit(_PLAIN)), named(F.lower(key))).otherwise(named(F.lower(_decoded(key))))
 
     kept = F.filter(pairs, lambda pair: ~tracked(pair))
-    plain = F.array_join(
-        F.transform(kept, lambda p: F.concat(_reencode(key_of(p)), F.lit("="), _reencode(value_of(p)))), "&"
-    )
-    scheme = F.lower(F.regexp_extract(path, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1))
-    rest = F.regexp_replace(path, r"^[A-Za-z][A-Za-z0-9+.-]*:", "")
-    rebuilt = F.when(scheme != "", F.concat(scheme, F.lit(":"), rest)).otherwise(path)
-    return F.when(plain != "", F.concat(rebuilt, F.lit("?"), plain)).otherwise(rebuilt)
+    sign = lambda i: F.when(i == 0, F.lit("?")).otherwise(F.lit("&"))
+    asked = F.transform(kept, lambda p, i: F.concat(sign(i), _reencode(key_of(p)), F.lit("="), _reencode(value_of(p))))
+    scheme = F.lower(F.regexp_extract(path, r"^([A-Za-z][A-Za-z0-9+.-]*:)", 1))
+    rebuilt = F.concat(scheme, F.regexp_replace(path, r"^[A-Za-z][A-Za-z0-9+.-]*:", ""))
+    # Most URLs have no query; its parts are looked at only where there is one.
+    return F.when(F.contains(base, F.lit("?")), F.concat(rebuilt, F.array_join(asked, ""))).otherwise(rebuilt)
 
 
 def stable_id(*parts: Column | str) -> Column:

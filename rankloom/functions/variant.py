@@ -26,7 +26,7 @@ def parse_body(body: Column | str, binary: bool = True) -> Column:
 
 def at(v: Column, path: str) -> Column:
     """The value under a path, still as a Variant; null if it is absent."""
-    return F.try_variant_get(v, path, "variant")
+    return v if path == "$" else F.try_variant_get(v, path, "variant")
 
 
 def type_of(v: Column) -> Column:
@@ -34,12 +34,12 @@ def type_of(v: Column) -> Column:
 
 
 def is_object(v: Column) -> Column:
-    """Container tests are casts: describing the type would walk the whole subtree."""
-    return F.try_variant_get(v, "$", "map<string,variant>").isNotNull()
+    """Container tests are casts that copy nothing: describing the type would walk the whole subtree."""
+    return F.try_variant_get(v, "$", "struct<`-`:boolean>").isNotNull()
 
 
 def is_array(v: Column) -> Column:
-    return F.try_variant_get(v, "$", "array<variant>").isNotNull()
+    return F.try_variant_get(v, "$", "array<struct<`-`:boolean>>").isNotNull()
 
 
 def is_string(v: Column) -> Column:
@@ -55,7 +55,8 @@ def is_number(v: Column) -> Column:
 
 
 def is_integer(v: Column) -> Column:
-    return F.coalesce(F.rlike(type_of(v), F.lit(INTEGER_TYPES)), F.lit(False))
+    # JSON keeps whole numbers as bigint; the pattern is for what does not fit and for values built otherwise.
+    return F.coalesce((type_of(v) == "BIGINT") | F.rlike(type_of(v), F.lit(INTEGER_TYPES)), F.lit(False))
 
 
 def is_missing(v: Column) -> Column:
@@ -143,6 +144,36 @@ def task_items(body: Column) -> Column:
     return F.flatten(F.transform(task_results(body), lambda result: elements(result, "$.items")))
 
 
+def shaped_tasks(body: Column, fields: dict[str, Iterable[str]]) -> Column:
+    """Tasks, results and items as nested structs whose leaves are the named Variant fields of each level.
+
+    One walk of the body; getters on the elements of ``task_items`` copy every level and look each field up again.
+    ``fields`` names the levels that are wanted ("task", "result", "item").  A level that is no array is null, and so is
+    an element that is no object.
+    """
+    return F.try_variant_get(body, "$.tasks", f"array<{_level('task', fields)}>")
+
+
+_BELOW = {"task": ("result", "result"), "result": ("items", "item")}
+
+
+def _level(level: str, fields: dict[str, Iterable[str]]) -> str:
+    parts = [f"`{name}`:variant" for name in fields[level]]
+    if level in _BELOW and _BELOW[level][1] in fields:
+        name, below = _BELOW[level]
+        parts.append(f"`{name}`:array<{_level(below, fields)}>")
+    return f"struct<{','.join(parts)}>"
+
+
+def item_fields(body: Column, names: Iterable[str]) -> Column:
+    """The named fields of all items of all results, as structs of Variants, in document order; null for no objects."""
+    fields = {"task": (), "result": (), "item": tuple(names)}
+    none = F.expr(f"cast(array() as array<{_level('item', fields)}>)")
+    inside = lambda result: F.coalesce(result["items"], none)
+    results = lambda task: F.coalesce(F.flatten(F.transform(task["result"], inside)), none)
+    return F.coalesce(F.flatten(F.transform(shaped_tasks(body, fields), results)), none)
+
+
 def first_text(candidates: Iterable[Column]) -> Column:
     """First candidate that is not blank, trimmed."""
     return F.coalesce(*[F.nullif(stripped(c), F.lit("")) for c in candidates])

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.functions import variant as V
-from rankloom.operators.curate import nested_http_failure, open_bodies, organic_items
+from rankloom.operators.curate import nested_http_failure, open_bodies, usable_organic
 
 # Fixed values: (level, field, allowed JSON types).  Levels: task, result, item.
 DECLARED = {
@@ -86,10 +86,13 @@ def _issue(bad: Column, path: Column, expected: str, actual: Column) -> Column:
 
 
 def _field(node: Column, prefix: Column, name: str, types: str) -> Column:
+    return _typed(V.at(node, f"$.{name}"), F.concat(prefix, F.lit(f".{name}")), types, ["null"] if name == "items" else [])
+
+
+def _typed(value: Column, path: Column, types: str, also: list[str] = []) -> Column:
     allowed = types.split()
-    value = V.at(node, f"$.{name}")
-    fine = _fits(value, {*allowed, *(["null"] if name == "items" else []), *(["absent"] if "null" in allowed else [])})
-    return _issue(~fine, F.concat(prefix, F.lit(f".{name}")), " or ".join(allowed), json_type(value))
+    fine = _fits(value, {*allowed, *also, *(["absent"] if "null" in allowed else [])})
+    return _issue(~fine, path, " or ".join(allowed), json_type(value))
 
 
 def _fits(value: Column, kinds: set[str]) -> Column:
@@ -184,7 +187,84 @@ def _organic_item(item: Column, path: Column) -> Column:
 
 
 def violations(body: Column, endpoint: str) -> Column:
-    """Array of ``(path, expected, actual)`` for one body."""
+    """Array of ``(path, expected, actual)`` for one body.
+
+    Bodies whose tasks, results and items are arrays of objects are read in one walk; any other body, and page text,
+    is checked level by level.
+    """
+    if endpoint == "page_text":
+        return _by_level(body, endpoint)
+    tasks, regular = _regular(body, endpoint)
+    found = F.when(regular, _shaped_violations(tasks, endpoint)).otherwise(_by_level(body, endpoint, False))
+    return _unless_failed(body, found) if endpoint == "onpage_instant_pages" else found
+
+
+def _unless_failed(body: Column, found: Column) -> Column:
+    # A fetched page may answer 4xx/5xx inside a successful task; its body is bare on purpose.
+    return F.when(nested_http_failure(body).isNotNull(), F.expr(_NONE)).otherwise(found)
+
+
+def _level_fields(endpoint: str) -> dict[str, dict[str, str]]:
+    """Declared types of the fields of each level, without the arrays that hold the next level."""
+    out: dict[str, dict[str, str]] = {"task": {}, "result": {}}
+    for level, name, types in DECLARED[endpoint]:
+        out.setdefault(level, {})[name] = types
+    del out["task"]["result"]
+    if "item" in out:
+        out["result"].pop("items", None)
+    if endpoint == "serp":
+        out["item"].update({"url": "", "title": ""})
+    return out
+
+
+def _regular(body: Column, endpoint: str) -> tuple[Column, Column]:
+    """The tasks with their declared fields, and whether every level of them is an array of objects."""
+    fields = _level_fields(endpoint)
+    tasks = V.shaped_tasks(body, fields)
+
+    def result_fine(result):
+        fine = result.isNotNull()
+        return fine & F.forall(result["items"], lambda i: i.isNotNull()) if "item" in fields else fine
+
+    regular = F.forall(tasks, lambda t: t.isNotNull() & F.forall(t["result"], result_fine))
+    return tasks, F.coalesce(regular, F.lit(False))
+
+
+def _shaped_violations(tasks: Column, endpoint: str) -> Column:
+    """Violations of the fields of regular bodies."""
+    fields = _level_fields(endpoint)
+
+    def place(path, name, i):
+        return F.concat(path, F.lit(f"{name}["), i.cast("string"), F.lit("]"))
+
+    def own(level, node, path):
+        return [_typed(node[name], F.concat(path, F.lit(f".{name}")), types) for name, types in fields[level].items() if types]
+
+    def below(nodes, path, name, check):
+        return F.flatten(F.transform(nodes, lambda child, i: check(child, place(path, f".{name}", i))))
+
+    def joined(parts):
+        return F.concat(*parts) if len(parts) > 1 else parts[0] if parts else F.expr(_NONE)
+
+    def item(node, path):
+        organic = F.coalesce(F.try_variant_get(node["type"], "$", "string") == "organic", F.lit(False)) if endpoint == "serp" else None
+        texts = ("url", "title") if endpoint == "serp" else ()
+        wrong = [
+            _issue(~V.is_string(node[n]) & organic, F.concat(path, F.lit(f".{n}")), "string", json_type(node[n])) for n in texts
+        ]
+        return joined([*own("item", node, path), *wrong])
+
+    def result(node, path):
+        return joined([*own("result", node, path), *([below(node["items"], path, "items", item)] if "item" in fields else [])])
+
+    def task(node, path):
+        return joined([*own("task", node, path), below(node["result"], path, "result", result)])
+
+    return F.flatten(F.transform(tasks, lambda node, i: task(node, place(F.lit("tasks"), "", i))))
+
+
+def _by_level(body: Column, endpoint: str, failures: bool = True) -> Column:
+    """Violations of any body, each level read from the one above."""
     fields = DECLARED[endpoint]
 
     def at_level(level, node, path):
@@ -221,10 +301,7 @@ def violations(body: Column, endpoint: str) -> Column:
     out = F.when(V.is_object(body), inner).otherwise(
         _issue(F.lit(True), F.lit("<root>"), "object", F.when(body.isNull(), "not json").otherwise(json_type(body)))
     )
-    if endpoint in ("page_text", "onpage_instant_pages"):
-        # A fetched page may answer 4xx/5xx inside a successful task; its body is bare on purpose.
-        out = F.when(nested_http_failure(body).isNotNull(), F.expr(_NONE)).otherwise(out)
-    return out
+    return _unless_failed(body, out) if failures and endpoint in ("page_text", "onpage_instant_pages") else out
 
 
 def response_violations(raw: DataFrame, endpoint: str) -> DataFrame:
@@ -302,13 +379,12 @@ def onpage_usable(body: Column) -> Column:
 
 def serp_usable(body: Column, depth: int | None = None) -> Column:
     """All tasks succeeded and the organic rows reach the depth (at least one without)."""
-    tasks = V.elements(body, "$.tasks")
+    tasks = V.shaped_tasks(body, {"task": ["status_code"]})
     fine = (F.size(tasks) > 0) & F.forall(
         tasks,
-        lambda t: V.is_object(t) & F.coalesce(V.strict_integer(t, "$.status_code") == 20000, F.lit(True)),
+        lambda t: t.isNotNull() & F.coalesce(V.strict_integer(t["status_code"], "$") == 20000, F.lit(True)),
     )
-    found = F.size(organic_items(body, depth or 20))
-    return F.coalesce(fine & (found >= (depth or 1)), F.lit(False))
+    return F.coalesce(fine & (F.size(usable_organic(body)) >= (depth or 1)), F.lit(False))
 
 
 def text_analysis_usable(body: Column) -> Column:
