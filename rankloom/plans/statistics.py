@@ -12,6 +12,7 @@ from rankloom.operators.marts import entity_signals as build_entity_signals
 from rankloom.plans import standins as st
 from rankloom.plans.marts import _ENTITY, _entity_inputs
 from rankloom.plans.standins import table
+from rankloom.session import cut_lineage
 from rankloom.stats import bundle, diagnostics, entities, ranked_logit, regression, spearman
 from rankloom.stats.moments import element, melt_signals
 
@@ -38,9 +39,13 @@ tests AS (SELECT rank_depth, signal, keyword_id, count(*) AS n_rows,
   CASE WHEN min(a) = max(a) OR min(serp_rank) = max(serp_rank) OR abs(corr(a, serp_rank)) < 1e-12 THEN 0 ELSE corr(a, serp_rank) END AS rho FROM ranked GROUP BY 1, 2, 3 HAVING count(*) >= 2)"""
 
 
+def _tests(spark, d):
+    """A rank correlation per depth, signal and list."""
+    return spearman.list_correlations(st.panel(spark, d), ["keyword_id"], SIGNALS, dict(RANK_DEPTHS))
+
+
 def correlations(spark, d):
-    tests = spearman.keyword_correlations(_long(spark, d), [*MODEL, "keyword_id"], "value")
-    return tests.select(*MODEL, "keyword_id", "n_rows", F.round(F.col("rho") + 0.0, 6).alias("rho"))
+    return _tests(spark, d).select(*MODEL, "keyword_id", "n_rows", F.round(F.col("rho") + 0.0, 6).alias("rho"))
 
 
 CORRELATIONS = f"WITH {_LONG}, {_RANKED} SELECT rank_depth, signal, keyword_id, n_rows, round(rho + 0.0, 6) AS rho FROM tests"
@@ -59,8 +64,7 @@ SELECT l_suppkey, count(*) AS n_rows, round(corr(a, b), 6) AS rho FROM r GROUP B
 
 
 def correlation_summary(spark, d):
-    tests = spearman.keyword_correlations(_long(spark, d), [*MODEL, "keyword_id"], "value")
-    out = spearman.summarize_correlations(tests, MODEL)
+    out = spearman.summarize_correlations(cut_lineage(_tests(spark, d).select(*MODEL, "rho")), MODEL)
     return out.select(*MODEL, "keyword_count", *[F.round(F.col(c) + 0.0, 5).alias(c) for c in ("median_rho", "rho_iqr", "fraction_same_sign")], "status", spearman.inference_mode(F.col("keyword_count")).alias("mode"))
 
 
@@ -84,8 +88,7 @@ SELECT o_orderkey, o_orderpriority, p_value, round(min(least(1, p_value * m / k)
 
 
 def adjusted_correlations(spark, d):
-    tests = spearman.keyword_correlations(_long(spark, d), [*MODEL, "keyword_id"], "value")
-    out = spearman.adjusted_tests(tests, MODEL)
+    out = spearman.adjusted_tests(cut_lineage(_tests(spark, d).select(*MODEL, "keyword_id", "p_value")), MODEL)
     return out.select(*MODEL, "keyword_id", F.round("p_value", 6).alias("p_value"), F.round("bh_q_value", 6).alias("bh_q_value"))
 
 

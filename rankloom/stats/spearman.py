@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, LongType, StringType, StructField, StructType
 
 from rankloom.functions.dist import t_two_sided
 from rankloom.operators.groups import GROUP_ROWS_PER_TASK, attach_group_stats, group_percentiles, group_running, join_null_safe
@@ -67,6 +71,78 @@ def keyword_correlations(
     return tests.select(*keys, "n_rows", "rho", correlation_p_value("rho", "n_rows", "__flat").alias("p_value"))
 
 
+#: Comparisons of two rows of a list that are held at once.
+_COMPARED = 1 << 21
+
+
+def _double_ranks(x: np.ndarray) -> np.ndarray:
+    """How every row of a list stands to every other: 2 above, 1 equal, 0 below.  NaN is the largest value, as in Spark."""
+    a, b = x[:, :, None], x[:, None, :]
+    lost = np.isnan(x)
+    above = (a > b) | (lost[:, :, None] & ~lost[:, None, :])
+    equal = (a == b) | (lost[:, :, None] & lost[:, None, :])
+    return (2 * above + equal).astype(np.float64)
+
+
+def _list_tests(lists: pa.ListArray, scores: Sequence[str], depths: dict[str, int], min_rows: int) -> Iterator[tuple]:
+    """``(places, depth, score, n_rows, rho, flat)`` of lists of (rank, scores): one array per column.
+
+    Twice the average rank of a row is the sum of its comparisons with the rows of the depth, a whole number; so are
+    the moments, and a correlation is rounded only in its last division.
+    """
+    sizes = np.asarray(pc.list_value_length(lists), dtype=np.int64)
+    rows, width = lists.flatten(), int(sizes.max(initial=0))
+    first = np.concatenate([[0], np.cumsum(sizes)])
+    step = max(1, _COMPARED // max(width * width, 1))
+    columns = {c: rows.field(c) for c in ("__r", *scores)}
+    known = {c: np.asarray(v.is_valid()) for c, v in columns.items()}
+    values = {c: np.asarray(v.fill_null(0.0), dtype=np.float64) for c, v in columns.items()}
+    for low in range(0, len(sizes), step):
+        part = np.arange(low, min(low + step, len(sizes)))
+        inside = np.arange(width) < sizes[part, None]
+        at = np.where(inside, first[part, None] + np.arange(width), 0)
+        rank, ranked = values["__r"][at], inside & known["__r"][at]
+        by_rank = _double_ranks(rank)
+        for score in scores:
+            by_score, scored = _double_ranks(values[score][at]), ranked & known[score][at]
+            for depth, limit in depths.items():
+                v = (scored & (rank >= 1) & (rank <= limit)).astype(np.float64)
+                a, b = ((m @ v[:, :, None])[:, :, 0] * v for m in (by_score, by_rank))
+                n = v.sum(axis=1)
+                aa, bb, ab = (n * (x * y).sum(axis=1) - x.sum(axis=1) * y.sum(axis=1) for x, y in ((a, a), (b, b), (a, b)))
+                flat = (aa == 0) | (bb == 0)
+                rho = np.where(flat, 0.0, np.clip(ab / np.sqrt(np.where(flat, 1.0, aa) * np.where(flat, 1.0, bb)), -1.0, 1.0))
+                enough = np.flatnonzero(n >= min_rows)
+                yield part[enough], depth, score, n[enough].astype(np.int64), rho[enough], flat[enough]
+
+
+def list_correlations(
+    frame: DataFrame, keys: Sequence[str], scores: Sequence[str], depths: dict[str, int], rank: str = "serp_rank", min_rows: int = 2
+) -> DataFrame:
+    """``(rank_depth, signal, keys, n_rows, rho, p_value)``: :func:`keyword_correlations` of all scores at all depths.
+
+    For ranked lists of limited depth.  A list travels once, as one row; neither the depths nor the scores multiply
+    the rows that are shuffled or sorted.
+    """
+    row = F.struct(F.col(rank).cast("double").alias("__r"), *[F.col(c).cast("double").alias(c) for c in scores])
+    lists = frame.groupBy(*keys).agg(F.collect_list(row).alias("__rows"))
+    names = ["rank_depth", "signal", *keys, "n_rows", "rho", "__flat"]
+    kinds = [StringType(), StringType(), *[frame.schema[k].dataType for k in keys], LongType(), DoubleType(), BooleanType()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            for places, depth, score, n, rho, flat in _list_tests(batch.column("__rows"), scores, depths, min_rows):
+                if len(places):
+                    own = [batch.column(k).take(pa.array(places)) for k in keys]
+                    fixed = [pa.array([text] * len(places), pa.string()) for text in (depth, score)]
+                    yield pa.RecordBatch.from_arrays([*fixed, *own, pa.array(n), pa.array(rho), pa.array(flat)], names=names)
+
+    tests = lists.mapInArrow(run, StructType([StructField(n, t) for n, t in zip(names, kinds)]))
+    return tests.select(*names[:-2], "rho", correlation_p_value("rho", "n_rows", "__flat").alias("p_value"))
+
+
 def correlation_p_value(rho: str, rows: str, flat: str) -> Column:
     """Two-sided p of a rank correlation from t with ``rows - 2`` degrees of freedom."""
     r, df = F.col(rho), F.col(rows) - 2
