@@ -21,9 +21,15 @@ CONTROLS = ("c1", "c2")
 _DEPTH_ROWS = "(VALUES ('top_20', 20), ('top_10', 10), ('top_5', 5), ('top_3', 3)) t(rank_depth, max_rank)"
 
 
-def _long(spark, d):
-    """The panel at all depths, one row per signal."""
-    panel = st.panel(spark, d).withColumns({"outcome": rank_outcome(F.col("serp_rank")), "c1": F.ln("l_extendedprice"), "c2": (F.col("url_id") % 13).cast("double")})
+def _long(spark, d, stored=False):
+    """The panel at all depths, one row per signal.  The rows of a list are brought together before they multiply.
+
+    ``stored`` writes the panel once, for queries that read the rows more than once.
+    """
+    panel = st.panel(spark, d)
+    if stored:
+        panel = cut_lineage(panel.select("keyword_id", "url_id", "serp_rank", "l_extendedprice", *SIGNALS))
+    panel = panel.repartition("keyword_id").withColumns({"outcome": rank_outcome(F.col("serp_rank")), "c1": F.ln("l_extendedprice"), "c2": (F.col("url_id") % 13).cast("double")})
     return melt_signals(expand_depths(panel), SIGNALS, ["rank_depth", "keyword_id", "url_id", "serp_rank", "outcome", *CONTROLS])
 
 
@@ -216,7 +222,7 @@ INFLUENCE = f"""WITH {_INFLUENCE} SELECT l_orderkey, l_linenumber, l_partkey, l_
 
 
 def influence_counts(spark, d):
-    out = diagnostics.influence_summary(diagnostics.influence_rows(_long(spark, d), MODEL, "keyword_id", ["value", *CONTROLS]), MODEL)
+    out = diagnostics.influence_summary(diagnostics.influence_rows(_long(spark, d, stored=True), MODEL, "keyword_id", ["value", *CONTROLS]), MODEL)
     return out.withColumn("influential_rate", F.round("influential_rate", 6))
 
 
