@@ -13,7 +13,7 @@ from rankloom.operators.groups import first_per_key, join_null_safe
 from rankloom.session import cut_lineage
 from rankloom.stats.moments import element, melt_signals
 from rankloom.stats.regression import regression_table
-from rankloom.stats.spearman import inference_mode, is_actionable, keyword_correlations, summarize_correlations
+from rankloom.stats.spearman import inference_mode, is_actionable, list_correlations, summarize_correlations
 
 MODEL = ["rank_depth", "signal"]
 
@@ -61,7 +61,9 @@ def association_table(
         F.bool_and("v").alias("rank_varies")
     )
     usable = join_null_safe(long, spread.where("rank_varies"), ["rank_depth"], "left_semi")
-    tests = keyword_correlations(usable, [*MODEL, key], "value", rank)
+    lists = complete_controls(panel.where(F.col(rank).between(1, max(depths.values()))), controls)
+    every = list_correlations(lists, [key], signals, dict(depths), rank)
+    tests = cut_lineage(join_null_safe(every, F.broadcast(spread.where("rank_varies")), ["rank_depth"], "left_semi").select(*MODEL, "rho"))
     summary = summarize_correlations(tests, MODEL).drop("status")
     fits = regression_table(usable, MODEL, key, ["value", *controls])
     table = join_null_safe(fits, summary, MODEL, "left").withColumns(
