@@ -35,8 +35,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rankloom.llm import staging
 from rankloom.llm.components import components
-from rankloom.llm.staging import discarded, stored
+from rankloom.llm.staging import discarded
 from rankloom.llm.words import Words, chained, find_words, mixed, slices
 
 SHINGLE = 5
@@ -48,6 +49,8 @@ COUNTERS, SLICE = 1 << 21, 1 << 11
 FILTER_BITS = 1 << 24
 #: Members of a group that are looked at together, and their shingles (8 MB of sets).
 BLOCK, BLOCK_SHINGLES = 128, 1 << 20
+#: What a Python worker gets at once, in bytes, and looks at together: bytes of texts, rows with histograms or sets.
+BATCH_BYTES, TEXT_BYTES, ROWS = 4 << 20, 1 << 20, 512
 _SEED = 11
 
 
@@ -85,12 +88,23 @@ def _needed(tokens: int, percent: int) -> int:
     return -(-percent * tokens // 100)
 
 
+def stored(frame: DataFrame, name: str) -> DataFrame:
+    return staging.stored(frame, name, BATCH_BYTES)
+
+
+def _cut(batches: Iterator[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.RecordBatch]:
+    """Batches cut to a number of rows."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def profiles(docs: DataFrame) -> DataFrame:
     """``doc_id``, ``h`` (hash of the text), ``n``, ``k`` (class), ``mins``, ``bins``; and counter slices (``part``, ``counts``) from every task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counters = np.zeros(COUNTERS, dtype=np.int64)
-        for batch in slices(batches):
+        counters = np.zeros(COUNTERS, dtype="<u4")
+        for batch in slices(batches, limit=TEXT_BYTES):
             sets = shingle_names(find_words(batch.column("text"), lower=True))
             sizes = np.array([len(s) for s in sets])
             full = np.flatnonzero(sizes)
@@ -99,7 +113,8 @@ def profiles(docs: DataFrame) -> DataFrame:
             bins = np.zeros((len(sets), 1 << BIN_BITS), dtype=np.uint8)
             if len(full):
                 every = np.concatenate([sets[i] for i in full])
-                counters += np.bincount((every % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
+                counter, times = np.unique(every % np.uint64(COUNTERS), return_counts=True)
+                counters[counter] = np.minimum(counters[counter] + times, (1 << 32) - 1)
                 at = np.concatenate([[0], np.cumsum(sizes[full])[:-1]])
                 place = (np.repeat(full, sizes[full]) << BIN_BITS) + (every >> np.uint64(64 - BIN_BITS)).astype(np.int64)
                 bins = np.minimum(np.bincount(place, minlength=len(sets) << BIN_BITS), 255).astype(np.uint8).reshape(len(sets), -1)
@@ -109,11 +124,12 @@ def profiles(docs: DataFrame) -> DataFrame:
                 [batch.column("doc_id"), batch.column("h"), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.array(list(mins), pa.list_(pa.int64())), pa.array([x.tobytes() for x in bins], pa.binary()), pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary())],
                 names=["doc_id", "h", "n", "k", "mins", "bins", "part", "counts"],
             )
-        if counters.any():
-            rows = np.minimum(counters, (1 << 32) - 1).astype("<u4").reshape(-1, SLICE)
-            m = len(rows)
+        rows = counters.reshape(-1, SLICE)
+        for first in range(0, len(rows) if counters.any() else 0, 64):
+            some = rows[first : first + 64]
+            m = len(some)
             yield pa.RecordBatch.from_arrays(
-                [*(pa.nulls(m, pa.int64()) for _ in range(4)), pa.nulls(m, pa.list_(pa.int64())), pa.nulls(m, pa.binary()), pa.array(range(m), pa.int32()), pa.array([r.tobytes() for r in rows], pa.binary())],
+                [*(pa.nulls(m, pa.int64()) for _ in range(4)), pa.nulls(m, pa.list_(pa.int64())), pa.nulls(m, pa.binary()), pa.array(range(first, first + m), pa.int32()), pa.array([r.tobytes() for r in some], pa.binary())],
                 names=["doc_id", "h", "n", "k", "mins", "bins", "part", "counts"],
             )
 
@@ -139,7 +155,7 @@ def prefixes(docs: DataFrame, levels: np.ndarray, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = shared.value
-        for batch in slices(batches):
+        for batch in slices(batches, limit=TEXT_BYTES):
             sets = shingle_names(find_words(batch.column("text"), lower=True))
             first = []
             for s in sets:
@@ -164,24 +180,26 @@ def sets_of(docs: DataFrame, wanted: DataFrame, name: str) -> DataFrame:
     """``k``, ``shingles`` (binary) of the classes ``wanted`` (``k``, ``doc_id`` of one row that has the text)."""
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mine = np.zeros(FILTER_BITS, dtype=bool)
+        mine = np.zeros(FILTER_BITS // 64, dtype=np.uint64)
         for batch in batches:
-            mine[_slots(_ids(batch.column("k")), _ids(batch.column("doc_id")))] = True
-        packed = np.packbits(mine, bitorder="little").view("<i8")
-        at = np.flatnonzero(packed)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(packed[at], pa.int64())], names=["at", "bits"])
+            slot = _slots(_ids(batch.column("k")), _ids(batch.column("doc_id")))
+            np.bitwise_or.at(mine, slot >> 6, np.uint64(1) << (slot & 63).astype(np.uint64))
+        at = np.flatnonzero(mine)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(mine[at].view(np.int64), pa.int64())], names=["at", "bits"])
 
-    whole = np.zeros(FILTER_BITS // 64, dtype="<i8")
+    whole = np.zeros(FILTER_BITS // 64, dtype=np.int64)
     rows = wanted.select("k", "doc_id").mapInArrow(bits, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toPandas()
     whole[rows["at"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64)
-    shared = docs.sparkSession.sparkContext.broadcast(np.unpackbits(whole.view(np.uint8), bitorder="little").astype(bool))
+    shared = docs.sparkSession.sparkContext.broadcast(whole.view(np.uint64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         present = shared.value
-        for batch in slices(batches):
+        for batch in slices(batches, limit=TEXT_BYTES):
             sets = shingle_names(find_words(batch.column("text"), lower=True))
             keys = np.array([_class(s) if len(s) else 0 for s in sets], dtype=np.int64)
-            hit = [i for i in np.flatnonzero(present[_slots(keys, _ids(batch.column("doc_id")))]).tolist() if len(sets[i])]
+            slot = _slots(keys, _ids(batch.column("doc_id")))
+            asked = present[slot >> 6] >> (slot & 63).astype(np.uint64) & np.uint64(1)
+            hit = [i for i in np.flatnonzero(asked).tolist() if len(sets[i])]
             yield pa.RecordBatch.from_arrays([pa.array(keys[hit], pa.int64()), pa.array([sets[i].tobytes() for i in hit], pa.binary())], names=["k", "shingles"])
 
     found = docs.mapInArrow(run, "k long, shingles binary").join(wanted.select("k").distinct(), "k", "left_semi")
@@ -229,13 +247,12 @@ def bounded(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """The pairs (``k``, ``hub``) whose histograms allow the threshold, and how far they are ``apart``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1).astype(np.int16) for c in ("x", "y"))
-                sizes = np.asarray(batch.column("n")) + np.asarray(batch.column("m"))
-                apart = np.abs(x - y).sum(axis=1, dtype=np.int64)
-                out = pa.RecordBatch.from_arrays([batch.column("k"), batch.column("hub"), pa.array(apart)], names=["k", "hub", "apart"])
-                yield out.filter(pa.array((100 + percent) * apart <= (100 - percent) * sizes))
+        for batch in _cut(batches):
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1).astype(np.int16) for c in ("x", "y"))
+            sizes = np.asarray(batch.column("n")) + np.asarray(batch.column("m"))
+            apart = np.abs(x - y).sum(axis=1, dtype=np.int64)
+            out = pa.RecordBatch.from_arrays([batch.column("k"), batch.column("hub"), pa.array(apart)], names=["k", "hub", "apart"])
+            yield out.filter(pa.array((100 + percent) * apart <= (100 - percent) * sizes))
 
     both = pairs.join(classes.select("k", "n", F.col("bins").alias("x")), "k").join(classes.select(F.col("k").alias("hub"), F.col("n").alias("m"), F.col("bins").alias("y")), "hub")
     return both.select("k", "hub", "n", "m", "x", "y").mapInArrow(run, "k long, hub long, apart long")
@@ -245,7 +262,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (``k``, ``hub``) whose sets are at the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _cut(batches):
             good = [
                 _linked(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), percent)
                 for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist())

@@ -4,14 +4,31 @@ from __future__ import annotations
 
 import gc
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankloom.session import ensure_checkpoint_dir
 
+BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
 
-def stored(frame: DataFrame, name: str) -> DataFrame:
+
+@contextmanager
+def arrow_batches(spark: SparkSession, limit: int | None) -> Iterator[None]:
+    """While this lasts, a batch of rows that goes to a Python worker ends at so many bytes, if a limit is given."""
+    before = spark.conf.get(BATCH_CONF, None)
+    if limit is not None:
+        spark.conf.set(BATCH_CONF, limit)
+    try:
+        yield
+    finally:
+        if limit is not None:
+            spark.conf.set(BATCH_CONF, before) if before is not None else spark.conf.unset(BATCH_CONF)
+
+
+def stored(frame: DataFrame, name: str, batch_bytes: int | None = None) -> DataFrame:
     """Write ``frame`` as Parquet under ``spark.checkpoint.dir`` and read it back.
 
     Cuts the lineage and outlives any executor.  The shuffle files of what has been written
@@ -21,7 +38,8 @@ def stored(frame: DataFrame, name: str) -> DataFrame:
     spark = frame.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None) or ensure_checkpoint_dir(spark)
     path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    frame.write.parquet(path)
+    with arrow_batches(spark, batch_bytes):
+        frame.write.parquet(path)
     gc.collect()
     spark.sparkContext._jvm.System.gc()
     out = spark.read.schema(frame.schema).parquet(path)

@@ -50,13 +50,13 @@ class Words:
         return span_names(self.data, self.starts, self.ends, seed)
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Batches cut so that the texts of each have a few megabytes (a longer text stands alone)."""
     for batch in batches:
         if not batch.num_rows:
             continue
         sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(text)), 0), dtype=np.int64)
-        part = np.cumsum(sizes) // SLICE_BYTES
+        part = np.cumsum(sizes) // limit
         cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts, cuts[1:]):
             yield batch.slice(a, b - a)
