@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,7 +13,7 @@ from rankloom import schemas as S
 from rankloom.functions.numeric import all_present, any_present, finite, row_mean, zscore
 from rankloom.functions.text import hostname, stable_id
 from rankloom.operators.filters import with_null_columns
-from rankloom.operators.groups import GROUP_ROWS_PER_TASK, attach_group_stats, group_medians, join_measured, oversized_groups
+from rankloom.operators.groups import GROUP_ROWS_PER_TASK, attach_group_stats, group_medians, join_measured, join_null_safe
 from rankloom.operators.ranks import _moments, ordinal_ranks
 from rankloom.session import cut_lineage
 
@@ -126,11 +128,30 @@ def two_level(
     unit: str = "canonical_url_hash",
     limit: int | None = GROUP_ROWS_PER_TASK,
 ) -> DataFrame:
-    """Median (numbers) or mean (flags) per page, then the same over the pages of a group."""
-    # A group holds at least the rows of its pages: no oversized group, no oversized page.
-    if limit is not None and oversized_groups(frame, group, limit).isEmpty():
-        limit = None
-    per_page = group_medians(frame, [*group, unit], medians, rates, limit)
+    """Median (numbers) or mean (flags) per page, then the same over the pages of a group.
+
+    The rows are read once, into extremes per page: those of a page with one or two rows, or with a single value, give
+    its median.  Rows are read again only for other pages.
+    """
+    keys = [*group, unit]
+    least, most = (lambda c: F.col(f"__least_{c}")), (lambda c: F.col(f"__most_{c}"))
+    ends = [f(F.col(c).cast("double")).alias(f"__{n}_{c}") for c in medians for n, f in (("least", F.min), ("most", F.max))]
+    means = [F.avg(F.col(c).cast("double")).alias(c) for c in rates]
+    pages = cut_lineage(frame.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"), *ends, *means))
+    if limit is not None:
+        # A group holds at least the rows of its pages: no oversized group, no oversized page.
+        heavy = pages.groupBy(*group).agg(F.sum("__rows").alias("__rows")).where(F.col("__rows") > limit)
+        limit = None if heavy.isEmpty() else limit
+    varied = [F.coalesce(least(c) < most(c), F.lit(False)) for c in medians]
+    undecided = (F.col("__rows") > 2) & reduce(or_, varied, F.lit(False))
+    counted = pages.agg(F.count(F.lit(1)).alias("pages"), F.count_if(undecided).alias("undecided")).first()
+    middle = [F.when(least(c) == most(c), least(c)).otherwise(0.5 * least(c) + 0.5 * most(c)).alias(c) for c in medians]
+    per_page = pages.where(~undecided).select(*keys, *middle, *rates)
+    if 2 * counted["undecided"] > counted["pages"]:
+        per_page = group_medians(frame, keys, medians, rates, limit)
+    elif counted["undecided"]:
+        rows = join_null_safe(frame, pages.where(undecided).select(*keys), keys, "left_semi")
+        per_page = per_page.unionByName(group_medians(rows, keys, medians, rates, limit))
     return group_medians(per_page, group, medians, rates, limit)
 
 
