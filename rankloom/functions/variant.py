@@ -35,7 +35,12 @@ def type_of(v: Column) -> Column:
 
 def is_object(v: Column) -> Column:
     """Container tests are casts that copy nothing: describing the type would walk the whole subtree."""
-    return F.try_variant_get(v, "$", "struct<`-`:boolean>").isNotNull()
+    return object_at(v, "$")
+
+
+def object_at(v: Column, path: str) -> Column:
+    """The value under a path is an object; it isn't copied for that."""
+    return F.try_variant_get(v, path, "struct<`-`:boolean>").isNotNull()
 
 
 def is_array(v: Column) -> Column:

@@ -328,21 +328,21 @@ def record_violations(raw: DataFrame) -> DataFrame:
 
 def single_result(body: Column) -> Column:
     """First result of the first task, if it is an object."""
-    task = F.get(V.elements(body, "$.tasks"), F.lit(0))
-    result = F.get(V.elements(task, "$.result"), F.lit(0))
-    return F.when(V.is_object(result), result)
+    first = "$.tasks[0].result[0]"
+    return F.when(V.object_at(body, first), V.at(body, first))
 
 
 def successful_empty(body: Column) -> Column:
     """A successful task that found nothing."""
-    task = F.get(V.elements(body, "$.tasks"), F.lit(0))
+    task = V.at(body, "$.tasks[0]")
     ok = lambda node: F.coalesce(V.strict_integer(node, "$.status_code").isin(200, 20000), F.lit(True))
     result = V.at(task, "$.result")
     none = V.is_missing(result) & (
         V.is_missing(V.at(task, "$.result_count")) | F.coalesce(V.number(task, "$.result_count") == 0, F.lit(False))
     )
-    empty = none | F.coalesce(V.array_length(task, "$.result") == 0, F.lit(False))
-    return V.is_object(task) & ok(body) & ok(task) & empty
+    empty = none | (V.is_array(result) & V.at(result, "$[0]").isNull())
+    # A first result settles it; the other parts are not looked at then.
+    return F.when(V.object_at(body, "$.tasks[0].result[0]"), F.lit(False)).otherwise(V.is_object(task) & ok(body) & ok(task) & empty)
 
 
 def legacy_backlinks(result: Column) -> Column:

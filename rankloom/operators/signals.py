@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from rankloom import schemas as S
 from rankloom.functions import variant as V
 from rankloom.functions.text import canonical_url, stable_id
-from rankloom.operators.curate import _context, _shape, _url_hash, _version, open_bodies, record_url
+from rankloom.operators.curate import _context, _shape, _url_hash, _version, made_once, open_bodies, record_url
 from rankloom.operators.drift import (
     backlinks_usable,
     legacy_backlinks,
@@ -35,11 +35,13 @@ def backlink_responses(raw: DataFrame) -> DataFrame:
         "target_keyword",
         "response_id",
         "timestamp",
-        backlink_variant(F.col("endpoint"), meta).alias("variant"),
-        record_url(body, meta).alias("url"),
-        F.when(successful_empty(body), F.parse_json(F.lit('{"backlinks":0,"referring_domains":0}')))
-        .otherwise(single_result(body))
-        .alias("result"),
+        made_once(
+            backlink_variant(F.col("endpoint"), meta).alias("variant"),
+            record_url(body, meta).alias("url"),
+            F.when(successful_empty(body), F.parse_json(F.lit('{"backlinks":0,"referring_domains":0}')))
+            .otherwise(single_result(body))
+            .alias("result"),
+        ),
         "body",
     ).where("url is not null")
 
@@ -83,7 +85,7 @@ def backlinks(raw: DataFrame) -> DataFrame:
         .groupBy("run_id", "target_keyword", "url")
         .agg(latest(~dofollow).alias("s"), latest(dofollow).alias("d"))
         .where("s is not null")
-        .withColumns({"sr": F.try_parse_json("s.result"), "dr": F.try_parse_json("d.result")})
+        .select("*", made_once(F.try_parse_json("s.result").alias("sr"), F.try_parse_json("d.result").alias("dr")))
     )
     s, d = F.col("sr"), F.col("dr")
     legacy = legacy_backlinks(s)
