@@ -232,15 +232,19 @@ def encoded(docs: DataFrame, folder: str = TOKENIZERS, name: str = "byte_bpe_mul
     schema = _RESULT if digest else "doc_id long, n_tokens long, ids array<int>, decoded binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            ids = encode_texts([t or "" for t in batch.column("text").to_pylist()], folder, name)
-            back = [decode_ids(x, folder, name) for x in ids]
-            counts = pa.array([len(x) for x in ids], pa.int64())
-            if digest:
-                rest = [pa.array([hashlib.sha256(x.tobytes()).hexdigest() for x in ids], pa.string()), pa.array([hashlib.sha256(x).hexdigest() for x in back], pa.string())]
-            else:
-                rest = [pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32())), pa.array(back, pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), counts, *rest], names=[f.split()[0] for f in schema.split(", ")])
+        try:
+            for batch in slices(batches):
+                ids = encode_texts([t or "" for t in batch.column("text").to_pylist()], folder, name)
+                back = [decode_ids(x, folder, name) for x in ids]
+                counts = pa.array([len(x) for x in ids], pa.int64())
+                if digest:
+                    rest = [pa.array([hashlib.sha256(x.tobytes()).hexdigest() for x in ids], pa.string()), pa.array([hashlib.sha256(x).hexdigest() for x in back], pa.string())]
+                else:
+                    rest = [pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32())), pa.array(back, pa.binary())]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), counts, *rest], names=[f.split()[0] for f in schema.split(", ")])
+        finally:
+            # The worker lives on for tasks of other stages, beside which the words would stay.
+            _coder(folder, name)[1].clear()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
 

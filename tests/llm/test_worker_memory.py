@@ -7,8 +7,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from rankloom.llm import byte_bpe, staging
 from rankloom.llm import jaccard_join as J
-from rankloom.llm import staging
 from rankloom.llm.words import find_words
 
 
@@ -70,3 +70,9 @@ def test_filter_is_sent_packed(spark, monkeypatch):
     found = J.sets_of(J._rows(docs, "doc_id", "text"), wanted, "sets").collect()
     assert [r.k for r in found] == [keys[2]]
     assert all(value.nbytes <= J.FILTER_BITS // 8 for value in sent if isinstance(value, np.ndarray))
+
+
+def test_a_task_forgets_its_words(spark):
+    run = byte_bpe.encoded(Captured())
+    assert sum(len(out) for out in run(iter([text_batch(5, 50)]))) == 5
+    assert not byte_bpe._coder(byte_bpe.TOKENIZERS, "byte_bpe_multi_50k.tiktoken")[1]
