@@ -15,7 +15,7 @@ from rankloom.functions.text import hostname, stable_id
 from rankloom.operators.filters import with_null_columns
 from rankloom.operators.groups import GROUP_ROWS_PER_TASK, attach_group_stats, group_medians, join_measured, join_null_safe
 from rankloom.operators.ranks import _moments, ordinal_ranks
-from rankloom.session import cut_lineage
+from rankloom.session import cut_lineage, store_columns
 
 PAGE_KEY = ["run_id", "target_keyword_id", "canonical_url_hash"]
 KEYWORD_KEY = ["run_id", "target_keyword_id", "target_keyword"]
@@ -75,6 +75,16 @@ AUTHORITY_FLAGS = (
 )
 
 
+def by_list(frame: DataFrame) -> DataFrame:
+    """Rows dealt out by their keyword, whose ranked lists are cut at the depth.
+
+    Joins on any key with the keyword and windows over lists then move no row of frames that were dealt out so, while
+    each join of other keys would shuffle all of them once more and keep what the joins before it shuffled.  The run
+    is left out: where it is a constant, the plan would not know it as a key.
+    """
+    return frame.repartition("target_keyword_id")
+
+
 def keyword_serp(keywords: DataFrame, serp_items: DataFrame) -> DataFrame:
     return keywords.drop("schema_version").join(serp_items, KEYWORD_KEY, "inner").select(
         *KEYWORD_KEY,
@@ -137,7 +147,7 @@ def two_level(
     least, most = (lambda c: F.col(f"__least_{c}")), (lambda c: F.col(f"__most_{c}"))
     ends = [f(F.col(c).cast("double")).alias(f"__{n}_{c}") for c in medians for n, f in (("least", F.min), ("most", F.max))]
     means = [F.avg(F.col(c).cast("double")).alias(c) for c in rates]
-    pages = cut_lineage(frame.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"), *ends, *means))
+    pages = store_columns(frame.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"), *ends, *means))
     if limit is not None:
         # A group holds at least the rows of its pages: no oversized group, no oversized page.
         heavy = pages.groupBy(*group).agg(F.sum("__rows").alias("__rows")).where(F.col("__rows") > limit)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from rankloom.operators.groups import group_row_number
 from rankloom.operators.merge import build_records
-from rankloom.session import cut_lineage
+from rankloom.session import cut_lineage, store_columns
 
 RUN = "run-1"
 DEPTH = 20
@@ -96,7 +96,11 @@ LINES = f"""lines AS (
 
 def serp(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Curated ranked items: the panel with URLs on 97 hosts."""
-    return panel(spark, sf_dir).selectExpr(
+    return _with_texts(panel(spark, sf_dir))
+
+
+def _with_texts(rows: DataFrame) -> DataFrame:
+    return rows.selectExpr(
         f"'{RUN}' AS run_id",
         "concat('k', keyword_id) AS target_keyword_id",
         "concat('supplier ', keyword_id) AS target_keyword",
@@ -138,12 +142,18 @@ def _with_parts(spark: SparkSession, sf_dir: str, frame: DataFrame) -> DataFrame
 def curated(spark: SparkSession, sf_dir: str, stored: bool = False) -> dict[str, DataFrame]:
     """Curated tables for the mart builders; pages whose part size is a multiple of 11 have no text.
 
-    ``stored`` writes the pages with their parts once, for queries that read pages or signals more than once.
+    ``stored`` writes the numbers of the panel and the pages with their parts once as columns, for queries that read
+    pages or signals more than once; the texts of an item follow from its numbers and are made again by every reader.
+    ``dealt_items`` are the ranked items, then dealt out by keyword (see ``marts.by_list``) before they get their texts.
     """
-    items = cut_lineage(serp(spark, sf_dir))  # read by five branches
+    if stored:
+        numbers = store_columns(panel(spark, sf_dir).drop("l_extendedprice"))
+        items, dealt = _with_texts(numbers), _with_texts(numbers.repartition(F.expr("concat('k', keyword_id)")))
+    else:
+        items = dealt = cut_lineage(serp(spark, sf_dir))  # read by five branches
     base = items.drop("l_discount", "l_tax", "l_quantity")
     keys = ["run_id", "target_keyword_id", "target_keyword", "canonical_url_hash", "url"]
-    scores = items.groupBy(*keys).agg(
+    scores = dealt.groupBy(*keys).agg(
         *[
             F.expr(e)
             for e in (
@@ -158,7 +168,7 @@ def curated(spark: SparkSession, sf_dir: str, stored: bool = False) -> dict[str,
     )
     pages = _with_parts(spark, sf_dir, items.select(*keys).distinct()).where("p_size % 11 <> 0")
     if stored:
-        pages = cut_lineage(pages)
+        pages = store_columns(pages)
     keywords = (
         base.select("run_id", "target_keyword_id", "target_keyword")
         .distinct()
@@ -192,6 +202,7 @@ def curated(spark: SparkSession, sf_dir: str, stored: bool = False) -> dict[str,
     return {
         "keywords": keywords,
         "serp_items": base,
+        "dealt_items": dealt.drop("l_discount", "l_tax", "l_quantity"),
         "pages": page_rows,
         "similarity_scores": scores,
         "onpage_signals": onpage,

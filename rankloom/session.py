@@ -7,6 +7,8 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -75,11 +77,26 @@ def store_columns(frame):
         return cut_lineage(frame)  # Parquet has no such type
     spark = frame.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/columns-{uuid.uuid4().hex}"
-    frame.write.parquet(path)
+    frame.write.option("compression", "zstd").parquet(path)
     release_shuffles(spark)
     return spark.read.schema(frame.schema).parquet(path)
 
 
+@contextmanager
+def shared_partitions(spark: SparkSession) -> Iterator[None]:
+    """While this lasts, frames dealt out by a part of a join's key are joined as they lie.
+
+    Otherwise Spark shuffles both once more by the whole key.  Only for parts of which no value has many rows.
+    """
+    name = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before) if before is not None else spark.conf.unset(name)
+
+
 def release_shuffles(spark: SparkSession) -> None:
     """Let Spark remove the shuffle files that no frame of the driver needs any more."""
     gc.collect()
